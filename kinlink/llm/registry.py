@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from .lines import OP5_SQL, op5_line_dedup
+from .sharding import op10_sharding
+from .simhash import op3_simhash_components
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_simhash_components": op3_simhash_components,
+    "op5_line_dedup": op5_line_dedup,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
