@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .automaton import op8_substring_dedup
 from .bpe import op1_byte_bpe
 from .lines import OP5_SQL, op5_line_dedup
 from .sharding import op10_sharding
 from .simhash import op3_simhash_components
+from .suffixarray import op4_suffix_array_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash_components": op3_simhash_components,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_sharding": op10_sharding,
 }
 
