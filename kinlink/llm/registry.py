@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .automaton import op8_substring_dedup
 from .bpe import op1_byte_bpe
+from .egojoin import op7_embedding_near_dedup
+from .langid import op9_language_id
 from .lines import OP5_SQL, op5_line_dedup
+from .pii import op6_pii_spans
 from .sharding import op10_sharding
 from .simhash import op3_simhash_components
 from .suffixarray import op4_suffix_array_dedup
@@ -14,7 +17,10 @@ QUERIES = {
     "op3_simhash_components": op3_simhash_components,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_pii_spans": op6_pii_spans,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }
 
