@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; with texts of some KB a batch stays at some MB.
 ARROW_ROWS = 1000
 
+#: Files of an intermediate table, for each core of the cluster.
+FILES_PER_CORE = 3
+
 _TEST_ROOT: list[str] = []
 
 
@@ -46,10 +49,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it again; lost executors cost nothing then."""
+    """Write ``df`` under the shared folder and read it again; lost executors cost nothing then.
+
+    As many files as keep all cores busy, not one for each of the shuffle's partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/kinlink-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinlink_path = path
     return out
