@@ -1,17 +1,73 @@
-"""A cleaning pipeline over documents: each stage takes what the one before it kept."""
+"""A cleaning pipeline over documents: each stage takes what the one before it kept.
+
+Language identification drops what has no language, line dedup cuts repeated lines,
+near-dedup keeps one document of each group, decontamination drops documents that hold
+benchmark items, and byte-level BPE turns what is left into tokens (and checks them by
+decoding). All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinlink.llm import bpe, decontam, langid, lines, simhash
 from kinlink.llm.common import materialize, read_table
 
-STAGES: list = []
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; those without a letter go."""
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    kept = langid.identify(docs, model).where(F.col("lang_pred") != langid.NONE)
+    return kept.select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a document of smaller id holds; n_chars follows."""
+    return lines.dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group at similarity 0.8 of five-word shingles."""
+    return simhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, the ids (four bytes each, little-endian), and digests of ids and decoded bytes."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
+    both = bpe.decode(coded, ranks, public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "ids",
+    )
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", tokens),
+]
+
+#: The kernel classifier and the tokenizer have no SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .automaton import op8_substring_dedup
 from .bpe import op1_byte_bpe
+from .decontam import op2_decontamination
 from .egojoin import op7_embedding_near_dedup
 from .langid import op9_language_id
 from .lines import OP5_SQL, op5_line_dedup
@@ -14,6 +15,7 @@ from .suffixarray import op4_suffix_array_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_simhash_components": op3_simhash_components,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,

@@ -213,6 +213,114 @@ def linked(fps: DataFrame, radius: int = 3, cap: int = TREE) -> DataFrame:
     return fps.join(named, fps.fp == named._fp).drop("_fp")
 
 
+#: Hash orders whose minima are shards, and the Hamming radius within a shard.
+ORDERS, WIDE = 10, 20
+#: Documents of one task that compares shingles.
+VERIFY = 256
+_MULTIPLIERS = np.random.default_rng(20240203).integers(1, 1 << 63, ORDERS, dtype=np.uint64) | np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes in each of ORDERS orders."""
+    out = np.empty(ORDERS, np.uint64)
+    for k, m in enumerate(_MULTIPLIERS):
+        x = hashes * m
+        out[k] = (x ^ (x >> np.uint64(32))).min()
+    return out
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, the digest (d1, d2) of the words, fingerprint and minima (none without words) of each row with an id."""
+    small_batches(docs.sparkSession)
+    names = ["doc_id", "d1", "d2", "fp", "mins"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, fps, mins = [], [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_hashes(t, size)
+                digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
+                fps.append(signed(fingerprint(h)))
+                mins.append(minima(h).view(np.int64).tolist() if len(h) else [])
+            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            cols = [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(fps, pa.int64()), pa.array(mins, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, fp long, mins array<long>")
+
+
+def minima_shards(classes: DataFrame, cap: int) -> DataFrame:
+    """``(shard, fp, id)``: classes by each of their minima; a shard of over ``cap`` is cut by the other minima."""
+    first = classes.select("id", "fp", "mins", F.posexplode("mins").alias("_k", "_v")).withColumn("_shard", F.xxhash64("_k", "_v"))
+    counts = first.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    others = F.filter(F.transform("mins", lambda v, k: F.when(k != F.col("_k"), F.xxhash64(F.col("_shard"), k, v))), lambda x: x.isNotNull())
+    shard = F.explode(F.when(F.col("_n") <= cap, F.array("_shard")).otherwise(others))
+    return first.join(counts, "_shard").select(shard.alias("shard"), "fp", "id")
+
+
+def _verified(members: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links ``(a, b)`` of members (cluster, cls, fp, shingles) that are as similar as that."""
+    keys = ["cluster", "i", "j"]
+    dealt = pair_blocks(members, "cluster", "cls", VERIFY).select(*keys, "cls", "fp", "shingles")
+    names = ["a", "b"]
+
+    def links(table: pa.Table) -> pa.Table:
+        cls = table["cls"].to_numpy()
+        fps = table["fp"].to_numpy().view(np.uint64)
+        sets = [np.frombuffer(s, "<u8") for s in table["shingles"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        forest = Forest()
+        for x in range(len(sets)):
+            near = np.flatnonzero((np.bitwise_count(fps[x + 1 :] ^ fps[x]) <= WIDE)) + x + 1
+            lo, hi = np.minimum(sizes[near], sizes[x]), np.maximum(sizes[near], sizes[x])
+            for y in near[lo >= similarity * hi].tolist():
+                if forest.find(int(cls[x])) != forest.find(int(cls[y])):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both >= similarity * (sizes[x] + sizes[y] - both):
+                        forest.union(int(cls[x]), int(cls[y]))
+        a, b = forest.links()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+    return dealt.groupBy(*keys).applyInArrow(links, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, cap: int = TREE) -> DataFrame:
+    """``(doc_id, component_id)`` for each document that has an id.
+
+    Documents link if their words (A-Z in lower case) are equal, or if the Jaccard similarity of
+    their sets of ``size``-word shingles is at least ``similarity``; component_id is the smallest doc_id
+    reachable. Documents without words are alike. Rows that share an id count as one document.
+    """
+    drawn = materialize(sketches(docs, size), "sketches")
+    classes = drawn.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.any_value("fp").alias("fp"), F.any_value("mins").alias("mins"))
+    classes = materialize(classes, "classes")
+    shards = minima_shards(classes.select(F.col("cls").alias("id"), "fp", "mins"), cap)
+    proposed = connected_components(materialize(search_shards(shards, WIDE).distinct(), "proposed"))
+    # members of clusters, their roots too
+    cluster = proposed.unionByName(proposed.select(F.col("component").alias("node"), "component").distinct())
+    members = classes.select("cls", "fp").join(cluster, F.col("cls") == F.col("node")).select("cls", "fp", F.col("component").alias("cluster"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.binary())], ["cls", "fp", "cluster", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    full = members.join(texts, members.cls == texts.doc_id).select("cls", "fp", "cluster", "text")
+    full = full.mapInArrow(sets, "cls long, fp long, cluster long, shingles binary")
+    groups = connected_components(materialize(_verified(full, similarity).distinct(), "verified"))
+    named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "cls").alias("component_id"))
+    # rows that share an id may be in several classes: the document takes the smallest
+    return drawn.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` but those of documents that a document of smaller id stands for; rows without an id stay."""
+    gone = near_duplicates(docs, size, similarity).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = linked(fingerprints(read_table(spark, sf_dir, "documents"), 3), 3)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
