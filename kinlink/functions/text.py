@@ -135,7 +135,7 @@ def script_table() -> tuple[str, ...]:
     for cp in range(0x900, 0xD80):
         name = unicodedata.name(chr(cp), "")
         word = name.rpartition(" ")[2].lower()
-        if " DIGIT " in name:
+        if unicodedata.digit(chr(cp), None) is not None:
             out.append(str(unicodedata.digit(chr(cp))))
         elif "VOWEL SIGN" in name:
             out.append(word)

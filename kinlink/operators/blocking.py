@@ -109,7 +109,7 @@ def ordered_union(channels: dict[str, DataFrame], most: int) -> DataFrame:
     long = reduce(DataFrame.unionByName, rows)
     pairs = long.groupBy("s1", "cid").agg(
         F.min(F.struct("n", "ch")).alias("first"),
-        *(F.coalesce(F.max(F.when(F.col("slot") == k, F.col("score"))), F.lit(0.0)).alias(f"s{k}") for k in range(7)),
+        *(F.coalesce(F.max(F.when(F.col("slot") == k, F.col("score"))), F.lit(0.0)).alias(f"m{k}") for k in range(7)),
         F.sum(F.lit(1)).alias("channels_hit"),
     )
     slots = []
@@ -117,7 +117,7 @@ def ordered_union(channels: dict[str, DataFrame], most: int) -> DataFrame:
         start = F.lit(0.0)
         for name, values in NEW_PAIR.items():
             start = F.when(F.col("first.ch") == name, F.lit(values[k])).otherwise(start)
-        slots.append(F.greatest(F.col(f"s{k}"), start).alias(f"s_{CHANNELS[k]}"))
+        slots.append(F.greatest(F.col(f"m{k}"), start).alias(f"s_{CHANNELS[k]}"))
     return ranked(pairs.select("s1", "cid", *slots, "channels_hit"), [f"s_{c}" for c in CHANNELS], most)
 
 
