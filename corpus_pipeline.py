@@ -42,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, the ids (four bytes each, little-endian), and digests of ids and decoded bytes."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    both = bpe.decode(coded, ranks, public_tokenizers.PATTERN)
+    both = bpe.decode(coded, ranks)
     return both.select(
         "doc_id",
         "lang",

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import read_table, small_batches
 
 #: Most pre-tokens a worker remembers; beyond it the memory is cleared and filled anew.
-CACHE = 400_000
+CACHE = 100_000
 #: Pre-tokens longer than this are encoded without being remembered.
 CACHE_CHARS = 64
 #: A vocabulary of more bytes than this is refused as a broadcast.
@@ -78,7 +78,7 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBPE:
-    """Encoder and decoder of one vocabulary."""
+    """Encoder of one vocabulary."""
 
     def __init__(self, model: bytes, pattern: str) -> None:
         import regex
@@ -86,10 +86,7 @@ class ByteBPE:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern).findall
-        chars = byte_chars()
-        self.map = {b: c for b, c in enumerate(chars)}
-        back = {c: b for b, c in enumerate(chars)}
-        self.pieces = [bytes(back[c] for c in self.sp.id_to_piece(i)) for i in range(self.sp.vocab_size() - 1)]
+        self.map = dict(enumerate(byte_chars()))
         self.known: dict[str, bytes] = {}
 
     def _encode_new(self, tokens: list[str]) -> dict[str, bytes]:
@@ -114,15 +111,31 @@ class ByteBPE:
                 return b"".join([got[t] if t in got else known[t] for t in tokens])
         return b"".join(map(known.__getitem__, tokens))
 
+
+class ByteDecoder:
+    """The inverse mapping: each id's piece, and each of its characters' byte."""
+
+    def __init__(self, model: bytes) -> None:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        back = {c: b for b, c in enumerate(byte_chars())}
+        self.pieces = [bytes(back[c] for c in sp.id_to_piece(i)) for i in range(sp.vocab_size() - 1)]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
-def _tool(model: bytes, pattern: str) -> ByteBPE:
+@lru_cache(1)
+def _encoder(model: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(model, pattern)
 
 
+@lru_cache(1)
+def _decoder(model: bytes) -> ByteDecoder:
+    return ByteDecoder(model)
+
+
 def _shared_model(spark: SparkSession, ranks: dict[bytes, int]):
     model = serialise_model(ranks)
     if len(model) > MAX_MODEL_BYTES:
@@ -142,7 +155,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _tool(model.value, pattern)
+        tool = _encoder(model.value, pattern)
         for b in batches:
             got = [tool.encode(t) if t else b"" for t in b.column(text).to_pylist()]
             cols = [b.column(c) for c in keep]
@@ -151,14 +164,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ids stand for; null ids give no bytes."""
     model = _shared_model(encoded.sparkSession, ranks)
     keep = [c for c in encoded.columns if c != out]
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _tool(model.value, pattern)
+        tool = _decoder(model.value)
         for b in batches:
             got = [tool.decode(i) if i else b"" for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got, pa.binary())], [*keep, out])
@@ -168,7 +181,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str =
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, through encode() and decode()."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
+    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

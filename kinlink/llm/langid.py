@@ -62,23 +62,41 @@ class Model:
     grams: np.ndarray  # sorted codes of the landmarks' n-grams
     weights: np.ndarray  # n-grams x languages
     tables: list[np.ndarray] = field(default_factory=list)
+    alphabet: np.ndarray | None = None
 
     def __getstate__(self):
         return self.languages, self.grams, self.weights
 
     def __setstate__(self, state):
         self.languages, self.grams, self.weights = state
-        self.tables = []
+        self.tables, self.alphabet = [], None
+
+    def _index(self) -> None:
+        """Tables over the landmarks' own bytes, numbered from 1; any other byte is 0, and no landmark holds it."""
+        own = np.unique(self.grams[self.grams >> np.uint32(24) == 1] & np.uint32(0xFF))
+        self.alphabet = np.zeros(256, np.int64)
+        self.alphabet[own] = np.arange(1, len(own) + 1)
+        base = len(own) + 1
+        for n in range(1, ORDERS + 1):
+            table = np.full(base**n, len(self.grams), np.int32)
+            at = np.flatnonzero(self.grams >> np.uint32(24) == n)
+            code = np.zeros(len(at), np.int64)
+            for k in range(n):
+                code = code * base + self.alphabet[self.grams[at] >> np.uint32(8 * (n - 1 - k)) & np.uint32(0xFF)]
+            table[code] = at
+            self.tables.append(table)
 
     def columns(self, b: np.ndarray) -> list[np.ndarray]:
         """For each order the columns of a text's n-grams; the last column takes those that no landmark holds."""
         if not self.tables:
-            for n in range(1, ORDERS + 1):
-                table = np.full(1 << 8 * n, len(self.grams), np.int32)
-                own = np.flatnonzero(self.grams >> np.uint32(24) == n)
-                table[self.grams[own] & np.uint32(0xFFFFFF)] = own
-                self.tables.append(table)
-        return [t[_codes(b, n)] for n, t in enumerate(self.tables, 1)]
+            self._index()
+        letters = self.alphabet[b].astype(np.int32)
+        base, code, out = int(self.alphabet.max()) + 1, letters, []
+        for n, table in enumerate(self.tables, 1):
+            if n > 1:
+                code = code[: len(letters) - n + 1] * np.int32(base) + letters[n - 1 :]
+            out.append(table[code])
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and a score from 0 to 1 for each text; NONE and 0 without a letter or a model."""
