@@ -48,7 +48,7 @@ SUFFIX_WORDS = (
     r"\b(?:foundation|institute|academy|trading|traders|exports|imports)\b",
     r"\b(?:the|and|of|for|a|an)\b",
     "प्राइवेट\\s*लिमिटेड", "प्रा\\.?\\s*लि\\.?", "लिमिटेड", "प्राइवेट", "एलएलपी", "एलएलसी", "कंपनी", "ग्रुप",
-    r"\b(?:sarl|sas|sa|sci|eurl|sasu|ste|societe|société|cie|et)\b",
+    r"\b(?:sarl|sas|sa|sci|eurl|sasu|ste|societe|cie|et)\b", r"\bsociété(?:[^\p{L}\p{N}_]|$)",
 )
 
 # -- fixed values: street words ------------------------------------------------------------

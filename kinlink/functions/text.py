@@ -69,7 +69,7 @@ class Chain:
                 said = "[" + ", ".join(map(quote, table)) + "]"
                 x = (
                     f"(CASE WHEN regexp_matches({x}, '[ऀ-ൿ]') THEN array_to_string(list_transform(string_split({x}, ''), "
-                    f"c -> CASE WHEN unicode(c) BETWEEN {0x900} AND {0xD7F} THEN list_extract({said}, unicode(c) - {0x900 - 1}) "
+                    f"lambda c: CASE WHEN unicode(c) BETWEEN {0x900} AND {0xD7F} THEN list_extract({said}, unicode(c) - {0x900 - 1}) "
                     f"WHEN unicode(c) < 128 THEN c ELSE {quote(' ') if kind == 'indic' else 'c'} END), '') ELSE {x} END)"
                 )
         return x

@@ -31,10 +31,11 @@ def check_links(rows: DataFrame, s1: DataFrame, corpus: DataFrame | None = None)
     key, ids = rows.columns[:2]
     own = rows.select(F.col(key).alias("s1"), F.filter(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: x != "").alias("l"))
     edges = own.select("s1", F.explode("l").alias("cid"))
+    twice = F.filter(F.array_distinct("l"), lambda x: F.size(F.filter("l", lambda y: y == x)) > 1)
     queries = s1.select(F.col("entity_id").alias("s1")).distinct()
     out = [
         _finding("duplicate_row", "error", own.groupBy("s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("s1")),
-        _finding("duplicate_id", "error", edges.groupBy("s1", "cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.concat_ws(":", "s1", "cid")),
+        _finding("duplicate_id", "error", own.select("s1", F.explode(twice).alias("cid")), F.concat_ws(":", "s1", "cid")),
         _finding("query_as_match", "error", edges.where(F.col("cid").startswith("S1-")), F.concat_ws(":", "s1", "cid")),
         _finding("prefix", "error", edges.where(~F.col("cid").rlike("^S[123]-")), F.concat_ws(":", "s1", "cid")),
         _finding("missing_row", "error", queries.join(own.select("s1"), "s1", "left_anti"), F.col("s1")),

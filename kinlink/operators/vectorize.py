@@ -33,13 +33,15 @@ def char_terms(text: Column, low: int, high: int) -> Column:
     """N-grams within words that have a blank on either side; a word shorter than n gives itself once."""
     words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    none = F.array().cast("array<string>")
+
+    def slide(w: Column, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+        return F.when(F.length(w) >= n, every).otherwise(none)
+
     def grams(w: Column) -> Column:
-        none = F.array().cast("array<string>")
-        parts = [F.when(F.length(w) < low, F.array(w)).otherwise(none)]
-        for n in range(low, high + 1):
-            slide = F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i, n=n: F.substring(w, i, n))
-            parts.append(F.when(F.length(w) >= n, slide).otherwise(none))
-        return F.concat(*parts)
+        whole = F.when(F.length(w) < low, F.array(w)).otherwise(none)
+        return F.concat(whole, *(slide(w, n) for n in range(low, high + 1)))
 
     return F.flatten(F.transform(words, grams))
 

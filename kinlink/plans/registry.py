@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_blocking, queries_eval, queries_links, queries_text  # noqa: F401
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "resolve_baseline"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -86,7 +86,7 @@ def listed(s1: DataFrame, links: DataFrame, order: list[str], name: str = LINKS[
 
 def write_tsv(rows: DataFrame, path: str, order: str = "ord") -> None:
     """One file in input order, with a header."""
-    rows.orderBy(order).drop(order).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    rows.orderBy(order).drop(order).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
 def write_parts(rows: DataFrame, path: str, by: str = "country") -> None:

@@ -88,5 +88,5 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id AS entity_id",
         "coalesce(lang, '') AS country",
         "CASE WHEN doc_id % 10 < 3 THEN 'S1' WHEN doc_id % 10 < 7 THEN 'S2' ELSE 'S3' END AS src",
-        r"split(trim(regexp_replace(lower(coalesce(text, '')), r'(?U)[^\p{L}\p{N}_\s]+', ' ')), r'\\s+') AS ws",
+        r"split(trim(regexp_replace(lower(coalesce(text, '')), r'(?U)[^\p{L}\p{N}_\s]+', ' ')), r'\s+') AS ws",
     ).selectExpr("id", "entity_id", "country", "src", "array_join(slice(ws, 1, 6), ' ') AS name", "array_join(slice(ws, 7, 12), ' ') AS address")
