@@ -9,8 +9,10 @@ gives, and a query looks into its ``probe`` nearest lists only (approximate).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,12 +113,22 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A stand-in for a text encoder: signed counts of hashed character trigrams, of length one."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    grams = F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.xxhash64(F.substring(low, i, 3)))).otherwise(F.array(F.xxhash64(low)))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda k: F.aggregate(F.filter(grams, lambda h: F.pmod(h, F.lit(size)) == k), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)),
-    )
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    """A stand-in for a text encoder: signed counts of hashed character trigrams, of length one.
+
+    Any Arrow function from text to array<float> can take its place.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+        for t in set(texts):
+            low = (t or "").lower()
+            v = np.zeros(size, np.float64)
+            for i in range(max(1, len(low) - 2)):
+                h = crc32(low[i : i + 3].encode("utf-8", "surrogatepass"))
+                v[h % size] += 1 if h >> 16 & 1 else -1
+            norm = np.sqrt((v * v).sum())
+            known[t] = (v / norm if norm else v).astype(np.float32)
+        return texts.map(known)
+
+    return embed(text)

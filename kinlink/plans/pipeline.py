@@ -32,7 +32,8 @@ def normal_records(records: DataFrame, preset: Preset) -> DataFrame:
     if preset.normal == "suffix":
         rows = normalize.basic(records)
         return rows.withColumn("name_norm", tx.NAME_SUFFIXES.col("name_raw")).withColumn("addr_norm", tx.ADDRESS.col("addr_raw"))
-    return normalize.normalized(records, int(preset.normal[1:]), preset.strict)
+    rows = normalize.normalized(records, int(preset.normal[1:]), preset.strict)
+    return rows.withColumn("name_vector", knn.hashed_embedding(F.col("name_norm"))) if preset.neighbours else rows
 
 
 def _terms(channel: Channel) -> Column:
@@ -61,15 +62,14 @@ def candidates(rows: DataFrame, preset: Preset) -> DataFrame:
     else:
         pairs = blocking.simple_union(made, preset.cap)
     if preset.neighbours:
-        vectors = rows.select("doc", "side", knn.hashed_embedding(F.col("name_norm")).alias("v"))
-        near = neighbours(rows.join(vectors.select("doc", "v"), "doc"), preset.neighbours)
+        near = neighbours(rows.select("country", "doc", "side", F.col("name_vector").alias("v")), preset.neighbours)
         pairs = blocking.with_neighbours(pairs, near, 50)
         scores = [c for c in pairs.columns if c.startswith("s_")]
         pairs = pairs.withColumn("score", F.greatest(*scores))
     return pairs
 
 
-def neighbours(rows: DataFrame, k: int, lists: int = 64) -> DataFrame:
+def neighbours(rows: DataFrame, k: int) -> DataFrame:
     """The k nearest corpus records by vector, within a country, as (s1, cid, score, rank).
 
     Vectors meet in the lists of their coarse direction: the two largest components of the
@@ -87,7 +87,7 @@ def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame
     """s1, cid, country and the preset's features."""
     both = features.paired(pairs, rows)
     if preset.neighbours:
-        both = both.withColumn("semantic_cosine", sm.cosine(knn.hashed_embedding(F.col("a_name_norm")), knn.hashed_embedding(F.col("b_name_norm"))))
+        both = both.withColumn("semantic_cosine", sm.cosine(F.col("a_name_vector"), F.col("b_name_vector")))
     if len(preset.features) == 16:
         made = features.features_16(both)
     elif len(preset.features) == 18:
