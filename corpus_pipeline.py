@@ -13,29 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm import bpe, decontam, langid, lines, simhash
-from kinlink.llm.common import materialize, read_table
+from kinlink.llm.common import materialize, narrowed, read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter go."""
     model = langid.train(docs.select("doc_id", "text", "lang"))
     kept = langid.identify(docs, model).where(F.col("lang_pred") != langid.NONE)
-    return kept.select(*docs.columns)
+    return narrowed(kept.select(*docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds; n_chars follows."""
-    return lines.dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return narrowed(lines.dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at similarity 0.8 of five-word shingles."""
-    return simhash.keep_first(docs)
+    return narrowed(simhash.keep_first(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return narrowed(decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
     both = bpe.decode(coded, ranks)
-    return both.select(
+    coded = both.select(
         "doc_id",
         "lang",
         "source",
@@ -52,6 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "ids",
     )
+    return narrowed(coded)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 
 #: Files of an intermediate table, for each core of the cluster.
-FILES_PER_CORE = 3
+FILES_PER_CORE = 2
 
 _TEST_ROOT: list[str] = []
 
@@ -48,14 +48,16 @@ def shared_root(spark: SparkSession) -> str:
     return _TEST_ROOT[0]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it again; lost executors cost nothing then.
+def narrowed(df: DataFrame) -> DataFrame:
+    """As many partitions as keep all cores busy: what is written has a file for each."""
+    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
-    As many files as keep all cores busy, not one for each of the shuffle's partitions.
-    """
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it again; lost executors cost nothing then."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/kinlink-{tag}-{uuid.uuid4().hex}"
-    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    narrowed(df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinlink_path = path
     return out
