@@ -146,8 +146,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES, runs: Runs | None = None) ->
     without a doc_id stay as they are; columns named n_lines or n_dropped are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = dropped_lines(docs, batches, runs).withColumnRenamed("doc_id", "_id")
-    both = docs.select(*names).join(gone, F.col("doc_id").cast("long") == gone._id, "left").drop("_id")
+    gone = dropped_lines(docs, batches, runs).select(F.col("doc_id").alias("_gone_id"), F.col("drop").alias("_gone"))
+    both = docs.select(*names).join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
