@@ -49,8 +49,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def narrowed(df: DataFrame) -> DataFrame:
-    """As many partitions as keep all cores busy: what is written has a file for each."""
-    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    """Fewer partitions, as what is written has a file for each: enough for all cores, and a quarter of a shuffle's."""
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions")) // 4
+    return df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, shuffled))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

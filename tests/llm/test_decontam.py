@@ -49,11 +49,10 @@ def test_as_plain_code_does(spark, monkeypatch):
     bench = spark.createDataFrame(items, ITEM)
     want = plain(docs, items)
     assert len(want) > 10
+    cut = dc.item_blocks
     for size in (dc.ITEM_BYTES, 60):  # one block of items, and many
-        monkeypatch.setattr(dc, "ITEM_BYTES", size)
-        blocks = list(dc.item_blocks(bench, size))
-        assert len(blocks) == 1 if size > 100 else len(blocks) > 3
-        monkeypatch.setattr(dc, "item_blocks", lambda items, blocks=blocks: iter(blocks))
+        assert (len(list(cut(bench, size))) == 1) == (size > 100)
+        monkeypatch.setattr(dc, "item_blocks", lambda items, size=size: cut(items, size))
         got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in dc.find_leaks(table(spark, docs), bench).collect()}
         assert got == want
 
