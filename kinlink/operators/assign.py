@@ -14,8 +14,6 @@ from pyspark.sql.window import Window
 
 from .tables import discard, write_table
 
-BEST = (F.desc("prob"), F.col("s1"), F.col("cid"))
-
 
 def uncapped(edges: DataFrame) -> DataFrame:
     """Each candidate with its best query."""

@@ -10,12 +10,11 @@ from ..functions import similarity as sm
 from ..functions import text as tx
 from .base import REC, add, joined, on_records, quote, records
 
-NAME, ADDR = F.col("name"), F.col("address")
 N3 = tx.universal(3)
 
 
 def chains(query: str, **rules: tuple[tx.Chain, str]) -> None:
-    on_records(query, {k: c.col(x) for k, (c, x) in rules.items()}, {k: c.sql(x) for k, (c, x) in rules.items()})
+    on_records(query, lambda: {k: c.col(x) for k, (c, x) in rules.items()}, {k: c.sql(x) for k, (c, x) in rules.items()})
 
 
 def words_sql(x: str) -> str:
@@ -44,25 +43,25 @@ chains("str7_deep_name", name=(tx.DEEP, "name"))
 chains("str8_rule_name", name=(tx.RULE_NAME, "name"), leet=(tx.LOWER + tx.sub("o", "0") + tx.leet(), "name"))
 chains("str9_rescore_name", name=(tx.RESCORE_NAME, "name"))
 _N = N3.sql("name")
-on_records("str10_spaceless", {"key": tx.spaceless(N3.col("name"))}, {"key": f"regexp_replace({_N}, '[^a-z0-9]', '', 'g')"})
+on_records("str10_spaceless", lambda: {"key": tx.spaceless(N3.col("name"))}, {"key": f"regexp_replace({_N}, '[^a-z0-9]', '', 'g')"})
 chains("str11_indic_letters", v1=(tx.INDIC, "name"), v3=(tx.SCRIPT, "name"))
 chains("str12_accents", name=(tx.ASCII, "name"))
 _SCRIPTS = ", ".join(f"length(l) - length(regexp_replace(l, '\\p{{{n}}}', '', 'g')) AS {k}" for k, n in tx.SCRIPTS)
 _KEYS = ", ".join(k for k, _ in tx.SCRIPTS)
 add(
     "str13_script",
-    lambda s, d: records(s, d).select("id", tx.script(NAME).alias("script")),
+    lambda s, d: records(s, d).select("id", tx.script(F.col("name")).alias("script")),
     f"WITH {REC}, a AS (SELECT id, regexp_replace(name, '[^\\p{{L}}]', '', 'g') AS l FROM records), b AS (SELECT id, l, {_SCRIPTS} FROM a), "
     f"c AS (SELECT *, length(l) - ({' + '.join(k for k, _ in tx.SCRIPTS)}) AS latin FROM b) "
     f"SELECT id, CASE WHEN l = '' THEN 'empty' WHEN latin = greatest(latin, {_KEYS}) THEN 'latin' "
     + " ".join(f"WHEN {k} = greatest(latin, {_KEYS}) THEN '{k}'" for k, _ in tx.SCRIPTS)
     + " END AS script FROM c",
 )
-on_records("str14_composite", {"text": tx.composite(tx.BASIC.col("name"), tx.BASIC.col("address"))}, {"text": f"trim({tx.BASIC.sql('name')} || ' ' || {tx.BASIC.sql('name')} || ' ' || {tx.BASIC.sql('address')})"})
-on_records("str15_sorted_tokens", {"text": tx.sorted_tokens(tx.BASIC.col("name"))}, {"text": f"array_to_string(list_sort({words_sql(tx.BASIC.sql('name'))}), ' ')"})
+on_records("str14_composite", lambda: {"text": tx.composite(tx.BASIC.col("name"), tx.BASIC.col("address"))}, {"text": f"trim({tx.BASIC.sql('name')} || ' ' || {tx.BASIC.sql('name')} || ' ' || {tx.BASIC.sql('address')})"})
+on_records("str15_sorted_tokens", lambda: {"text": tx.sorted_tokens(tx.BASIC.col("name"))}, {"text": f"array_to_string(list_sort({words_sql(tx.BASIC.sql('name'))}), ' ')"})
 on_records(
     "str16_word_set",
-    {"words": joined(tx.word_set(tx.BASIC.col("name"))), "first": tx.first_word(tx.BASIC.col("name"))},
+    lambda: {"words": joined(tx.word_set(tx.BASIC.col("name"))), "first": tx.first_word(tx.BASIC.col("name"))},
     {"words": set_sql(long_sql(tx.BASIC.sql("name"))), "first": f"coalesce({words_sql(tx.BASIC.sql('name'))}[1], '')"},
 )
 add(
@@ -85,13 +84,13 @@ add(
     + set_sql(f"list_filter(list_transform(list_filter({words_sql('x')}, lambda t: regexp_matches(t, '[0-9]')), lambda t: regexp_replace(t, '^0+', '')), lambda t: t <> '')")
     + " AS nums FROM a",
 )
-on_records("str20_prefix_keys", {f"p{n}": tx.prefix_key(tx.BASIC.col("name"), n) for n in (3, 4, 5)}, {f"p{n}": f"substring({tx.BASIC.sql('name')}, 1, {n})" for n in (3, 4, 5)})
+on_records("str20_prefix_keys", lambda: {f"p{n}": tx.prefix_key(tx.BASIC.col("name"), n) for n in (3, 4, 5)}, {f"p{n}": f"substring({tx.BASIC.sql('name')}, 1, {n})" for n in (3, 4, 5)})
 on_records(
     "str21_legal_suffix",
-    {"suffix": tx.legal_suffix(NAME)},
+    lambda: {"suffix": tx.legal_suffix(F.col("name"))},
     {"suffix": "CASE " + " ".join(f"WHEN regexp_matches(lower(name), {quote(p)}) THEN {quote(t)}" for p, t in fixed.LEGAL_REWRITES_V3) + " ELSE '' END"},
 )
-on_records("str22_script_flags", {"indic": tx.has_indic(NAME), "other": tx.has_non_ascii(NAME)}, {"indic": "regexp_matches(name, '[ऀ-ൿ]')", "other": "regexp_matches(name, '[^\\x00-\\x7F]')"})
+on_records("str22_script_flags", lambda: {"indic": tx.has_indic(F.col("name")), "other": tx.has_non_ascii(F.col("name"))}, {"indic": "regexp_matches(name, '[ऀ-ൿ]')", "other": "regexp_matches(name, '[^\\x00-\\x7F]')"})
 
 # -- addresses ---------------------------------------------------------------------------------
 _W = ad.NUMBER_WORDS
@@ -106,20 +105,20 @@ _LOOSE = _after(r"(?:\s+|[:#]\s*|\.\s*|\b)")
 _STRICT = _after(r"\s*")
 on_records(
     "adr1_house_number",
-    {"hn": ad.house_number(ADDR), "strict": ad.house_number(ADDR, True)},
+    lambda: {"hn": ad.house_number(F.col("address")), "strict": ad.house_number(F.col("address"), True)},
     {
         "hn": f"regexp_replace(CASE WHEN regexp_matches({_LOOSE}, '[0-9]') THEN {_LOOSE} ELSE {_FIRST} END, '^0+', '')",
         "strict": f"regexp_replace(CASE WHEN {_STRICT} <> '' THEN {_STRICT} ELSE {_FIRST} END, '^0+', '')",
     },
 )
-on_records("adr2_house_number_leading", {"hn": ad.house_number_leading(ADDR)}, {"hn": "regexp_extract(trim(address), '^([0-9]+[-/]?[0-9]*)\\s', 1)"})
+on_records("adr2_house_number_leading", lambda: {"hn": ad.house_number_leading(F.col("address"))}, {"hn": "regexp_extract(trim(address), '^([0-9]+[-/]?[0-9]*)\\s', 1)"})
 _LEAD = "regexp_extract(trim(address), '^\\s*([0-9]+[a-zA-Z]?)[\\s,/-]', 1)"
 _STREET = f"regexp_extract(trim(address), '(?i)\\b([0-9]+)\\s+(?:{fixed.HOUSE_STREETS})\\b', 1)"
 WHOLE_SQL = (
     f"(CASE WHEN regexp_extract(CASE WHEN {_LEAD} <> '' THEN {_LEAD} ELSE {_STREET} END, '^([0-9]+)', 1) = '' THEN '' "
     f"ELSE CAST(CAST(regexp_extract(CASE WHEN {_LEAD} <> '' THEN {_LEAD} ELSE {_STREET} END, '^([0-9]+)', 1) AS BIGINT) AS VARCHAR) END)"
 )
-on_records("adr3_house_number_whole", {"hn": ad.house_number_whole(ADDR)}, {"hn": WHOLE_SQL})
+on_records("adr3_house_number_whole", lambda: {"hn": ad.house_number_whole(F.col("address"))}, {"hn": WHOLE_SQL})
 add(
     "adr4_rule_address",
     lambda s, d: records(s, d)
@@ -129,7 +128,7 @@ add(
 )
 on_records(
     "adr5_simple_extracts",
-    {"any": ad.house_number_any(ADDR), "pc": ad.postal_code_any(ADDR), "lead": ad.house_number_digits(ADDR), "last": ad.postal_code_last(ADDR)},
+    lambda: {"any": ad.house_number_any(F.col("address")), "pc": ad.postal_code_any(F.col("address")), "lead": ad.house_number_digits(F.col("address")), "last": ad.postal_code_last(F.col("address"))},
     {
         "any": "lower(regexp_extract(address, '\\b([0-9]+[-/]?[0-9]*[a-zA-Z]?)\\b', 1))",
         "pc": "regexp_extract(address, '\\b([0-9]{5,6})\\b', 1)",
@@ -138,16 +137,16 @@ on_records(
     },
 )
 _SIX, _FIVE = "regexp_extract(address, '\\b([1-9][0-9]{5})\\b', 1)", "regexp_extract(address, '\\b([0-9]{5})\\b', 1)"
-on_records("adr6_postal_code", {"pc": ad.postal_code(ADDR)}, {"pc": f"CASE WHEN {_SIX} <> '' THEN {_SIX} ELSE {_FIVE} END"})
+on_records("adr6_postal_code", lambda: {"pc": ad.postal_code(F.col("address"))}, {"pc": f"CASE WHEN {_SIX} <> '' THEN {_SIX} ELSE {_FIVE} END"})
 _FOUR = "regexp_extract(address, '\\b([0-9]{5})(?:-[0-9]{4})?\\b', 1)"
-on_records("adr7_postal_five_first", {"pc": ad.postal_code_five_first(ADDR)}, {"pc": f"CASE WHEN {_FOUR} <> '' THEN {_FOUR} ELSE regexp_extract(address, '\\b([0-9]{{6}})\\b', 1) END"})
+on_records("adr7_postal_five_first", lambda: {"pc": ad.postal_code_five_first(F.col("address"))}, {"pc": f"CASE WHEN {_FOUR} <> '' THEN {_FOUR} ELSE regexp_extract(address, '\\b([0-9]{{6}})\\b', 1) END"})
 COUNTRY_CODE = (
     "coalesce(CASE WHEN country = 'India' THEN regexp_extract_all(trim(address), '\\b([1-9][0-9]{5})\\b', 1) "
     "ELSE regexp_extract_all(trim(address), '\\b([0-9]{5})\\b', 1) END[-1], '')"
 )
 add(
     "adr8_postal_by_country",
-    lambda s, d: records(s, d).select("id", ad.postal_code_by_country(ADDR, F.col("country"), ad.house_number_whole(ADDR)).alias("pc")),
+    lambda s, d: records(s, d).select("id", ad.postal_code_by_country(F.col("address"), F.col("country"), ad.house_number_whole(F.col("address"))).alias("pc")),
     f"WITH {REC}, a AS (SELECT id, {WHOLE_SQL} AS hn, {COUNTRY_CODE} AS pc FROM records) SELECT id, CASE WHEN pc = hn THEN '' ELSE pc END AS pc FROM a",
 )
 _STOP = "[" + ", ".join(map(quote, fixed.ADDRESS_STOP_V3)) + "]"
@@ -160,7 +159,7 @@ add(
 )
 on_records(
     "adr10_city_state",
-    {"city": ad.city(ADDR), "state": ad.state_part(ADDR)},
+    lambda: {"city": ad.city(F.col("address")), "state": ad.state_part(F.col("address"))},
     {"city": "lower(trim(coalesce(string_split(address, ',')[-2], '')))", "state": "lower(trim(string_split(address, ',')[-1]))"},
 )
 
@@ -176,7 +175,7 @@ def state_of(strict: bool) -> str:
     return f"CASE country WHEN 'US' THEN {state_sql(fixed.US_STATES, strict)} WHEN 'India' THEN {state_sql(fixed.INDIA_STATES, strict)} ELSE '' END"
 
 
-on_records("adr11_state", {"state": ad.state(ADDR, F.col("country")), "strict": ad.state(ADDR, F.col("country"), True)}, {"state": state_of(False), "strict": state_of(True)})
+on_records("adr11_state", lambda: {"state": ad.state(F.col("address"), F.col("country")), "strict": ad.state(F.col("address"), F.col("country"), True)}, {"state": state_of(False), "strict": state_of(True)})
 
 # -- similarities: each record with the next one -------------------------------------
 
