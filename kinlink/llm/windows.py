@@ -148,10 +148,10 @@ SEGMENTS = "shard int, pack int, keys binary, sizes binary, content binary, whic
 Solver = Callable[[list[bytes], list[int], int], list[list[tuple[int, int]]]]
 
 
-def sizes_for(total: int) -> tuple[int, int]:
-    """Packs, and buckets (and shards), for so many bytes of text."""
+def sizes_for(total: int, partitions: int) -> tuple[int, int]:
+    """Packs, and buckets (and shards), for so many bytes of text; there are buckets for all partitions of a shuffle."""
     pack = min(64 << 20, max(4 << 20, int(6.4 * total**0.5)))
-    return max(8, total // pack), max(8, min(total >> 22, pack // 512))
+    return max(8, total // pack), min(max(total >> 20, 2 * partitions), pack // 512)
 
 
 def _pack_of(packs: int) -> Column:
@@ -171,7 +171,7 @@ def remove_repeats(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    packs, buckets = sizes_for(total)
+    packs, buckets = sizes_for(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.withColumn("pack", _pack_of(packs)).repartition("pack")
 
     firsts = docs.where("doc_id is not null").groupBy(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
