@@ -259,10 +259,13 @@ def minima_shards(classes: DataFrame, cap: int) -> DataFrame:
     return first.join(counts, "_shard").select(shard.alias("shard"), "fp", "id")
 
 
-def _verified(members: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links ``(a, b)`` of members (cluster, cls, fp, shingles) that are as similar as that."""
+def _verified(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links ``(a, b)`` of members (cluster, cls, fp) whose ``sets`` (cls, shingles) are as similar as that.
+
+    Members are dealt before their shingles join them, so a large cluster's shingles never move by its key.
+    """
     keys = ["cluster", "i", "j"]
-    dealt = pair_blocks(members, "cluster", "cls", VERIFY).select(*keys, "cls", "fp", "shingles")
+    dealt = pair_blocks(members, "cluster", "cls", VERIFY).select(*keys, "cls", "fp").join(sets, "cls")
     names = ["a", "b"]
 
     def links(table: pa.Table) -> pa.Table:
@@ -303,13 +306,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, cap
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.binary())], ["cls", "fp", "cluster", "shingles"])
+            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["cls", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    full = members.join(texts, members.cls == texts.doc_id).select("cls", "fp", "cluster", "text")
-    full = full.mapInArrow(sets, "cls long, fp long, cluster long, shingles binary")
-    groups = connected_components(materialize(_verified(full, similarity).distinct(), "verified"))
+    full = members.select("cls").join(texts, members.cls == texts.doc_id).select("cls", "text")
+    full = full.mapInArrow(sets, "cls long, shingles binary")
+    groups = connected_components(materialize(_verified(members, full, similarity).distinct(), "verified"))
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "cls").alias("component_id"))
     # rows that share an id may be in several classes: the document takes the smallest
     return drawn.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
