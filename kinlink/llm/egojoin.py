@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Forest, materialize, read_table
 from .components import connected_components
@@ -141,33 +140,65 @@ def _links_of(classes: DataFrame, size: int, cosine: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(cells[:, k])) for k in range(axes.shape[1]))], ["cls", "label", "m", "v", *axis_names])
 
     cells = classes.where(F.size("v") == size).select("cls", "label", "m", "v")
-    cells = materialize(cells.mapInArrow(cut, "cls long, label string, m long, v array<double>, " + ", ".join(f"{c} int" for c in axis_names)), "ego")
-
-    # the sequence of a label is cut by its leading cell into stretches, and those into blocks
-    order = Window.partitionBy("label", "c0").orderBy(*axis_names[1:], "cls")
-    placed = cells.withColumn("part", ((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    boxes = [f(c).alias(f"{n}_{c}") for c in axis_names for n, f in (("lo", F.min), ("hi", F.max))]
-    one = F.struct("cls", "m", "v", *axis_names)
-    blocks = placed.groupBy("label", "c0", "part").agg(*boxes, F.sort_array(F.collect_list(F.struct(*axis_names[1:], "cls", one.alias("row")))).alias("rows"))
-    blocks = materialize(blocks, "blocks")  # at most BLOCK vectors in a row
+    cells = cells.mapInArrow(cut, "cls long, label string, m long, v array<double>, " + ", ".join(f"{c} int" for c in axis_names))
+
+    def starts(t: pa.Table) -> list[int]:
+        """Where blocks of at most BLOCK vectors of one label and leading cell begin."""
+        label, lead = t["label"].to_numpy(), t["c0"].to_numpy()
+        new = np.concatenate(([True], (label[1:] != label[:-1]) | (lead[1:] != lead[:-1]), [True]))
+        edges = np.flatnonzero(new).tolist()
+        return [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in range(a, b, BLOCK)]
+
+    def packed(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        own = {n: t[n].chunk(0) for n in t.column_names}
+        grid = [own[c].to_numpy() for c in axis_names]
+        box = [pa.array([f(g)], pa.int32()) for g in grid for f in (np.min, np.max)]
+        first = [own[n].slice(0, 1) for n in ("label", "c0", "cls")]
+        rows = pa.StructArray.from_arrays([own[n] for n in ("cls", "m", "v", *axis_names)], ["cls", "m", "v", *axis_names])
+        return pa.RecordBatch.from_arrays([*first, *box, pa.ListArray.from_arrays([0, len(t)], rows)], ["label", "c0", "block", *box_names, "rows"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of vectors that come in grid order; a block is named by its first class."""
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if len(held) > BLOCK:
+                at = starts(held)  # the last block may go on
+                for x, y in zip(at[:-1], at[1:], strict=True):
+                    yield packed(held.slice(x, y - x))
+                held = held.slice(at[-1])
+        if held is not None:
+            at = [*starts(held), len(held)]
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                yield packed(held.slice(x, y - x))
+
+    # the grid order of all vectors, range-partitioned: a label or cell may span many partitions
+    box_names = [f"{n}_{c}" for c in axis_names for n in ("lo", "hi")]
+    order = ["label", *axis_names, "cls"]
+    one = "struct<cls:bigint,m:bigint,v:array<double>," + ",".join(f"{c}:int" for c in axis_names) + ">"
+    schema = "label string, c0 int, block long, " + ", ".join(f"{n} int" for n in box_names) + f", rows array<{one}>"
+    blocks = materialize(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, schema), "blocks")
 
     boxed = blocks.drop("rows")
     left = boxed.select(*(F.col(c).alias(f"a_{c}") for c in boxed.columns))
     right = boxed.withColumn("_at", F.explode(F.array(F.col("c0"), F.col("c0") - 1)))
     near = (left.a_label == right.label) & (left.a_c0 == right._at)
-    forward = (right.c0 > left.a_c0) | (right.part >= left.a_part)
+    forward = (right.c0 > left.a_c0) | (right.block >= left.a_block)
     apart = F.lit(False)
     for c in axis_names:
         apart = apart | (F.col(f"a_lo_{c}") > F.col(f"hi_{c}") + 1) | (F.col(f"lo_{c}") > F.col(f"a_hi_{c}") + 1)
-    pairs = left.join(right, near & forward & ~apart).select("a_label", "a_c0", "a_part", "c0", "part")
+    pairs = left.join(right, near & forward & ~apart).select("a_block", "block")
     # a block goes once to each of its partners
-    full = blocks.select("label", "c0", "part", "rows")
-    first = full.select(F.col("label").alias("a_label"), F.col("c0").alias("a_c0"), F.col("part").alias("a_part"), F.col("rows").alias("a_rows"))
-    both = pairs.join(first, ["a_label", "a_c0", "a_part"]).join(full.withColumnRenamed("label", "a_label"), ["a_label", "c0", "part"])
-    both = both.select("a_rows", F.when((F.col("a_c0") == F.col("c0")) & (F.col("a_part") == F.col("part")), F.lit(None)).otherwise(F.col("rows")).alias("b_rows"))
+    full = blocks.select("block", "rows")
+    first = full.select(F.col("block").alias("a_block"), F.col("rows").alias("a_rows"))
+    both = pairs.join(first, "a_block").join(full, "block")
+    both = both.select("a_rows", F.when(F.col("a_block") == F.col("block"), F.lit(None)).otherwise(F.col("rows")).alias("b_rows"))
 
-    def block(rows: pa.Array) -> dict:
-        own = rows.field("row")
+    def block(own: pa.Array) -> dict:
         return {
             "cls": own.field("cls").to_numpy(zero_copy_only=False),
             "m": own.field("m").to_numpy(zero_copy_only=False),
@@ -203,7 +234,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vec_id reachable, kept says that it is the row's own; a null vec_id is never kept.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(64))  # rows hold whole blocks
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # rows hold whole blocks
     own = materialize(prepared(vectors), "vectors")
     classes = own.where("able").groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("m"), F.any_value("v").alias("v"))
     classes = materialize(classes, "classes")
@@ -213,6 +245,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         part = _links_of(classes, size, cosine)
         found = part if found is None else found.unionByName(part)
     found = materialize(found if found is not None else spark.createDataFrame([], "cls long, links long, to long"), "egolinks")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)  # what is left runs in the JVM
     groups = connected_components(found.where("to is not null"), "cls", "to")
     count = found.groupBy("cls").agg(F.sum("links").alias("links"))
     named = (
