@@ -30,6 +30,8 @@ ORDERS = 3
 #: Documents of each language to fit on, and how many of those are landmarks: the bounds of the sample.
 PER_LANGUAGE, LANDMARKS = 300, 64
 RIDGE, JITTER = 1e-2, 1e-6
+#: The most frequent labels are learnt, so many at most; and how many documents are drawn for each one wanted.
+LANGUAGES, SPARE = 500, 3
 #: Rows of a presence matrix.
 ROWS = 64
 NONE = "und"
@@ -163,8 +165,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     """Fit on at most ``per_language`` documents of each language, in the order of a hash of their ids."""
     small_batches(docs.sparkSession)
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = able.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    # about SPARE times as many as wanted pass a threshold on a hash, whatever the size of a language
+    sizes = docs.where(F.col("lang").isNotNull() & ~held_out()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return fit([], landmarks)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, SPARE * per_language / r.n)])
+    u = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    drawn = able.where(u < F.try_element_at(share, F.col("lang"))).select("doc_id", "lang", u.alias("u"))
+    picked = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     ids = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
