@@ -259,13 +259,22 @@ def minima_shards(classes: DataFrame, cap: int) -> DataFrame:
     return first.join(counts, "_shard").select(shard.alias("shard"), "fp", "id")
 
 
-def _verified(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links ``(a, b)`` of members (cluster, cls, fp) whose ``sets`` (cls, shingles) are as similar as that.
+def _verified(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Spanning links ``(a, b)`` of members (cluster, cls, fp) whose texts (doc_id, text) are as similar as that.
 
-    Members are dealt before their shingles join them, so a large cluster's shingles never move by its key.
+    Members are dealt before their texts join them, so a large cluster's texts never move by its key;
+    a text's shingles are made once for each pair of chunks it is in, which is once in most clusters.
     """
     keys = ["cluster", "i", "j"]
-    dealt = pair_blocks(members, "cluster", "cls", VERIFY).select(*keys, "cls", "fp").join(sets, "cls")
+    dealt = pair_blocks(members, "cluster", "cls", VERIFY).select(*keys, "cls", "fp")
+    full = dealt.join(texts, F.col("cls") == F.col("doc_id")).select(*keys, "cls", "fp", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(own, pa.binary())], [*keys, "cls", "fp", "shingles"])
+
+    dealt = full.mapInArrow(sets, "cluster long, i int, j int, cls long, fp long, shingles binary")
     names = ["a", "b"]
 
     def links(table: pa.Table) -> pa.Table:
@@ -304,15 +313,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, cap
     cluster = proposed.unionByName(proposed.select(F.col("component").alias("node"), "component").distinct())
     members = classes.select("cls", "fp").join(cluster, F.col("cls") == F.col("node")).select("cls", "fp", F.col("component").alias("cluster"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["cls", "shingles"])
-
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    full = members.select("cls").join(texts, members.cls == texts.doc_id).select("cls", "text")
-    full = full.mapInArrow(sets, "cls long, shingles binary")
-    groups = connected_components(materialize(_verified(members, full, similarity).distinct(), "verified"))
+    groups = connected_components(materialize(_verified(members, texts, size, similarity).distinct(), "verified"))
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "cls").alias("component_id"))
     # rows that share an id may be in several classes: the document takes the smallest
     return drawn.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
