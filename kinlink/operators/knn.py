@@ -84,7 +84,7 @@ def centroids(corpus: DataFrame, lists: int, rounds: int = 8) -> np.ndarray:
     return own
 
 
-def inverted_lists(queries: DataFrame, corpus: DataFrame, k: int, lists: int = 64, probe: int = 8) -> DataFrame:
+def inverted_lists(queries: DataFrame, corpus: DataFrame, k: int, lists: int = 64, probe: int = 48) -> DataFrame:
     """Like exact(), but each query meets only the corpus rows of its ``probe`` nearest lists."""
     own = centroids(corpus, lists)
     shared = queries.sparkSession.sparkContext.broadcast(own)

@@ -212,7 +212,15 @@ add(
     lambda s, d: knn.exact(*vectors(s, d), 10).select("s1", "cid", F.round("score", 6).alias("score"), "rank"),
     f"WITH {EMBEDDED}, p AS (SELECT s1, cid, {_DOT} AS score FROM q, c) SELECT s1, cid, round(score, 6) AS score, row_number() OVER (PARTITION BY s1 ORDER BY round(score, 9) DESC, cid) AS rank FROM p QUALIFY rank <= 10",
 )
-add("blk15_inverted_lists", lambda s, d: knn.inverted_lists(*vectors(s, d), 10, 32, 12).select("s1", "cid", F.round("score", 6).alias("score"), "rank"))
+
+
+def _listed(s, d):
+    q, rest = vectors(s, d)
+    every = rest.unionByName(q.select(F.col("s1").alias("cid"), "v"))
+    return knn.inverted_lists(q, every, 10, 32, 24).select("s1", "cid", F.round("score", 6).alias("score"), "rank")
+
+
+add("blk15_inverted_lists", _listed)
 
 
 def _merged(s, d):
