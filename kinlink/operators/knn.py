@@ -40,13 +40,15 @@ def exact(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     Queries are a stated set; they are taken in blocks that are broadcast one at a time.
     """
     spark = queries.sparkSession
+    kinds = ["string" if df.schema[c].dataType.typeName() == "string" else "long" for df, c in ((queries, "s1"), (corpus, "cid"))]
+    schema = f"s1 {kinds[0]}, cid {kinds[1]}, score double"
     out = None
     rows = queries.select("s1", "v").orderBy("s1").toLocalIterator()
     while True:
         block = [r for _, r in zip(range(BLOCK), rows, strict=False)]
         if not block:
             break
-        ids = np.array([r.s1 for r in block], np.int64)
+        ids = np.array([r.s1 for r in block])
         q = _unit(pa.array([list(r.v) for r in block]))
         shared = spark.sparkContext.broadcast((ids, q))
 
@@ -59,14 +61,15 @@ def exact(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 if not n:
                     continue
                 # ties at the edge go to the lesser id
-                order = np.lexsort((np.broadcast_to(cid, score.shape), -np.round(score, 9)), axis=1)[:, :n]
+                by_id = np.argsort(cid, kind="stable")
+                order = by_id[np.argsort(-np.round(score[:, by_id], 9), axis=1, kind="stable")[:, :n]]
                 picked = np.take_along_axis(score, order, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(cid[order].ravel()), pa.array(picked.ravel())], ["s1", "cid", "score"])
 
-        part = corpus.select("cid", "v").mapInArrow(run, "s1 long, cid long, score double")
+        part = corpus.select("cid", "v").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "s1 long, cid long, score double")
+        out = spark.createDataFrame([], schema)
     return _best(out, k)
 
 

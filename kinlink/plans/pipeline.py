@@ -72,15 +72,17 @@ def candidates(rows: DataFrame, preset: Preset) -> DataFrame:
 def neighbours(rows: DataFrame, k: int) -> DataFrame:
     """The k nearest corpus records by vector, within a country, as (s1, cid, score, rank).
 
-    Vectors meet in the lists of their coarse direction: the two largest components of the
-    vector by size, signs kept, either one being enough.
+    Exact: a country's queries are taken in blocks that meet all its corpus records.
     """
-    top = F.slice(F.reverse(F.array_sort(F.transform("v", lambda x, i: F.struct(F.abs(x).alias("a"), i.alias("i"), (x > 0).alias("p"))))), 1, 2)
-    keyed = rows.select("country", "doc", "side", "v", F.explode(F.transform(top, lambda t: F.concat(t.i.cast("string"), F.when(t.p, "+").otherwise("-")))).alias("key"))
-    left = keyed.where("side = 'S1'").select("country", "key", F.col("doc").alias("s1"), F.col("v").alias("a"))
-    right = keyed.where("side <> 'S1'").select("country", "key", F.col("doc").alias("cid"), F.col("v").alias("b"))
-    pairs = left.join(right, ["country", "key"]).select("s1", "cid", sm.dot(F.col("a"), F.col("b")).alias("score")).distinct()
-    return vz.top_k(pairs, k)
+    queries, corpus = rows.where("side = 'S1'"), rows.where("side <> 'S1'")
+    out = None
+    for r in queries.where("country IS NOT NULL").select("country").distinct().orderBy("country").collect():
+        here = F.col("country") == r.country
+        part = knn.exact(queries.where(here).select(F.col("doc").alias("s1"), "v"), corpus.where(here).select(F.col("doc").alias("cid"), "v"), k)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = knn.exact(queries.select(F.col("doc").alias("s1"), "v"), corpus.select(F.col("doc").alias("cid"), "v"), k)
+    return out
 
 
 def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame:

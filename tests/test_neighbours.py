@@ -1,5 +1,9 @@
+import numpy as np
+from pyspark.sql import functions as F
+
 from kinlink.operators import knn
-from kinlink.plans import registry
+from kinlink.plans import config, pipeline, registry
+from kinlink.sources.records import records
 
 
 def every(spark, sf):
@@ -20,3 +24,17 @@ def test_registered_lists_and_defaults_recall(spark, sf):
         near = others(got)
         assert len(best & near) >= 0.9 * len(best)
     assert any(cid % 10 == 0 for _, cid in best)
+
+
+def test_neighbours_of_a_preset_recall(spark, sf):
+    own = pipeline.normal_records(records(spark, sf), config.V4).select("country", "doc", "side", F.col("name_vector").alias("v")).cache()
+    got = {(r.s1, r.cid) for r in pipeline.neighbours(own, config.V4.neighbours).collect()}
+    rows, best = own.collect(), set()
+    for country in {r.country for r in rows}:
+        corpus = sorted((r for r in rows if r.country == country and r.side != "S1"), key=lambda r: r.doc)
+        m = np.array([r.v for r in corpus], float)
+        for q in (r for r in rows if r.country == country and r.side == "S1"):
+            score = np.round(m @ np.array(q.v, float), 6)
+            best |= {(q.doc, corpus[k].doc) for k in np.argsort(-score, kind="stable")[:10]}
+    # two sides that break ties by rounded scores may differ in a few
+    assert len(got) == len(best) and len(got & best) >= 0.9 * len(best)
