@@ -89,3 +89,17 @@ def test_near_duplicates_as_all_pairs_say(spark, sf, monkeypatch):
     assert {x.doc_id: x.component_id for x in sh.near_duplicates(docs, cap=2).collect()} == want
     kept = {x.doc_id for x in sh.keep_first(docs).collect()}
     assert kept == {d for d, c in want.items() if c == d}
+
+
+def test_near_duplicates_with_repeats_and_short_texts(spark):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows = []
+    for k in range(12):
+        shared, passage = [word() for _ in range(204)], [word() for _ in range(10)]
+        for many in (50, 1 if k % 2 else 0):
+            rows.append((len(rows), " ".join(shared + passage * many), None, None, None))
+    for _ in range(300):
+        short = [word() for _ in range(9)]
+        rows += [(len(rows) + k, " ".join(x), None, None, None) for k, x in enumerate((short, short[:8]))]
+    assert {x.doc_id: x.component_id for x in sh.near_duplicates(table(spark, rows)).collect()} == plain_near(rows)
