@@ -1,7 +1,7 @@
 """Benchmark decontamination with SimHash over windows of an item's size.
 
-An item of n words is held against each window of n words of a document. A window's
-SimHash comes from running sums of its shingles' bits. Items' fingerprints stand in a
+An item of n words is held against each window of n words of a document; a document of
+fewer words is one window, whole. A window's SimHash comes from running sums of its shingles' bits. Items' fingerprints stand in a
 multi-index: 64 bits in BLOCKS blocks; two fingerprints that differ in at most RADIUS bits
 differ in at most RADIUS // BLOCKS bits of some block, so the union of the blocks' near
 values holds every item within the radius. What comes out is verified by the exact weighted
@@ -9,7 +9,8 @@ Jaccard similarity of word shingles (five words, repeats counted).
 
 At similarity 0.8 two fingerprints differ in about ten bits of 64; RADIUS 23 leaves out less
 than one such pair in a hundred thousand. Windows without a single shingle of an item have
-similarity zero and are not built.
+similarity zero and are not built. A document that is one short window is held against items without
+fingerprints, where enough of its shingles are known.
 
 Items are the stated query set: they are read in blocks of bounded size, each block is
 broadcast, and all documents pass by it.
@@ -137,9 +138,17 @@ class Items:
         shingles = {size: shingle_hashes(h, size) for size in self.known if len(h) >= size}
         hits = {size: self._hits(s, size) for size, s in shingles.items()}
         for n, size, ids, own, index in self.groups:
-            if n > len(words) or not len(hits[size]):
+            if size not in shingles or not len(hits[size]):
                 continue
             s, m = shingles[size], n - size + 1
+            if n > len(words):
+                # the union has m shingles at least, and what is shared is among the hits
+                if len(hits[size]) >= self.similarity * m:
+                    for item, known in zip(ids, own, strict=True):
+                        likeness = weighted_jaccard(s, known)
+                        if likeness >= self.similarity and likeness > out.get(item, (0.0, 0))[0]:
+                            out[item] = (likeness, 0)
+                continue
             # windows that hold a hit, as stretches of starts
             first, last = np.maximum(hits[size] - m + 1, 0), np.minimum(hits[size], len(s) - m)
             keep = first <= last
@@ -181,6 +190,7 @@ def item_blocks(items: DataFrame, most: int = ITEM_BYTES) -> Iterator[tuple[tupl
 def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, item_id, similarity, start)`` for each document that holds a window like an item.
 
+    A document with fewer words than an item is one window, as long as it holds a shingle of the item's size.
     similarity is the greatest over the item's windows, start the first word (from 0) of the first
     window that reaches it. Items with fewer words than a shingle are held whole; items without
     words leak nowhere. Null ids and texts of items are left out; null texts of documents are

@@ -76,3 +76,28 @@ def test_index_finds_all_within_the_radius():
     got = set(zip(*(x.tolist() for x in index.search(near)), strict=True))
     want = {(q, i) for q, a in enumerate(near.tolist()) for i, b in enumerate(fps.tolist()) if (a ^ b).bit_count() <= dc.RADIUS}
     assert got == want
+
+
+def test_documents_shorter_than_an_item(spark):
+    r = random.Random(4)
+    items = [(k, sentence(r, n)) for k, n in enumerate([3, 5, 6, 9, 30, 57, 57, 60, 100])]
+    docs = []
+    for _, x in items:
+        w = x.split()
+        docs += [(len(docs) + k, " ".join(part), None, None, None) for k, part in enumerate([w[: -(len(w) // 20 or 1)], w[len(w) // 12 :], w[1:-1], w[: len(w) // 2]])]
+    want = {}
+    for d, t, *_ in docs:
+        w = dc.words_of(t)
+        for i, x in items:
+            v = dc.words_of(x)
+            n, size = len(v), min(5, len(v))
+            own = Counter(tuple(v[a : a + size]) for a in range(n - size + 1))
+            for a in range(max(len(w) - n, 0) + 1):
+                c = Counter(tuple(w[a : a + n][b : b + size]) for b in range(min(n, len(w)) - size + 1))
+                s = sum((c & own).values()) / sum((c | own).values())
+                if s >= 0.8 and s > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (s, a)
+    assert len(want) >= 8
+    bench = spark.createDataFrame(items, ITEM)
+    assert {(x.doc_id, x.item_id): (x.similarity, x.start) for x in dc.find_leaks(table(spark, docs), bench).collect()} == want
+    assert {x.doc_id for x in dc.drop_leaks(table(spark, docs), bench).collect()} == {d for d, *_ in docs} - {d for d, _ in want}
