@@ -201,7 +201,7 @@ FEATURES = ("tfidf_word", "addr_jaccard", "name_word_jaccard", "name_containment
 
 def examples(s, d) -> DataFrame:
     own = write_table(pipeline.normal_records(records(s, d), config.THREE_CHANNEL), "normal")
-    made = pipeline.feature_rows(pipeline.candidates(own, config.THREE_CHANNEL).where("rank <= 10"), own, config.THREE_CHANNEL)
+    made = pipeline.feature_rows(pipeline.candidates(own, config.THREE_CHANNEL), own, config.THREE_CHANNEL)
     return write_table(model.class_weight(model.label(made, truth(records(s, d)))), "examples")
 
 
@@ -257,7 +257,7 @@ add("ml7_sampled_negatives", _negatives)
 
 def _calibrated(how):
     def run(s, d):
-        own = model.label(scored(s, d).where("rank <= 10"), truth(records(s, d)))
+        own = model.label(scored(s, d), truth(records(s, d)))
         return how(own).select("s1", "cid", F.round("calibrated", 6).alias("calibrated"))
 
     return run
