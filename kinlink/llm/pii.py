@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,29 +84,58 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-WRITTEN_EMAIL = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{1,63}){1,6}", re.I
-)
+AT = re.compile(r"@|\(at\)|\[at\]|(?<=\s)at(?=\s)", re.I)
+WRITTEN_HOST = re.compile(r"\s{0,2}[A-Za-z0-9-]{1,63}")
+WRITTEN_LABEL = re.compile(r"\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{1,63}", re.I)
 DEFANGED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|\[dot\])\s?[0-9]{1,3}){3}(?![0-9])", re.I)
-NUMBER = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9]){6,24}(?![0-9])")
-HINT = re.compile(r"\bdot\b|\[\.\]|\(\.\)", re.I)
+NUMBER = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9]){6,}(?![0-9])")
+GROUP = re.compile(r"[+(]{0,2}([0-9]+)")
+
+
+def _written_emails(text: str) -> Iterator[Span]:
+    """Local part, a sign or word for "@", and two to seven labels; found from each such sign."""
+    for m in AT.finditer(text):
+        stop = m.start()
+        for _ in range(2):
+            stop -= stop > 0 and text[stop - 1].isspace()
+        start = stop
+        while start > 0 and stop - start < 64 and text[start - 1] in LOCAL:
+            start -= 1
+        end = WRITTEN_HOST.match(text, m.end()) if start < stop else None
+        for _ in range(6 if end else 0):
+            end = WRITTEN_LABEL.match(text, end.end())
+            if not end:
+                break
+            yield start, end.end(), "email"
+
+
+def _numbers(text: str) -> Iterator[Span]:
+    """Runs of digits, and the stretches of whole groups within those that are too long for a phone number."""
+    for m in NUMBER.finditer(text):
+        n = len(_digits(m[0]))
+        if n <= 15:
+            groups, lone = [(m.start(), m.end(), n)], True
+        else:
+            groups, lone = [(g.start(), g.end(), len(g[1])) for g in GROUP.finditer(text, m.start(), m.end())], False
+        for k, (start, _, _) in enumerate(groups):
+            held = 0
+            for _, end, size in groups[k:] if lone else groups[k : k + 19]:
+                held += size
+                if held > 19:
+                    break
+                if 7 <= held <= 15:
+                    yield start, end, "phone"
+                if 13 <= held <= 19:
+                    yield start, end, "card"
 
 
 def candidates(text: str) -> list[Span]:
     """Spans of high recall; they overlap each other and the base spans."""
     out: list[Span] = []
-    hint = HINT.search(text)
-    if hint:
-        out += [(m.start(), m.end(), "email") for m in WRITTEN_EMAIL.finditer(text)]
+    out += _written_emails(text)
     if DIGIT.search(text):
-        if hint:
-            out += [(m.start(), m.end(), "ip") for m in DEFANGED_IP.finditer(text)]
-        for m in NUMBER.finditer(text):
-            n = len(_digits(m[0]))
-            if 7 <= n <= 15:
-                out.append((m.start(), m.end(), "phone"))
-            if 13 <= n <= 19:
-                out.append((m.start(), m.end(), "card"))
+        out += [(m.start(), m.end(), "ip") for m in DEFANGED_IP.finditer(text)]
+        out += _numbers(text)
     return out
 
 
@@ -163,14 +193,15 @@ def training_cases(count: int = CASES, seed: int = SEED) -> tuple[np.ndarray, np
         return f"{word()}{r.choice(('', '.' + word(), num(2)))}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'info'))}"
 
     def ip() -> str:
-        return r.choice(("[.]", "(.)", "[dot]")).join(str(r.randint(0, 255)) for _ in range(4))
+        return r.choice(("[.]", "(.)", "[dot]", " . ")).join(str(r.randint(0, 255)) for _ in range(4))
 
     def noise() -> str:
         return r.choice((
             lambda: num(r.randint(7, 19)), lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 999)}.{num(3)}.{num(3)}",
             lambda: f"{num(1)}-{num(3)}-{num(5)}-{num(1)}", lambda: f"{num(4)}/{num(4)}", lambda: f"{num(3)}.{num(4)} {num(3)}.{num(4)}", lambda: f"{r.randint(1900, 2030)} - {r.randint(1900, 2030)}",
             lambda: f"{word()} at {word()} . {word()}", lambda: f"{word()} at dot {word()} dot", lambda: card(False), lambda: f"{num(2)} {num(3)} {num(2)} {num(4)} {num(1)}",
-            lambda: "[.]".join(str(r.randint(256, 999)) for _ in range(4)),
+            lambda: r.choice(("[.]", " . ")).join(str(r.randint(256, 999)) for _ in range(4)), lambda: f"{word()} at {word()}. {word()}",
+            lambda: ". ".join(str(r.randint(1, 40)) for _ in range(4)),
         ))()
 
     x, y = [], []
@@ -181,7 +212,8 @@ def training_cases(count: int = CASES, seed: int = SEED) -> tuple[np.ndarray, np
         made = makers[kind]() if good else noise()
         # bare numbers are personal only where the context says so
         cue = r.choice(CUES[kind]) if good and (kind in ("card", "phone") or r.random() < 0.6) else r.choice((*AGAINST, word(), word())) if not good else word()
-        text = f"{word()} {word()} {cue}{r.choice((' ', ': '))}{made}{r.choice((' ', '. ', ', '))}{word()} {word()}"
+        more = f" {num(4)} {num(4)}" if good and kind == "phone" and r.random() < 0.2 else ""
+        text = f"{word()} {word()} {cue}{r.choice((' ', ': '))}{made}{more}{r.choice((' ', '. ', ', '))}{word()} {word()}"
         a = text.index(made)
         for s in candidates(text):
             true = good and s[2] == kind and s[0] >= a - 1 and s[1] <= a + len(made) + 1 and s[1] - s[0] >= 0.9 * len(made)
@@ -205,7 +237,10 @@ def trained() -> tuple[BoostedTrees, tuple[float, float], dict[str, float]]:
 
 def all_spans(text: str, base: list[Span], model) -> list[Span]:
     """Base spans and those that the trees add; of added ones that overlap, the likeliest and then first stays."""
-    found = [c for c in candidates(text) if not any(c[0] < e and s < c[1] for s, e, _ in base)]
+    starts, ends = [s for s, _, _ in base], [0]
+    for _, e, _ in base:
+        ends.append(max(ends[-1], e))
+    found = [c for c in candidates(text) if ends[bisect_left(starts, c[1])] <= c[0]]
     if not found:
         return base
     trees, (a, b), least = model

@@ -63,3 +63,31 @@ def test_spans_of_documents(spark):
 def test_long_texts_stay_linear():
     for t in ("1" * 300_000, "a" * 300_000 + "@", "+1" + " " * 200_000, "1." * 150_000):
         pii.all_spans(t, pii.base_spans(t), pii.trained())
+
+
+def test_each_written_form_is_found():
+    model = pii.trained()
+    forms = {
+        "email": ["{}(at){}.com", "{} (at) {} (dot) com", "{}[at]{}[dot]com", "{} at {} dot com", "{}@{} dot com"],
+        "ip": ["[.]", "(.)", "[dot]", " . "],
+        "card": ["", ".", "/", "  ", " - "],
+        "phone": ["(555) 123-4567", "555-123-4567", "555.123.4567", "555 123 4567", "0049 555 1234567", "(555)123-4567"],
+    }
+    made = [("email", f.format("smith", "example")) for f in forms["email"]]
+    made += [("ip", s.join(("10", "0", "200", "1"))) for s in forms["ip"]]
+    made += [("card", s.join(("4111", "1111", "1111", "1111"))) for s in forms["card"]]
+    made += [("phone", x) for x in forms["phone"]]
+    cues = {"email": "email", "ip": "host", "card": "visa", "phone": "phone"}
+    for kind, x in made:
+        text = f"please note {cues[kind]}: {x}, then go"
+        a = text.index(x)
+        assert (a, a + len(x), kind) in pii.candidates(text) + pii.base_spans(text), text
+        assert any(s[2] == kind and s[0] <= a + 1 and s[1] >= a + len(x) - 1 for s in pii.all_spans(text, pii.base_spans(text), model)), text
+    text = "please note phone: 555 123 4567 1234 5678, then go"
+    assert (19, 31, "phone") in pii.candidates(text)
+    assert any(s[2] == "phone" and s[0] < 31 for s in pii.all_spans(text, pii.base_spans(text), model))
+
+
+def test_prose_is_left():
+    for text in ("we meet at noon. Then they go home", "points 1. 2. 3. 4. are done", "look at home. The end", "Arrive at eight. We left"):
+        assert pii.all_spans(text, [], pii.trained()) == [], text
