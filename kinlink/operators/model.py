@@ -46,9 +46,10 @@ def sampled_negatives(records: DataFrame, truth: DataFrame, each: int, seed: int
 
 
 def class_weight(rows: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Positives weigh as much as negatives together, times a factor."""
+    """Positives weigh as much as negatives together, times a factor; without negatives all weigh 1."""
     counts = rows.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    heavy = factor * (counts.n - counts.p) / max(counts.p, 1.0)
+    p = counts.p or 0.0
+    heavy = factor * (counts.n - p) / max(p, 1.0) if counts.n > p else 1.0
     return rows.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(heavy))).otherwise(F.lit(1.0)))
 
 

@@ -231,7 +231,7 @@ add("ml4_group_folds", lambda s, d: queries_of(records(s, d)).select("s1", model
 
 def _trained(two_pass):
     def run(s, d):
-        rows_ = model.cross_validated(examples(s, d), FEATURES, folds=2, two_pass=two_pass, trees=5, depth=3)
+        rows_ = model.cross_validated(examples(s, d), FEATURES, two_pass=two_pass)
         return rows_.select("s1", "cid", "fold", "label", F.round("prob", 6).alias("prob"))
 
     return run
@@ -268,7 +268,7 @@ add("ml9_isotonic", _calibrated(model.isotonic))
 
 
 def _importance(s, d):
-    fitted = model.fit(examples(s, d), FEATURES, trees=5, depth=3)
+    fitted = model.fit(examples(s, d), FEATURES)
     path = write_table(s.range(1), "model")._path + "-model"
     fitted.write().overwrite().save(path)
     again = type(fitted).load(path)
@@ -283,7 +283,7 @@ add("ml11_fold_summary", lambda s, d: model.fold_summary(write_table(_trained(Fa
 def _resolved(preset, **options):
     def run(s, d):
         own = write_table(records(s, d), "records")
-        fitted = pipeline.train(own, truth(own), preset, trees=5, depth=3) if preset.score == "model" else None
+        fitted = pipeline.train(own, truth(own), preset) if preset.score == "model" else None
         return pipeline.resolve(own, preset, fitted, **options).select("s1", "cid", F.round("prob", 6).alias("prob"), "ord")
 
     return run
@@ -307,6 +307,6 @@ def _resolve_baseline(s, d):
 add("resolve_baseline", _resolve_baseline, _BASE)
 for _p in config.PRESETS.values():
     if _p.name != "baseline":
-        add(f"resolve_{_p.name}", _resolved(_p, **({"tau": 0.4} if _p.score == "model" else {})))
+        add(f"resolve_{_p.name}", _resolved(_p))
 
 __all__ = ["FEATURES", "SC", "edges", "examples", "facts", "fixed", "matches", "quote", "rows", "scored"]

@@ -16,3 +16,21 @@ def test_examples_and_calibration_of_every_candidate(spark, sf):
     assert queries_links.examples(spark, sf).count() == pipeline.candidates(own, config.THREE_CHANNEL).count()
     for name in ("ml9_platt", "ml9_isotonic"):
         assert registry.QUERIES[name](spark, sf).count() == queries_links.scored(spark, sf).count()
+
+
+def test_model_queries_use_the_presets_own_settings(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(model, "fit", lambda rows, features, **options: seen.append(options))
+    monkeypatch.setattr(model, "predict", lambda fitted, rows: rows.selectExpr("*", "0.5D AS prob"))
+    resolved = []
+    real = pipeline.resolve
+    monkeypatch.setattr(pipeline, "resolve", lambda own, preset, fitted, **options: resolved.append((preset.name, options)) or real(own, config.SPRINT1))
+    registry.QUERIES["resolve_lgbm_v1"](spark, sf)
+    assert seen == [{}, {}] and resolved == [("lgbm_v1", {})]
+    folds = {r.fold for r in registry.QUERIES["ml5_boosted_trees"](spark, sf).select("fold").distinct().collect()}
+    assert seen == [{}] * 5 and folds <= {0, 1, 2} and len(folds) == 3
+
+
+def test_positives_alone_still_weigh(spark):
+    only = spark.createDataFrame([(1.0,), (1.0,)], "label double")
+    assert {r.weight for r in model.class_weight(only).collect()} == {1.0}
