@@ -113,6 +113,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by dedup(): null texts have no words, rows without an id stay whole, repeated rows stay, extra columns are not read."""
     return dedup(read_table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )

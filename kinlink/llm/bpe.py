@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, small_batches
+from .common import read_table, slices
 
 #: Most pre-tokens a worker remembers; beyond it the memory is cleared and filled anew.
 CACHE = 100_000
@@ -149,14 +149,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     Null and empty texts give no ids. Special tokens' strings are ordinary text. A column
     that is already named ``ids`` is replaced. Rows are kept as they are, repeats included.
     """
-    small_batches(docs.sparkSession)
     model = _shared_model(docs.sparkSession, ranks)
     keep = [c for c in docs.columns if c not in (text, ids)]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _encoder(model.value, pattern)
-        for b in batches:
+        for b in slices(batches):
             got = [tool.encode(t) if t else b"" for t in b.column(text).to_pylist()]
             cols = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.binary())], [*keep, ids])
@@ -172,7 +171,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _decoder(model.value)
-        for b in batches:
+        for b in slices(batches):
             got = [tool.decode(i) if i else b"" for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got, pa.binary())], [*keep, out])
 
@@ -191,6 +190,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by digests(): null and empty texts have no tokens, repeated rows stay, extra columns are not read."""
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))

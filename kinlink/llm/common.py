@@ -14,68 +14,86 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of some KB a batch stays at some MB.
+#: Rows that a function takes at a time; with texts of some KB they stay at some MB.
 ARROW_ROWS = 1000
 
-#: Files of an intermediate table, for each core of the cluster.
-FILES_PER_CORE = 2
-
-_TEST_ROOT: list[str] = []
+_LOCAL_ROOT: list[str] = []
+#: Paths of intermediate tables, for each scratch() that is open.
+_SCRATCH: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into at most ARROW_ROWS rows, so that whole texts stay small in a Python worker."""
+    for b in batches:
+        for at in range(0, b.num_rows, ARROW_ROWS):
+            yield b.slice(at, ARROW_ROWS)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share. Only where executors are threads of the driver may it be a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not _TEST_ROOT:
-        _TEST_ROOT.append("file://" + tempfile.mkdtemp(prefix="kinlink-"))
-    return _TEST_ROOT[0]
-
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="kinlink-"))
+    return _LOCAL_ROOT[0]
 
-def narrowed(df: DataFrame) -> DataFrame:
-    """Fewer partitions, as what is written has a file for each: enough for all cores, and a quarter of a shuffle's."""
-    spark = df.sparkSession
-    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions")) // 4
-    return df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, shuffled))
 
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` under the shared folder and read it again; lost executors cost nothing then.
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it again; lost executors cost nothing then."""
+    Within scratch() the table goes when that ends, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/kinlink-{tag}-{uuid.uuid4().hex}"
-    narrowed(df).write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinlink_path = path
     return out
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing reads any more."""
     path = getattr(df, "_kinlink_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end; results that read them must be kept tables by then."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in own:
+            delete_path(spark, path)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Groups of rows that stand together, from batches sorted by ``keys``; numeric columns only."""
+    """Groups of rows that stand together, from batches sorted by ``keys``."""
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import read_table, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 23
@@ -197,7 +197,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simila
     empty; a document without an id is left out. Rows that share an id count as one document.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     schema = "doc_id long, item_id long, similarity double, start long"
     found = spark.createDataFrame([], schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -206,7 +205,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simila
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tool = _block(shared.value, shingle, similarity)
-            for b in batches:
+            for b in slices(batches):
                 got = [(d, i, s, w) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, (s, w) in tool.leaks(t).items()]
                 cols = list(zip(*got, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
@@ -220,14 +219,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simila
 
 def drop_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose text holds no window like an item, as they are."""
-    small_batches(docs.sparkSession)
     out = docs
     for block in item_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tool = _block(shared.value, shingle, similarity)
-            for b in batches:
+            for b in slices(batches):
                 clean = [not tool.leaks(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
@@ -236,4 +234,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simila
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items by find_leaks(): null texts are empty, null ids left out, extra columns not read."""
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

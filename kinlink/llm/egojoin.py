@@ -6,7 +6,7 @@ vectors within it are in cells that differ by one at most on each axis. Each lab
 vectors are sorted by cells, first axis first, and cut into blocks; two blocks are joined
 only where their boxes of cells are that near, and within a pair the join is recursive:
 intervals of the sequence that lie too far apart on some axis are skipped, others halved,
-and small ones compared by the exact cosine of the given components.
+and small ones compared by the cosine in double precision.
 
 Equal vectors meet as one class with a weight. Pairs of blocks give each class its number of
 links and spanning links only, so a large group of near copies never becomes all its pairs.
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, materialize, read_table
+from .common import Forest, materialize, read_table, scratch
 from .components import connected_components
 
 COSINE = 0.98
 #: Axes of the grid, vectors of a block, and of an interval that is compared at once.
-AXES, BLOCK, SMALL = 6, 1024, 64
+AXES, BLOCK, SMALL = 6, 1024, 128
+#: Cosines of unit vectors this near the bound are computed again from the given components.
+EDGE = 1e-9
 #: Rounding of the rotated coordinates, in cells.
 SLACK = 1e-6
 
@@ -98,10 +100,15 @@ def interval_join(cells: np.ndarray, exact, self_join: bool, other: np.ndarray |
             stack += [(a0, a1, b0, m), (a0, a1, m, b1)]
 
 
-def _exact(v: np.ndarray, w: np.ndarray, cosine: float) -> np.ndarray:
-    """Which pairs have at least the cosine, in double precision from the given components."""
-    dots = np.einsum("ik,jk->ij", v, w)
-    return dots / (np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((w * w).sum(axis=1))[None, :]) >= cosine
+def _near(left: dict, right: dict, a0: int, a1: int, b0: int, b1: int, cosine: float) -> np.ndarray:
+    """Which pairs have at least the cosine: by unit vectors, and within EDGE of it from the given components."""
+    value = left["u"][a0:a1] @ right["u"][b0:b1].T
+    near = value >= cosine
+    i, j = np.nonzero(np.abs(value - cosine) < EDGE)
+    if len(i):
+        v, w = left["v"][a0 + i], right["v"][b0 + j]
+        near[i, j] = (v * w).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((w * w).sum(axis=1))) >= cosine
+    return near
 
 
 def join_blocks(left: dict, right: dict | None, cosine: float) -> tuple[np.ndarray, np.ndarray, Forest]:
@@ -109,18 +116,29 @@ def join_blocks(left: dict, right: dict | None, cosine: float) -> tuple[np.ndarr
     forest = Forest()
     same = right is None
     right = left if same else right
-    got = np.zeros(len(left["cls"]), np.int64)
+    n = len(left["cls"])
+    got = np.zeros(n, np.int64)
     gave = got if same else np.zeros(len(right["cls"]), np.int64)
+    names = left["cls"] if same else np.concatenate((left["cls"], right["cls"]))
+    group = np.arange(len(names))  # rows that are linked so far have one number
+    shift = 0 if same else n
 
     def exact(a0: int, a1: int, b0: int, b1: int) -> None:
-        near = _exact(left["v"][a0:a1], right["v"][b0:b1], cosine)
+        near = _near(left, right, a0, a1, b0, b1, cosine)
         if same and (a0, a1) == (b0, b1):
             np.fill_diagonal(near, False)
-        got[a0:a1] += near @ right["m"][b0:b1]
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        np.add.at(got, a0 + i, right["m"][b0 + j])
         if not (same and (a0, a1) == (b0, b1)):
-            gave[b0:b1] += near.T @ left["m"][a0:a1]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            forest.union(int(left["cls"][a0 + i]), int(right["cls"][b0 + j]))
+            np.add.at(gave, b0 + j, left["m"][a0 + i])
+        for k in np.unique(i).tolist():
+            own = group[a0 + k]
+            for other in np.unique(group[shift + b0 + j[i == k]]).tolist():
+                if other != own:
+                    forest.union(int(names[a0 + k]), int(names[np.flatnonzero(group == other)[0]]))
+                    group[group == other] = own
 
     interval_join(left["cells"], exact, same, right["cells"])
     return got, gave, forest
@@ -183,44 +201,59 @@ def _links_of(classes: DataFrame, size: int, cosine: float) -> DataFrame:
     schema = "label string, c0 int, block long, " + ", ".join(f"{n} int" for n in box_names) + f", rows array<{one}>"
     blocks = materialize(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, schema), "blocks")
 
+    # boxes first: only pairs of blocks that may hold near vectors are sent. They meet on the label and the two leading
+    # cells; a block over several second cells stands at each of them
     boxed = blocks.drop("rows")
     left = boxed.select(*(F.col(c).alias(f"a_{c}") for c in boxed.columns))
-    right = boxed.withColumn("_at", F.explode(F.array(F.col("c0"), F.col("c0") - 1)))
-    near = (left.a_label == right.label) & (left.a_c0 == right._at)
+    second = ("lo_c1", "hi_c1") if len(axis_names) > 1 else ("c0", "c0")
+    left = left.withColumn("_c1", F.explode(F.sequence(*(F.col(f"a_{c}") for c in second))))
+    reach = F.sequence(F.col(second[0]) - 1, F.col(second[1]) + 1)
+    right = boxed.withColumn("_at", F.explode(F.array(F.col("c0"), F.col("c0") - 1))).withColumn("_at1", F.explode(reach))
+    near = (left.a_label == right.label) & (left.a_c0 == right._at) & (left._c1 == right._at1)
     forward = (right.c0 > left.a_c0) | (right.block >= left.a_block)
     apart = F.lit(False)
     for c in axis_names:
         apart = apart | (F.col(f"a_lo_{c}") > F.col(f"hi_{c}") + 1) | (F.col(f"lo_{c}") > F.col(f"a_hi_{c}") + 1)
-    pairs = left.join(right, near & forward & ~apart).select("a_block", "block")
-    # a block goes once to each of its partners
+    pairs = left.join(right, near & forward & ~apart).select("a_block", "block").distinct()
+    # each block stays where it is, once, and its partners come to it; half of a block's pairs are its partner's
+    turn = F.xxhash64("a_block").bitwiseXOR(F.xxhash64("block")).bitwiseAND(F.lit(1)) == 0
+    pairs = pairs.select(F.when(turn, F.col("a_block")).otherwise(F.col("block")).alias("home"), F.when(turn, F.col("block")).otherwise(F.col("a_block")).alias("block"))
     full = blocks.select("block", "rows")
-    first = full.select(F.col("block").alias("a_block"), F.col("rows").alias("a_rows"))
-    both = pairs.join(first, "a_block").join(full, "block")
-    both = both.select("a_rows", F.when(F.col("a_block") == F.col("block"), F.lit(None)).otherwise(F.col("rows")).alias("b_rows"))
+    guests = pairs.where("home <> block").join(full, "block").select("home", F.lit(1).alias("guest"), "rows")
+    homes = full.select(F.col("block").alias("home"), F.lit(0).alias("guest"), "rows")
+    both = homes.unionByName(guests).repartition("home").sortWithinPartitions("home", "guest")
 
     def block(own: pa.Array) -> dict:
+        v = _matrix(own.field("v"))
         return {
             "cls": own.field("cls").to_numpy(zero_copy_only=False),
             "m": own.field("m").to_numpy(zero_copy_only=False),
-            "v": _matrix(own.field("v")),
+            "v": v,
+            "u": _unit(v),
             "cells": np.stack([own.field(c).to_numpy(zero_copy_only=False) for c in axis_names], 1),
         }
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each home comes before its guests, which pass by it one at a time."""
+        home = None
         for b in batches:
+            guest = b.column(1).to_pylist()
             for i in range(b.num_rows):
-                a_rows, b_rows = b.column(0).slice(i, 1), b.column(1).slice(i, 1)
-                one = block(a_rows.flatten())
-                two = block(b_rows.flatten()) if b_rows[0].is_valid else None
-                got, gave, forest = join_blocks(one, two, cosine)
-                cls, weight = [one["cls"][got > 0]], [got[got > 0]]
-                if two is not None:
-                    cls.append(two["cls"][gave > 0])
-                    weight.append(gave[gave > 0])
+                one = block(b.column(2).slice(i, 1).flatten())
+                if guest[i]:
+                    cls = np.concatenate((home["cls"], one["cls"]))
+                    got, gave, forest = join_blocks(home, one, cosine)
+                    weight = np.concatenate((got, gave))
+                else:
+                    home = one
+                    cls = one["cls"]
+                    weight, _, forest = join_blocks(one, None, cosine)
                 x, y = forest.links()
-                cls, weight = np.concatenate([*cls, np.array(x, np.int64)]), np.concatenate([*weight, np.zeros(len(x), np.int64)])
-                to = pa.array([None] * (len(cls) - len(x)) + y, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(weight, pa.int64()), to], ["cls", "links", "to"])
+                cls, weight = cls[weight > 0], weight[weight > 0]
+                if len(cls):
+                    cls, weight = np.concatenate((cls, np.array(x, np.int64))), np.concatenate((weight, np.zeros(len(x), np.int64)))
+                    to = pa.array([None] * (len(cls) - len(x)) + y, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(weight, pa.int64()), to], ["cls", "links", "to"])
 
     return both.mapInArrow(join, "cls long, links long, to long")
 
@@ -234,33 +267,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vec_id reachable, kept says that it is the row's own; a null vec_id is never kept.
     """
     spark = vectors.sparkSession
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # rows hold whole blocks
-    own = materialize(prepared(vectors), "vectors")
-    classes = own.where("able").groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("m"), F.any_value("v").alias("v"))
-    classes = materialize(classes, "classes")
-    sizes = [r[0] for r in classes.select(F.size("v")).distinct().collect()]  # of vectors: a handful of dimensions
-    found = None
-    for size in sorted(sizes):
-        part = _links_of(classes, size, cosine)
-        found = part if found is None else found.unionByName(part)
-    found = materialize(found if found is not None else spark.createDataFrame([], "cls long, links long, to long"), "egolinks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)  # what is left runs in the JVM
-    groups = connected_components(found.where("to is not null"), "cls", "to")
-    count = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    named = (
-        classes.select("label", "d1", "d2", "cls", "m")
-        .join(count, "cls", "left")
-        .join(groups, F.col("cls") == F.col("node"), "left")
-        .select("label", "d1", "d2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "cls").alias("_component"))
-    )
-    both = own.select("vec_id", "able", "label", "d1", "d2").join(named, ["label", "d1", "d2"], "left")
-    return both.select(
-        "vec_id",
-        F.when(F.col("able"), F.col("_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("able"), F.col("_component")).otherwise(F.col("vec_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    with scratch(spark):
+        own = materialize(prepared(vectors), "vectors")
+        classes = own.where("able").groupBy("label", "d1", "d2").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("m"), F.any_value("v").alias("v"))
+        classes = materialize(classes, "classes")
+        sizes = [r[0] for r in classes.select(F.size("v")).distinct().collect()]  # of vectors: a handful of dimensions
+        found = None
+        for size in sorted(sizes):
+            part = _links_of(classes, size, cosine)
+            found = part if found is None else found.unionByName(part)
+        found = materialize(found if found is not None else spark.createDataFrame([], "cls long, links long, to long"), "egolinks")
+        groups = connected_components(found.where("to is not null"), "cls", "to")
+        count = found.groupBy("cls").agg(F.sum("links").alias("links"))
+        named = (
+            classes.select("label", "d1", "d2", "cls", "m")
+            .join(count, "cls", "left")
+            .join(groups, F.col("cls") == F.col("node"), "left")
+            .select("label", "d1", "d2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "cls").alias("_component"))
+        )
+        both = own.select("vec_id", "able", "label", "d1", "d2").join(named, ["label", "d1", "d2"], "left")
+        out = both.select(
+            "vec_id",
+            F.when(F.col("able"), F.col("_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+            F.when(F.col("able"), F.col("_component")).otherwise(F.col("vec_id")).alias("component_id"),
+        ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+        return materialize(out, "near", keep=True)
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors by near_duplicates(): null, zero and non-finite ones link with nothing, repeated rows stay, extra columns are not read."""
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))

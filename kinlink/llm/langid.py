@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import read_table, small_batches
+from .common import read_table, slices
 
 ORDERS = 3
 #: Documents of each language to fit on, and how many of those are landmarks: the bounds of the sample.
@@ -163,7 +163,6 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
     """Fit on at most ``per_language`` documents of each language, in the order of a hash of their ids."""
-    small_batches(docs.sparkSession)
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     # about SPARE times as many as wanted pass a threshold on a hash, whatever the size of a language
     sizes = docs.where(F.col("lang").isNotNull() & ~held_out()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +177,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     ids = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             grams = [presence(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.binary())], ["doc_id", "lang", "grams"])
 
@@ -194,13 +193,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     lang_pred is a learnt language, or "und" (score 0) if the text is null, empty or has no letter,
     or if there was nothing to learn from.
     """
-    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = shared.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
@@ -210,6 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by identify(): null texts and texts without a letter are "und", repeated rows stay, extra columns are not read."""
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs.select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -1,7 +1,7 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Runs hold ``(h1, h2, owner)``: a line's 128-bit hash and the smallest doc_id that holds it.
-A run is a table sorted by hash within hash partitions. A batch of documents brings its own
+A run is a table bucketed and sorted by hash. A batch of documents brings its own
 keys, merge-anti-joins them with the runs, and what is new becomes a run of level 0; once a
 level holds ``fanout`` runs they are merged into one run of the next level. Batches must come
 in order of doc_id, as the first holder keeps a line; dedup() cuts them by doc_id.
@@ -13,6 +13,7 @@ all partitions. Per key, one pre-aggregated row of each batch meets the runs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, read_table, small_batches
+from .common import delete_path, materialize, read_table, scratch, shared_root, slices
 
 SPACE = b" \t\n\v\f\r"
 #: Keys of fewer code points than this are never dropped.
 LEAST = 10
-#: Batches that dedup() cuts a table into, and runs of a level before they are merged.
-BATCHES = 3
+#: Batches that dedup() cuts a table into at least, occurrences of a batch, and runs of a level before they are merged.
+BATCHES, BATCH_ROWS = 3, 1 << 31
 FANOUT = 2
 
 
@@ -46,11 +47,10 @@ def line_keys(text: str | None) -> list[bytes | None]:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """``(h1, h2, doc_id)`` once for each document and key; documents without an id hold none."""
-    small_batches(docs.sparkSession)
     names = ["h1", "h2", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, ids = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = {k for k in line_keys(t) if k}
@@ -65,31 +65,54 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 class Runs:
-    """Levels of sorted runs in the shared folder."""
+    """Levels of sorted runs in the shared folder.
+
+    A run is a table bucketed and sorted by hash, so a merge join reads it as it lies; only the batch is dealt anew.
+    Tables that a compaction replaces are deleted: results that read them must be written by then, as dedup()'s are.
+    """
 
     def __init__(self, fanout: int = FANOUT) -> None:
         self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[tuple[DataFrame, str, str]]] = []
 
     def tables(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [r[0] for level in self.levels for r in level]
 
     @staticmethod
-    def _write(rows: DataFrame, level: int) -> DataFrame:
-        return materialize(rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), f"run{level}")
+    def _write(rows: DataFrame, level: int) -> tuple[DataFrame, str, str]:
+        spark = rows.sparkSession
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"kinlink_run{level}_{uuid.uuid4().hex}"
+        path = f"{shared_root(spark)}/{name}"
+        rows.write.option("path", path).bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        return spark.table(name), name, path
 
-    def _push(self, run: DataFrame, level: int) -> None:
+    @staticmethod
+    def _drop(run: tuple[DataFrame, str, str]) -> None:
+        df, name, path = run
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(df.sparkSession, path)
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        for level in self.levels:
+            for run in level:
+                self._drop(run)
+        self.levels = []
+
+    def _push(self, run: tuple[DataFrame, str, str], level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         own = self.levels[level]
         own.append(run)
         if len(own) >= self.fanout:
-            merged = own[0]
+            merged = own[0][0]
             for r in own[1:]:
-                merged = merged.unionByName(r)
-            run = self._write(merged, level + 1)
+                merged = merged.unionByName(r[0])
+            buckets = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            run = self._write(merged.repartition(buckets, "h1", "h2"), level + 1)
             for r in own:
-                discard(r)
+                self._drop(r)
             self.levels[level] = []
             self._push(run, level + 1)
 
@@ -118,26 +141,32 @@ def _bounds(rows: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def dropped_lines(docs: DataFrame, batches: int = BATCHES, runs: Runs | None = None) -> DataFrame:
-    """``(doc_id, drop)``: the 16-byte hashes of the lines that each document loses.
+def dropped_lines(docs: DataFrame, batches: int | None = None, runs: Runs | None = None) -> DataFrame:
+    """``(doc_id, drop)``: the 16-byte hashes of the lines that each document loses; a table of its own.
 
-    Given ``runs`` of earlier documents (all of smaller ids), lines that those hold go too.
+    Given ``runs`` of earlier documents (all of smaller ids), lines that those hold go too, and the runs stay.
     """
-    runs = runs or Runs()
-    rows = materialize(occurrences(docs), "lines")
-    cuts = _bounds(rows, batches) if batches > 1 else []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows
-        if low is not None:
-            part = part.where(F.col("doc_id") > low)
-        if high is not None:
-            part = part.where(F.col("doc_id") <= high)
-        runs.add(part)
-    gone = runs.dropped(rows)
-    return gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
-
-
-def dedup(docs: DataFrame, batches: int = BATCHES, runs: Runs | None = None) -> DataFrame:
+    own = runs or Runs()
+    with scratch(docs.sparkSession):
+        rows = materialize(occurrences(docs), "lines")
+        if batches is None:
+            batches = max(BATCHES, -(-rows.count() // BATCH_ROWS))
+        cuts = _bounds(rows, batches) if batches > 1 else []
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            part = rows
+            if low is not None:
+                part = part.where(F.col("doc_id") > low)
+            if high is not None:
+                part = part.where(F.col("doc_id") <= high)
+            own.add(part)
+        gone = own.dropped(rows).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+        gone = materialize(gone, "gone", keep=True)
+    if runs is None:
+        own.drop()
+    return gone
+
+
+def dedup(docs: DataFrame, batches: int | None = None, runs: Runs | None = None) -> DataFrame:
     """All columns of ``docs`` with the text that is left, and ``n_lines`` and ``n_dropped``.
 
     A line's key is the line stripped of white space with A-Z in lower case. Of keys with at
@@ -151,7 +180,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, runs: Runs | None = None) ->
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             drops = b.column(len(names))
             texts, lines, lost = [], [], []
             h1, h2 = (drops.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -176,6 +205,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, runs: Runs | None = None) ->
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by dedup(): null texts are one empty line, rows without an id stay whole, extra columns are not read."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, platt, precise_threshold
-from .common import read_table, small_batches
+from .common import read_table, slices
 
 KINDS = ("email", "ip", "card", "phone")
 SEED, CASES, PRECISION = 20240611, 6000, 0.995
@@ -272,12 +272,11 @@ def find(docs: DataFrame) -> DataFrame:
     Spans are "kind:start:end" in code points, joined by commas, by start and then kind. Null
     texts are empty. Rows are judged one by one, repeats and null ids too.
     """
-    small_batches(docs.sparkSession)
     model = trained()
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "redacted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts: list[list[int]] = [[] for _ in KINDS]
             base_, spans_, texts = [], [], []
             for text in b.column(1).to_pylist():
@@ -297,5 +296,6 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by find(): null texts are empty, repeated rows stay, extra columns are not read."""
     got = find(read_table(spark, sf_dir, "documents"))
     return got.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")

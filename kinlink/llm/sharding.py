@@ -2,7 +2,7 @@
 
 Records are ordered by (hash of the text, doc_id), so equal texts stand together. A
 size-weighted sample of keys gives quantile boundaries; a quantile on which one text weighs
-more than a range's share is subdivided by doc_id. Records find their range by a three-level
+more than a range's share is subdivided by doc_id. Records find their range by a two-level
 search in literal splitters. The exact sizes of ranges (a few thousand rows at most) then
 turn running sums within ranges into global offsets, and the offset's eighth is the shard:
 ranges that straddle an edge are subdivided exactly, whatever the sample was like.
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, read_table
+from .common import materialize, read_table, scratch
 
 #: Sampled keys (a bound for what the driver holds), and bytes a range should have.
 SAMPLE = 20_000
@@ -40,8 +40,8 @@ def sample_keys(rows: DataFrame, total: int, wanted: int = SAMPLE) -> list[tuple
     """Keys drawn with a chance in proportion to size; one that is sure to be drawn keeps its weight."""
     share = F.col("size") * F.lit(wanted / max(total, 1))
     # pseudo-random and the same on each run
-    u = (F.pmod(F.xxhash64(F.lit(11), "doc_id", "h"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    drawn = rows.where(u < share).select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.greatest(share, F.lit(1.0)).alias("w"))
+    u = (F.pmod(F.xxhash64(F.lit(11), "_d", "h"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    drawn = rows.where(u < share).select("h", F.col("_d").alias("d"), F.greatest(share, F.lit(1.0)).alias("w"))
     return [tuple(r) for r in drawn.collect()]
 
 
@@ -97,43 +97,47 @@ def place(rows: DataFrame, shards: int, law: str = "bytes", range_bytes: int = R
     that differ by one at most. Slots run from 0 without gaps; ties are rows alike.
     An empty table gives no rows.
     """
-    rows = materialize(rows, "records")
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = min(FANOUT**3, max(LEAST_RANGES, total // range_bytes))
-    points = splitters(sample_keys(rows, total), ranges)
-    rows = rows.withColumn("_d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("range", range_of(points))
-    # a few thousand rows at most: FANOUT ** 3 ranges
-    sizes = sorted(rows.groupBy("range").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect())
-    before, b, n = [], 0, 0
-    for r, rb, rn in sizes:
-        before.append((r, b, n))
-        b, n = b + rb, n + rn
-    starts = rows.sparkSession.createDataFrame(before, "range int, _b0 long, _n0 long")
-    own = Window.partitionBy("range").orderBy("h", "_d", "text_crc32", "size")
-    run = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    alike = Window.partitionBy("range", "h")
-    placed = (
-        rows.withColumn("_run", F.sum("size").over(run) - F.col("size"))
-        .withColumn("_row", F.row_number().over(own) - 1)
-        .join(F.broadcast(starts), "range")
-        .withColumn("_at", F.col("_b0") + F.col("_run"))
-        .withColumn("_gat", F.min("_at").over(alike))
-        .withColumn("_gsize", F.sum("size").over(alike))
-        .withColumn("_g", F.col("_n0") + F.col("_row"))
-    )
-    if law == "rows":
-        shard = F.floor(F.col("_g") * shards / F.lit(max(count, 1)))
-    else:
-        snug = F.col("_gsize") <= F.lit(SNAP * total / shards)
-        # a record or group goes where its middle lies
-        middle = F.when(snug, F.col("_gat") + F.col("_gsize") / 2).otherwise(F.col("_at") + F.col("size") / 2)
-        shard = F.floor(middle * shards / F.lit(max(total, 1)))
-    placed = placed.withColumn("shard", F.least(shard, F.lit(shards - 1)).cast("int"))
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "shard", "_g"), "placed")
-    firsts = placed.groupBy("shard").agg(F.min("_g").alias("_first"))  # a row for each shard
-    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_g") - F.col("_first")).drop("_g", "_first")
+    with scratch(rows.sparkSession):
+        # rows without an id are told apart by where they stand
+        tie = F.coalesce("doc_id", F.lit(-(1 << 63)) + F.monotonically_increasing_id())
+        rows = materialize(rows.withColumn("_d", tie), "records")
+        total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+        ranges = min(FANOUT**3, max(LEAST_RANGES, total // range_bytes))
+        points = splitters(sample_keys(rows, total), ranges)
+        rows = rows.withColumn("range", range_of(points))
+        # a few thousand rows at most: FANOUT ** 3 ranges
+        sizes = sorted(rows.groupBy("range").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect())
+        before, b, n = [], 0, 0
+        for r, rb, rn in sizes:
+            before.append((r, b, n))
+            b, n = b + rb, n + rn
+        starts = rows.sparkSession.createDataFrame(before, "range int, _b0 long, _n0 long")
+        own = Window.partitionBy("range").orderBy("h", "_d", "text_crc32", "size")
+        run = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        alike = Window.partitionBy("range", "h")
+        placed = (
+            rows.withColumn("_run", F.sum("size").over(run) - F.col("size"))
+            .withColumn("_row", F.row_number().over(own) - 1)
+            .join(F.broadcast(starts), "range")
+            .withColumn("_at", F.col("_b0") + F.col("_run"))
+            .withColumn("_gat", F.min("_at").over(alike))
+            .withColumn("_gsize", F.sum("size").over(alike))
+            .withColumn("_g", F.col("_n0") + F.col("_row"))
+        )
+        if law == "rows":
+            shard = F.floor(F.col("_g") * shards / F.lit(max(count, 1)))
+        else:
+            snug = F.col("_gsize") <= F.lit(SNAP * total / shards)
+            # a record or group goes where its middle lies
+            middle = F.when(snug, F.col("_gat") + F.col("_gsize") / 2).otherwise(F.col("_at") + F.col("size") / 2)
+            shard = F.floor(middle * shards / F.lit(max(total, 1)))
+        placed = placed.withColumn("shard", F.least(shard, F.lit(shards - 1)).cast("int"))
+        placed = materialize(placed.select("doc_id", "size", "text_crc32", "shard", "_g"), "placed", keep=True)
+        firsts = placed.groupBy("shard").agg(F.min("_g").alias("_first"))  # a row for each shard
+        return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_g") - F.col("_first")).drop("_g", "_first")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by place(): null texts have size 1, null ids are placed too, repeated rows stay, extra columns are not read."""
     placed = place(records(read_table(spark, sf_dir, "documents")), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

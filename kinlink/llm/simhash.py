@@ -12,10 +12,10 @@ of shards, and a shard's tree goes to the searches of its own shard through a sh
   blocks of the bits that are left, and what is still too large is dealt as pairs of
   chunks. No pair within the radius is lost on the way.
 * ``near_duplicates``: documents whose sets of word shingles have a Jaccard similarity
-  of at least ``similarity``; fingerprints are of the sets, too. Distances are then too large for blocks, so shards are
-  the minima of several hash orders over a document's shingles: a pair at similarity s
-  meets in none of k shards with probability (1 - s) ** k. The trees propose, and exact
-  similarity of the shingles decides.
+  of at least ``similarity``; fingerprints are of the sets, too, and four times as wide. Distances are then too
+  large for blocks, so shards are bands: two minima of hash orders over a document's shingles. A pair at
+  similarity s meets in none of k bands with probability (1 - s ** 2) ** k. The trees propose, and exact
+  similarity of the shingles decides, for all pairs that a proposal may stand for.
 
 Searches give spanning links (a union-find in each task), never all pairs of a group.
 """
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, materialize, pair_blocks, read_table, small_batches, sorted_groups
+from .common import Forest, materialize, pair_blocks, read_table, scratch, slices, sorted_groups
 from .components import connected_components
 
 #: Most fingerprints of one tree.
@@ -75,10 +75,9 @@ def signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``(doc_id, fp)`` of each row; null and blank texts have fingerprint zero."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [signed(fingerprint(shingle_hashes(t, size))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -146,8 +145,10 @@ def block_shards(classes: DataFrame, radius: int, cap: int) -> DataFrame:
     first = first.join(counts, "_shard")
     deeper = F.lit(None)
     for k, (start, width) in enumerate(blocks):
-        # the other bits, rotated so that they stand together, are cut in radius + 1 blocks again
-        left = F.shiftleft(fp, 64 - start).bitwiseOR(F.shiftrightunsigned(fp, start + width)) if start else F.shiftrightunsigned(fp, width)
+        # the other bits, moved so that they stand together, are cut in radius + 1 blocks again; shifts stay below 64
+        left = _bits(fp, 0, start) if start else F.lit(0).cast("long")
+        if start + width < 64:
+            left = F.shiftrightunsigned(fp, start + width).bitwiseOR(F.shiftleft(left, 64 - start - width))
         subs = [F.xxhash64(F.col("_shard"), F.lit(m), _bits(left, s, w)) for m, (s, w) in enumerate(_cut(0, 64 - width, radius + 1))]
         deeper = F.when(F.col("_b.k") == k, F.array(*subs)).otherwise(deeper)
     shard = F.explode(F.when(F.col("_n") <= cap, F.array("_shard")).otherwise(deeper))
@@ -157,9 +158,14 @@ def block_shards(classes: DataFrame, radius: int, cap: int) -> DataFrame:
 def search_shards(rows: DataFrame, radius: int) -> DataFrame:
     """Spanning links ``(a, b)`` of ids whose fingerprints lie within the radius in a shard.
 
-    ``rows`` has shard, fp and id; several ids may have one fingerprint.
+    ``rows`` has shard, fp (a long) and id; several ids may have one fingerprint.
     """
-    dealt = pair_blocks(rows, "shard", "fp", TREE).select("shard", "i", "j", "side", "fp", "id")
+    return search_dealt(pair_blocks(rows, "shard", "fp", TREE), radius)
+
+
+def search_dealt(dealt: DataFrame, radius: int) -> DataFrame:
+    """search_shards() of rows that pair_blocks() dealt; fp is a long, or bytes of any length."""
+    dealt = dealt.select("shard", "i", "j", "side", "fp", "id")
     keys = ["shard", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +173,8 @@ def search_shards(rows: DataFrame, radius: int) -> DataFrame:
             if len(g["fp"]) < 2:
                 continue
             i, j = int(g["i"][0]), int(g["j"][0])
-            fps = (g["fp"].view(np.uint64)).tolist()
+            wide = g["fp"].dtype == object
+            fps = [int.from_bytes(x, "big") for x in g["fp"]] if wide else g["fp"].view(np.uint64).tolist()
             forest, owner = Forest(), {}
             for f, x in zip(fps, g["id"].tolist(), strict=True):
                 forest.union(x, owner.setdefault(f, x))
@@ -201,83 +208,75 @@ def linked(fps: DataFrame, radius: int = 3, cap: int = TREE) -> DataFrame:
     one class before any search. A null doc_id keeps its row and gets its class's component
     (null if no row of it has an id); null fingerprints never occur in fingerprints().
     """
-    fps = materialize(fps, "fps")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("cls"))
-    shards = block_shards(classes.where("cls is not null").withColumnRenamed("cls", "id"), radius, cap)
-    # materialised, as the rounds would else search again
-    links = materialize(search_shards(shards, radius).distinct(), "bklinks")
-    groups = connected_components(links)
-    named = classes.join(groups, classes.cls == groups.node, "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "cls").alias("component_id")
-    )
-    return fps.join(named, fps.fp == named._fp).drop("_fp")
-
-
-#: Hash orders whose minima are shards, and the Hamming radius within a shard. At similarity 0.8 a bit of
-#: two fingerprints differs with a chance of 0.1875 at most (four shingles of five), 0.162 in all other
-#: sizes and 0.152 in long texts: over 28 bits of 64 differ in 1.1e-6 of pairs at worst, in 1e-8 of long ones.
-ORDERS, WIDE = 10, 28
+    with scratch(fps.sparkSession):
+        fps = materialize(fps, "fps")
+        classes = fps.groupBy("fp").agg(F.min("doc_id").alias("cls"))
+        shards = block_shards(classes.where("cls is not null").withColumnRenamed("cls", "id"), radius, cap)
+        # materialised, as the rounds would else search again
+        links = materialize(search_shards(shards, radius).distinct(), "bklinks")
+        groups = connected_components(links)
+        named = classes.join(groups, classes.cls == groups.node, "left").select(
+            F.col("fp").alias("_fp"), F.coalesce("component", "cls").alias("component_id")
+        )
+        return materialize(fps.join(named, fps.fp == named._fp).drop("_fp"), "linked", keep=True)
+
+
+#: Words of 64 bits of a wide fingerprint, and the Hamming radius of proposals. At similarity 0.8 a bit of two
+#: fingerprints differs with a chance of 0.1875 at most (four shingles of five), 0.152 in long texts: over
+#: 84 bits of 256 differ in 2.7e-8 of pairs at worst; of pairs without a common shingle 2e-8 are that near.
+WORDS, WIDE = 4, 84
+#: Bands of two hash orders: a pair at similarity 0.8 shares none of 14 with a chance of 0.36 ** 14 = 6e-7.
+BANDS = 14
 #: Documents of one task that compares shingles.
 VERIFY = 256
-_MULTIPLIERS = np.random.default_rng(20240203).integers(1, 1 << 63, ORDERS, dtype=np.uint64) | np.uint64(1)
+_DRAW = np.random.default_rng(20240203)
+_MULTIPLIERS = _DRAW.integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
+_WORD_MULTIPLIERS = _DRAW.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+
+
+def _mixed(h: np.ndarray, by: np.uint64) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(29))) * by
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    return b"".join(fingerprint(_mixed(hashes, m)).to_bytes(8, "big") for m in _WORD_MULTIPLIERS)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least of the hashes in each of ORDERS orders."""
-    out = np.empty(ORDERS, np.uint64)
-    for k, m in enumerate(_MULTIPLIERS):
-        x = hashes * m
-        out[k] = (x ^ (x >> np.uint64(32))).min()
-    return out
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS values, each of the least hashes in two orders; none without hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(2 * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        x = hashes[None, at : at + (1 << 12)] * _MULTIPLIERS[:, None]
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    return (_mixed(least[:BANDS], _MULTIPLIERS[0]) + least[BANDS:] * _MULTIPLIERS[:BANDS]).view(np.int64)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, the digest (d1, d2) of the words, fingerprint and minima of the distinct shingles (none without words) of each row with an id."""
-    small_batches(docs.sparkSession)
-    names = ["doc_id", "d1", "d2", "fp", "mins"]
+    """doc_id, the digest (d1, d2) of the words, wide fingerprint and bands of the distinct shingles of each row with an id."""
+    names = ["doc_id", "d1", "d2", "fp", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests, fps, mins = [], [], []
+        for b in slices(batches):
+            digests, fps, own = [], [], []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, size))
                 digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
-                fps.append(signed(fingerprint(h)))
-                mins.append(minima(h).view(np.int64).tolist() if len(h) else [])
+                fps.append(wide_fingerprint(h))
+                own.append(bands(h).tolist())
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            cols = [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(fps, pa.int64()), pa.array(mins, pa.list_(pa.int64()))]
+            cols = [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(fps, pa.binary()), pa.array(own, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, fp long, mins array<long>")
+    return rows.mapInArrow(run, "doc_id long, d1 long, d2 long, fp binary, bands array<long>")
 
 
-def minima_shards(classes: DataFrame, cap: int) -> DataFrame:
-    """``(shard, fp, id)``: classes by each of their minima; a shard of over ``cap`` is cut by the other minima."""
-    first = classes.select("id", "fp", "mins", F.posexplode("mins").alias("_k", "_v")).withColumn("_shard", F.xxhash64("_k", "_v"))
-    counts = first.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    others = F.filter(F.transform("mins", lambda v, k: F.when(k != F.col("_k"), F.xxhash64(F.col("_shard"), k, v))), lambda x: x.isNotNull())
-    shard = F.explode(F.when(F.col("_n") <= cap, F.array("_shard")).otherwise(others))
-    return first.join(counts, "_shard").select(shard.alias("shard"), "fp", "id")
-
-
-def _verified(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Spanning links ``(a, b)`` of members (cluster, cls) whose texts (doc_id, text) are as similar as that.
-
-    Members are dealt before their texts join them, so a large cluster's texts never move by its key;
-    a text's shingles are made once for each pair of chunks it is in, which is once in most clusters.
-    """
-    keys = ["cluster", "i", "j"]
-    dealt = pair_blocks(members, "cluster", "cls", VERIFY).select(*keys, "cls")
-    full = dealt.join(texts, F.col("cls") == F.col("doc_id")).select(*keys, "cls", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(own, pa.binary())], [*keys, "cls", "shingles"])
-
-    dealt = full.mapInArrow(sets, "cluster long, i int, j int, cls long, shingles binary")
-    names = ["a", "b"]
+def _compare(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links ``(a, b)`` of the rows (cluster, i, j, cls, comp, shingles) of a group; equal comps are linked already."""
 
     def links(table: pa.Table) -> pa.Table:
         cls = table["cls"].to_numpy()
@@ -288,7 +287,7 @@ def _verified(members: DataFrame, texts: DataFrame, size: int, similarity: float
         held = np.repeat(np.arange(len(sets)), sizes)[np.argsort(terms, kind="stable")]
         counts = np.bincount(terms)
         firsts, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
-        group = np.arange(len(sets))
+        group = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
         forest = Forest()
         for x in range(len(sets)):
             lo, hi = np.minimum(sizes[x + 1 :], sizes[x]), np.maximum(sizes[x + 1 :], sizes[x])
@@ -303,32 +302,93 @@ def _verified(members: DataFrame, texts: DataFrame, size: int, similarity: float
                 forest.union(int(cls[x]), int(cls[y]))
                 group[group == group[y]] = group[x]
         a, b = forest.links()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = dealt.select("cluster", "i", "j", "cls", "comp", "shingles")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(links, "a long, b long")
+
+
+def _chunk(of: str) -> Column:
+    """The chunk of about VERIFY members that a member of a group of so many falls in."""
+    return F.pmod(F.xxhash64(F.lit(7), "cls"), F.greatest(F.ceil(F.col(of) / F.lit(VERIFY)), F.lit(1))).cast("int")
+
 
-    return dealt.groupBy(*keys).applyInArrow(links, "a long, b long")
+def _named(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members with ``comp``, the component they are known to be in."""
+    return members.join(groups, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """Groups in which each pair of members (cluster, cls, comp) of different comps meets.
+
+    The largest component of a cluster is cut in chunks that meet those of the others, never each other:
+    the rows sent are its members times the chunks of the others, which are few where most are linked.
+    """
+    parts = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = parts.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
+    own = members.join(per, "cluster").withColumn("major", F.col("comp") == F.col("top.comp"))
+    own = own.withColumn("_many", F.col("top.n")).withColumn("_few", F.col("total") - F.col("top.n"))
+    few, many = F.ceil(F.col("_few") / VERIFY).cast("int"), F.ceil(F.col("_many") / VERIFY).cast("int")
+    side = F.when(F.col("major"), -1 - _chunk("_many")).otherwise(_chunk("_few"))
+    others = F.when(F.col("major"), F.sequence(F.lit(0), few - 1)).otherwise(F.sequence(-many, few - 1))
+    own = own.withColumn("side", side).withColumn("_other", F.explode(others))
+    return own.select("cluster", "cls", "comp", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, cap: int = TREE) -> DataFrame:
+def _verified(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Components ``(node, component)`` of members (cluster, cls) whose texts (doc_id, text) are as similar as that.
+
+    Chunks of a cluster are compared first, each member once. Of clusters of several chunks, one member of each
+    component that is found meets the others', and what is then still apart meets all members of other components.
+    """
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    # dealt before the texts join, so a large cluster's texts never move by its key
+    dealt = members.join(sizes, "cluster").withColumn("i", _chunk("n"))
+    full = dealt.join(texts, F.col("cls") == F.col("doc_id")).select("cluster", "i", "n", "cls", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(own, pa.binary())], ["cluster", "i", "n", "cls", "shingles"])
+
+    own = materialize(full.mapInArrow(sets, "cluster long, i int, n long, cls long, shingles binary"), "sets")
+    links = materialize(_compare(own.select("*", F.col("i").alias("j"), F.col("cls").alias("comp")), similarity), "verified")
+    groups = connected_components(links)
+    large = own.where(F.col("n") > VERIFY)
+    if large.select("cls").isEmpty():
+        return groups
+    shingles = large.select("cls", "shingles")
+    first = _named(large.select("cluster", "cls"), groups).where("cls = comp")
+    met = pair_blocks(first, "cluster", "cls", VERIFY).join(shingles, "cls")
+    links = links.unionByName(materialize(_compare(met, similarity), "verified"))
+    left = materialize(_rest(_named(large.select("cluster", "cls"), connected_components(links))), "left")
+    links = links.unionByName(materialize(_compare(left.join(shingles, "cls"), similarity), "verified"))
+    return connected_components(links)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` for each document that has an id.
 
     Documents link if their words (A-Z in lower case) are equal, or if the Jaccard similarity of
     their sets of ``size``-word shingles is at least ``similarity``; component_id is the smallest doc_id
     reachable. Documents without words are alike. Rows that share an id count as one document.
     """
-    drawn = materialize(sketches(docs, size), "sketches")
-    classes = drawn.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.any_value("fp").alias("fp"), F.any_value("mins").alias("mins"))
-    classes = materialize(classes, "classes")
-    shards = minima_shards(classes.select(F.col("cls").alias("id"), "fp", "mins"), cap)
-    proposed = connected_components(materialize(search_shards(shards, WIDE).distinct(), "proposed"))
-    # members of clusters, their roots too
-    cluster = proposed.unionByName(proposed.select(F.col("component").alias("node"), "component").distinct())
-    members = classes.select("cls").join(cluster, F.col("cls") == F.col("node")).select("cls", F.col("component").alias("cluster"))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = connected_components(materialize(_verified(members, texts, size, similarity).distinct(), "verified"))
-    named = classes.join(groups, F.col("cls") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "cls").alias("component_id"))
-    # rows that share an id may be in several classes: the document takes the smallest
-    return drawn.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        drawn = materialize(sketches(docs, size), "sketches")
+        classes = drawn.groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+        classes = materialize(classes, "classes")
+        dealt = pair_blocks(classes.select(F.col("cls").alias("id"), F.explode("bands").alias("shard")), "shard", "id", TREE)
+        dealt = dealt.join(classes.select(F.col("cls").alias("id"), "fp"), "id")
+        proposed = connected_components(materialize(search_dealt(dealt, WIDE).distinct(), "proposed"))
+        # members of clusters, their roots too
+        cluster = proposed.unionByName(proposed.select(F.col("component").alias("node"), "component").distinct())
+        members = materialize(cluster.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "members")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        groups = _verified(members, texts, size, similarity)
+        named = _named(classes.select("d1", "d2", "cls"), groups).select("d1", "d2", "comp")
+        # rows that share an id may be in several classes: the document takes the smallest
+        out = drawn.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("comp").alias("component_id"))
+        return materialize(out, "near", keep=True)
 
 
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -338,5 +398,6 @@ def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by linked(): null and blank texts have fingerprint zero, extra columns are not read, repeated rows stay."""
     got = linked(fingerprints(read_table(spark, sf_dir, "documents"), 3), 3)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -86,11 +86,61 @@ def test_near_duplicates_as_all_pairs_say(spark, sf, monkeypatch):
     assert {x.doc_id: x.component_id for x in sh.near_duplicates(table(spark, rows)).collect()} == plain_near(rows)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = plain_near([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert {x.doc_id: x.component_id for x in sh.near_duplicates(docs, cap=2).collect()} == want
+    assert {x.doc_id: x.component_id for x in sh.near_duplicates(docs).collect()} == want
     kept = {x.doc_id for x in sh.keep_first(docs).collect()}
     assert kept == {d for d, c in want.items() if c == d}
 
 
+def test_large_clusters_and_shards_lose_no_link(spark, monkeypatch):
+    """Chains and groups of near copies over many chunks; those at one edge only link through a single pair."""
+    monkeypatch.setattr(sh, "TREE", 16)
+    monkeypatch.setattr(sh, "VERIFY", 4)
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows = []
+    for _ in range(3):
+        base, other = [word() for _ in range(150)], [word() for _ in range(60)]
+        for k in range(25):
+            own = list(base)
+            for _ in range(r.choice((1, 2, 3, 4))):
+                own[r.randrange(len(own))] = word()
+            rows.append(" ".join(own))
+            if k % 4 == 0:
+                rows.append(" ".join(own[: 75 + r.randrange(20)] + other))
+        for k in range(12):
+            rows.append(" ".join(base[8 * k : 8 * k + 100]))
+    rows = [(i, t, None, None, None) for i, t in enumerate(rows)]
+    want = plain_near(rows)
+    assert 3 < len(set(want.values())) < len(rows)
+    assert {x.doc_id: x.component_id for x in sh.near_duplicates(table(spark, rows)).collect()} == want
+
+
+def test_full_shards_of_each_block_lose_no_link(spark):
+    """Over TREE fingerprints share a block's value, and pairs at 1 to 3 bits lie in every block but that one."""
+    r = random.Random(31)
+    for block in range(4):
+        at, fill = 16 * block, r.getrandbits(16)
+        pin = lambda f: f & ~(0xFFFF << at) & (1 << 64) - 1 | fill << at  # noqa: B023, E731
+        others = [b for b in range(64) if not at <= b < at + 16]
+        fps = [pin(r.getrandbits(64)) for _ in range(sh.TREE + 300)]
+        pairs = []
+        for f in fps[:200]:
+            g = f
+            for b in r.sample(others, r.randint(1, 3)):
+                g ^= 1 << b
+            pairs.append((f, g))
+        fps += [g for _, g in pairs] + [fps[0] ^ (1 | 1 << 20 | 1 << 32) if block == 3 else fps[0]]
+        got = sh.linked(spark.createDataFrame([(i, sh.signed(f)) for i, f in enumerate(fps)], "doc_id long, fp long")).collect()
+        component = {x.fp: x.component_id for x in got}
+        assert all(component[sh.signed(f)] == component[sh.signed(g)] for f, g in pairs)
+        assert component[sh.signed(fps[-1])] == component[sh.signed(fps[0])]
+
+
+def test_repeated_ids_with_other_fingerprints(spark):
+    got = sh.linked(spark.createDataFrame([(1, 0), (1, 255 << 40), (7, 3), (9, (255 << 40) + 1), (None, 3)], "doc_id long, fp long")).collect()
+    assert len(got) == 5 and {x.component_id for x in got} == {1}
+
+
 def test_near_duplicates_with_repeats_and_short_texts(spark):
     r = random.Random(9)
     word = lambda: f"w{r.randrange(10**9)}"
