@@ -7,13 +7,15 @@ The frame of the two substring operators; a solver does the string work in shard
    documents to buckets (six bytes each, packed), and buckets answer with the anchors that
    two documents share. An anchor costs one entry a pack, however frequent it is.
 2. Segments. Consecutive windows of one shared anchor, with the tokens they cover, go to the
-   anchor's shard, equal ones of a pack once. Windows of an anchor that very many packs hold
-   go one by one to the shard of their content, so no shard grows with one passage.
-3. A solver finds, within a shard, what each segment's first document repeats of smaller
-   ids; other documents with that segment repeat all of it. Spans return to the packs.
+   anchor's shard, equal ones of a pack once, with the pack's smallest document that holds them.
+   Windows of an anchor that very many packs hold go one by one to the shard of their content,
+   so no shard grows with one passage. Where a segment stands in documents never leaves its pack.
+3. A solver finds, within a shard, each segment's first document, and what that repeats of smaller
+   ids; other documents with that segment repeat all of it. Both return to the packs, which
+   find their segments anew (they follow from the texts and the shared anchors) and cut.
 
 Texts equal to one of a smaller doc_id are known by a digest and stay out of it: they repeat
-whole. All steps are one query over one exchange of the texts, which Spark reuses.
+whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Most windows of a segment, and tokens hashed at a time.
 RUN = 63
 SLICE = 1 << 18
@@ -140,18 +144,24 @@ def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
 
 MAIL = "pack int, kind int, about long, payload binary"
 MAIL_NAMES, MAIL_KINDS = ["pack", "kind", "about", "payload"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-OWNER, SHARED, SPANS = 0, 1, 2
-SEGMENT_NAMES = ["shard", "pack", "keys", "sizes", "content", "which", "doc", "at"]
-SEGMENTS = "shard int, pack int, keys binary, sizes binary, content binary, which binary, doc binary, at binary"
+OWNER, SHARED, FOUND = 0, 1, 2
+SEGMENT_NAMES = ["shard", "pack", "keys", "sizes", "content", "docs"]
+SEGMENTS = "shard long, pack int, keys binary, sizes binary, content binary, docs binary"
+#: Bytes of text for each shard; what a shard holds of it are its shared segments.
+SHARD_BYTES = 2 << 20
 
 #: (contents, owners, window) -> for each content the token ranges that a smaller owner's content holds
 Solver = Callable[[list[bytes], list[int], int], list[list[tuple[int, int]]]]
 
 
-def sizes_for(total: int, partitions: int) -> tuple[int, int]:
-    """Packs, and buckets (and shards), for so many bytes of text; there are buckets for all partitions of a shuffle."""
-    pack = min(64 << 20, max(4 << 20, int(6.4 * total**0.5)))
-    return max(8, total // pack), min(max(total >> 20, 2 * partitions), pack // 512)
+def sizes_for(total: int, partitions: int) -> tuple[int, int, int]:
+    """Packs, buckets of anchors, and shards, for so many bytes of text.
+
+    A pack has one row for each bucket, so buckets are limited by its size; shards follow the bytes of all texts.
+    There are buckets and shards for all partitions of a shuffle.
+    """
+    pack = min(32 << 20, max(4 << 20, int(6.4 * total**0.5)))
+    return max(8, total // pack), min(max(total >> 20, 2 * partitions), pack // 256), max(total // SHARD_BYTES, 2 * partitions)
 
 
 def _pack_of(packs: int) -> Column:
@@ -171,7 +181,7 @@ def remove_repeats(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    packs, buckets = sizes_for(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packs, buckets, shards = sizes_for(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.withColumn("pack", _pack_of(packs)).repartition("pack")
 
     firsts = docs.where("doc_id is not null").groupBy(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
@@ -229,97 +239,89 @@ def remove_repeats(
         rows = [(p, SHARED, bucket, _pack48(out[order[own]])) for p, own in _split(pack[order])]
         return _table(rows, MAIL_NAMES, MAIL_KINDS)
 
-    def segments(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The segments of shared anchors of a pack, by shard."""
+    def pieces(left: pa.Table, right: pa.Table) -> dict[int, dict[tuple[int, bytes], list[tuple[int, int]]]]:
+        """The segments of shared anchors of a pack, by shard: (anchor, content) and where it stands (document, token)."""
         found = [
             (_unpack48(p), b)
             for kind, b, p in zip(right["kind"].to_pylist(), right["about"].to_pylist(), right["payload"].to_pylist(), strict=True)
             if kind == SHARED
         ]
+        by_shard: dict[int, dict[tuple[int, bytes], list[tuple[int, int]]]] = {}
+        if not found:
+            return by_shard
+        shared = np.concatenate([(e >> U(1)) * U(buckets) + U(b) for e, b in found])
+        hot = np.concatenate([(e & U(1)) == 1 for e, _ in found])
+        order = np.argsort(shared)
+        shared, hot = shared[order], hot[order]
+        for doc, t in own_texts(left, right):
+            for first, m in anchor_slices(t.hashes(), window, k):
+                new = np.concatenate(([True], m[1:] != m[:-1]))
+                starts = np.flatnonzero(new)
+                key = canonical(m[starts])
+                at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
+                pick = np.flatnonzero(shared[at] == key)
+                ends = np.append(starts[1:], len(m))
+                for c, is_hot, a, b in zip(key[pick].tolist(), hot[at[pick]].tolist(), (starts[pick] + first).tolist(), (ends[pick] + first).tolist(), strict=True):
+                    step = 1 if is_hot else RUN
+                    for s in range(a, b, step):
+                        piece = t.piece(s, min(s + step, b) - 1 + window)
+                        shard = (crc32(piece, c & 0xFFFFFFFF) if is_hot else c * 0x9E3779B1 >> 7) % shards
+                        by_shard.setdefault(shard, {}).setdefault((c, piece), []).append((doc, s))
+        return by_shard
+
+    def segments(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For each shard the pack's segments, sorted, and the smallest document of each."""
         rows = []
-        if found:
-            shared = np.concatenate([(e >> U(1)) * U(buckets) + U(b) for e, b in found])
-            hot = np.concatenate([(e & U(1)) == 1 for e, _ in found])
-            order = np.argsort(shared)
-            shared, hot = shared[order], hot[order]
-            by_shard: dict[int, tuple[dict, list, list, list]] = {}
-            for doc, t in own_texts(left, right):
-                for first, m in anchor_slices(t.hashes(), window, k):
-                    new = np.concatenate(([True], m[1:] != m[:-1]))
-                    starts = np.flatnonzero(new)
-                    key = canonical(m[starts])
-                    at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-                    pick = np.flatnonzero(shared[at] == key)
-                    ends = np.append(starts[1:], len(m))
-                    for c, is_hot, a, b in zip(key[pick].tolist(), hot[at[pick]].tolist(), (starts[pick] + first).tolist(), (ends[pick] + first).tolist(), strict=True):
-                        step = 1 if is_hot else RUN
-                        for s in range(a, b, step):
-                            piece = t.piece(s, min(s + step, b) - 1 + window)
-                            shard = (crc32(piece, c & 0xFFFFFFFF) if is_hot else c * 0x9E3779B1 >> 7) % buckets
-                            own = by_shard.get(shard)
-                            if own is None:
-                                own = by_shard[shard] = ({}, [], [], [])
-                            n = own[0].setdefault((c, piece), len(own[0]))
-                            own[1].append(n)
-                            own[2].append(doc)
-                            own[3].append(s)
-            pack = left["pack"][0].as_py()
-            for shard, (pieces, which, doc, at) in by_shard.items():
-                content = [p for _, p in pieces]
-                rows.append((
-                    shard, pack, np.array([c for c, _ in pieces], "<u8").tobytes(), np.array([len(p) for p in content], "<u4").tobytes(),
-                    b"".join(content), np.array(which, "<u4").tobytes(), np.array(doc, "<i8").tobytes(), np.array(at, "<i8").tobytes(),
-                ))
-        return _table(rows, SEGMENT_NAMES, [pa.int32(), pa.int32(), *[pa.binary()] * 6])
+        by_shard = pieces(left, right)
+        pack = left["pack"][0].as_py() if by_shard else None
+        for shard, own in by_shard.items():
+            names = sorted(own)
+            rows.append((
+                shard, pack, np.array([c for c, _ in names], "<u8").tobytes(), np.array([len(p) for _, p in names], "<u4").tobytes(),
+                b"".join([p for _, p in names]), np.array([min(own[x])[0] for x in names], "<i8").tobytes(),
+            ))
+        return _table(rows, SEGMENT_NAMES, [pa.int64(), pa.int32(), *[pa.binary()] * 4])
 
     def solve(dealt: pa.Table) -> pa.Table:
-        """Spans of a shard's segments that repeat smaller ids, by pack."""
+        """For each pack the first documents of its segments in a shard, and spans within those documents' own."""
         index: dict[tuple[int, bytes], int] = {}
-        which, docs_, ats, packs_ = [], [], [], []
+        which, docs_, packs_ = [], [], []
         for row in dealt.to_pylist():
             ends = np.cumsum(np.frombuffer(row["sizes"], "<u4"), dtype=np.int64).tolist()
             keys = np.frombuffer(row["keys"], "<u8").tolist()
-            names = [index.setdefault((c, row["content"][a:b]), len(index)) for c, a, b in zip(keys, [0, *ends[:-1]], ends, strict=True)]
-            which.append(np.array(names, np.int64)[np.frombuffer(row["which"], "<u4")])
-            docs_.append(np.frombuffer(row["doc"], "<i8"))
-            ats.append(np.frombuffer(row["at"], "<i8"))
-            packs_.append(np.full(len(docs_[-1]), row["pack"], np.int64))
-        if not which:
-            return _table([], MAIL_NAMES, MAIL_KINDS)
-        which, doc, at, pack = (np.concatenate(x) for x in (which, docs_, ats, packs_))
+            which.append(np.array([index.setdefault((c, row["content"][a:b]), len(index)) for c, a, b in zip(keys, [0, *ends[:-1]], ends, strict=True)]))
+            docs_.append(np.frombuffer(row["docs"], "<i8"))
+            packs_.append(row["pack"])
         owner = np.full(len(index), np.iinfo(np.int64).max)
-        np.minimum.at(owner, which, doc)
-        contents = [p for _, p in index]
-        whole = np.array([p.count(b" ") + 1 if tokens is WordTokens else len(p) for p in contents])
-        own = solver(contents, owner.tolist(), window)
-        copy = doc > owner[which]
-        starts, stops, of = [at[copy]], [at[copy] + whole[which[copy]]], [np.flatnonzero(copy)]
-        for i in np.flatnonzero(~copy).tolist():
-            if spans := own[which[i]]:
-                a, b = np.array(spans).T
-                starts.append(a + at[i])
-                stops.append(b + at[i])
-                of.append(np.full(len(a), i))
-        of, starts, stops = np.concatenate(of), np.concatenate(starts), np.concatenate(stops)
-        order = np.argsort(pack[of], kind="stable")
+        for w, d in zip(which, docs_, strict=True):
+            np.minimum.at(owner, w, d)
+        own = solver([p for _, p in index], owner.tolist(), window) if index else []
         rows = []
-        for p, own_ in _split(pack[of[order]]):
-            o = order[own_]
-            rows.append((p, SPANS, 0, np.stack([doc[of[o]], starts[o], stops[o]], 1).astype("<i8").tobytes()))
+        for w, d, p in zip(which, docs_, packs_, strict=True):
+            spans = [(i, a, b) for i in np.flatnonzero(d == owner[w]).tolist() for a, b in own[w[i]]]
+            payload = np.concatenate(([len(w)], owner[w], np.array(spans, np.int64).ravel())).astype("<i8").tobytes()
+            rows.append((p, FOUND, dealt["shard"][0].as_py(), payload))
         return _table(rows, MAIL_NAMES, MAIL_KINDS)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        first, got = set(), []
+        first, got = set(), {}
         for kind, about, payload in zip(right["kind"].to_pylist(), right["about"].to_pylist(), right["payload"].to_pylist(), strict=True):
             if kind == OWNER:
                 first.add(about)
-            else:
-                got.append(np.frombuffer(payload, "<i8").reshape(-1, 3))
-        spans: dict[int, np.ndarray] = {}
-        if got:
-            all_spans = np.concatenate(got)
-            all_spans = all_spans[np.argsort(all_spans[:, 0], kind="stable")]
-            spans = {d: all_spans[own, 1:] for d, own in _split(all_spans[:, 0])}
+            elif kind == FOUND:
+                got[about] = np.frombuffer(payload, "<i8")
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for shard, own in pieces(left, right).items() if got else ():
+            answer_ = got[shard]
+            n = int(answer_[0])
+            within: dict[int, list[tuple[int, int]]] = {}
+            for i, a, b in answer_[1 + n :].reshape(-1, 3).tolist():
+                within.setdefault(i, []).append((a, b))
+            for i, (name, owner) in enumerate(zip(sorted(own), answer_[1 : 1 + n].tolist(), strict=True)):
+                whole = [(0, name[1].count(b" ") + 1 if tokens is WordTokens else len(name[1]))]
+                for doc, at in own[name]:
+                    for a, b in whole if doc > owner else within.get(i, ()):
+                        spans.setdefault(doc, []).append((at + a, at + b))
         rows = []
         for i, text in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
             t = tokens(text.as_py())
@@ -328,7 +330,7 @@ def remove_repeats(
                 gone[:] = t.n >= window
             elif i in spans:
                 depth = np.zeros(t.n + 1, np.int64)
-                own = np.minimum(spans[i], t.n)
+                own = np.minimum(np.array(spans[i]), t.n)
                 np.add.at(depth, own[:, 0], 1)
                 np.add.at(depth, own[:, 1], -1)
                 gone = np.cumsum(depth[:-1]) > 0
@@ -339,8 +341,9 @@ def remove_repeats(
 
     by_pack = dealt.groupBy("pack")
     asked = by_pack.cogroup(owners.groupBy("pack")).applyInArrow(ask, "bucket int, pack int, payload binary")
-    shared = asked.groupBy("bucket").applyInArrow(answer, MAIL)
-    found = by_pack.cogroup(owners.unionByName(shared).groupBy("pack")).applyInArrow(segments, SEGMENTS)
-    spans = found.groupBy("shard").applyInArrow(solve, MAIL)
-    out = by_pack.cogroup(owners.unionByName(spans).groupBy("pack"))
+    # read twice: by those that send segments, and by those that cut
+    shared = materialize(owners.unionByName(asked.groupBy("bucket").applyInArrow(answer, MAIL)), "shared")
+    found = by_pack.cogroup(shared.groupBy("pack")).applyInArrow(segments, SEGMENTS)
+    solved = found.groupBy("shard").applyInArrow(solve, MAIL)
+    out = by_pack.cogroup(shared.unionByName(solved).groupBy("pack"))
     return out.applyInArrow(cut, "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary")

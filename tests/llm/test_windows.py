@@ -107,3 +107,35 @@ def test_automaton_statistics():
                     want.append((e - best, e))
             assert own.matches(t, d, 2) == want
     assert len(WORDS) == 16
+
+
+def test_long_maximal_repeats_come_whole():
+    """Repeats far longer than a segment of the frame, with the occurrences of all."""
+    r = random.Random(10)
+    text = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    long, other = text(5000), text(700)
+    pieces = [text(40) + b"X" + long + b"Y" + text(9), b"Z" + long + b"W" + other, text(300), b"Q" + long + b"V", b"P" + other]
+    got = {(n, frozenset(at)) for n, at in suffixarray.repeat_groups(pieces, 50)}
+    assert got == {(5000, frozenset({(0, 41), (1, 1), (3, 1)})), (700, frozenset({(1, 5002), (4, 1)}))}
+
+
+def test_array_memory_follows_the_bytes_of_a_shard():
+    import tracemalloc
+
+    r = random.Random(11)
+    body = bytes(r.choice(b"abcdefghijklmnop") for _ in range(1 << 20))
+    for size in (112, 100_000):
+        pieces = [body[i : i + size] for i in range(0, len(body), size)]
+        tracemalloc.start()
+        suffixarray.enhanced_array(pieces, 50)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 * len(body)  # 100 and four bytes more for each doubling, and what is sorted at a time
+
+
+def test_sizes_follow_the_texts():
+    for total in (0, 10**6, 10**10, 10**14):
+        packs, buckets, shards = windows.sizes_for(total, 200)
+        assert shards * windows.SHARD_BYTES >= total - windows.SHARD_BYTES and packs * (33 << 20) >= total and buckets >= 400
+    # a row of anchors of a pack for a bucket stays worth sending
+    assert (32 << 20) // windows.sizes_for(10**14, 200)[1] >= 256
