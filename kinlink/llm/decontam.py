@@ -32,6 +32,9 @@ from .common import read_table, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 23
+WIDTH = 64 // BLOCKS
+#: Pairs of windows and items that are looked at at a time.
+CELLS = 1 << 22
 #: Text bytes of a block of items: what is broadcast at once.
 ITEM_BYTES = 16 << 20
 WORD = re.compile(r"\w+")
@@ -80,26 +83,33 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class MultiIndex:
-    """Fingerprints by the near values of their blocks."""
+    """Fingerprints by the values of their blocks.
+
+    A block's values are few (2 ** WIDTH), so which of them are near is a fixed table; a search looks up each
+    window's near values in each block. Pairs are looked at CELLS at a time, however many items there are.
+    """
 
     def __init__(self, fps: np.ndarray, radius: int = RADIUS) -> None:
         self.fps, self.radius = fps, radius
-        width = 64 // BLOCKS
-        values = np.arange(1 << width, dtype=np.uint64)
-        self.tables = []
-        for b in range(BLOCKS):
-            own = fps >> U(width * b) & U((1 << width) - 1)
-            self.tables.append(np.bitwise_count(values[:, None] ^ own[None, :]) <= radius // BLOCKS)
-
-    def search(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = np.arange(1 << WIDTH, dtype=np.uint64)
+        self.near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // BLOCKS
+        self.blocks = [self._block(fps, b) for b in range(BLOCKS)]
+        self.rows = max(1, CELLS // max(len(fps), 1))
+
+    @staticmethod
+    def _block(fps: np.ndarray, b: int) -> np.ndarray:
+        return (fps >> U(WIDTH * b) & U((1 << WIDTH) - 1)).astype(np.int64)
+
+    def search(self, fps: np.ndarray) -> Iterator[tuple[int, int]]:
         """Pairs (query, item) within the radius."""
-        width = U(64 // BLOCKS)
-        near = np.zeros((len(fps), len(self.fps)), bool)
-        for b, table in enumerate(self.tables):
-            near |= table[(fps >> width * U(b) & U((1 << int(width)) - 1)).astype(np.int64)]
-        q, i = np.nonzero(near)
-        within = np.bitwise_count(fps[q] ^ self.fps[i]) <= self.radius
-        return q[within], i[within]
+        for at in range(0, len(fps), self.rows):
+            own = fps[at : at + self.rows]
+            near = np.zeros((len(own), len(self.fps)), bool)
+            for b, block in enumerate(self.blocks):
+                near |= self.near[self._block(own, b)][:, block]
+            q, i = np.nonzero(near)
+            within = np.bitwise_count(own[q] ^ self.fps[i]) <= self.radius
+            yield from zip((q[within] + at).tolist(), i[within].tolist(), strict=True)
 
 
 class Items:
@@ -160,8 +170,8 @@ class Items:
                 for c in range(a, b, SLICE):
                     d = min(c + SLICE, b)
                     fps = window_fingerprints(s[c : d + m - 1], m)
-                    for q, i in zip(*index.search(fps), strict=True):
-                        w = c + int(q)
+                    for q, i in index.search(fps):
+                        w = c + q
                         likeness = weighted_jaccard(s[w : w + m], own[i])
                         if likeness >= self.similarity and likeness > out.get(ids[i], (0.0, 0))[0]:
                             out[ids[i]] = (likeness, w)

@@ -5,7 +5,8 @@ defanged ones. Boosted trees score each from its format and its context; the sco
 calibrated on held-out cases, and a kind's threshold is the least chance at which held-out
 precision is PRECISION. Trees are trained here, on cases made from the rules in training_cases()
 (SEED and CASES fix them), not on the documents. Spans of the base rules stay whatever
-the trees say; the trees add spans that overlap no base span.
+the trees say; the trees add spans that overlap no base span: other forms of the four kinds, and secrets
+(tokens, keys, passwords), for which there is no base rule.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .boosting import BoostedTrees, platt, precise_threshold
 from .common import read_table, slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans, in the order they are listed in.
+ADDED = (*KINDS, "secret")
 SEED, CASES, PRECISION = 20240611, 6000, 0.995
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,7 +84,11 @@ def base_spans(text: str) -> list[Span]:
             for m in PHONE.finditer(text):
                 if 10 <= len(_digits(m[0])) <= 15:
                     out.append((m.start(), m.end(), "phone"))
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return _ordered(out)
+
+
+def _ordered(spans: list[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (s[0], ADDED.index(s[2]), s[1]))
 
 
 AT = re.compile(r"@|\(at\)|\[at\]|(?<=\s)at(?=\s)", re.I)
@@ -90,6 +97,11 @@ WRITTEN_LABEL = re.compile(r"\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{1,
 DEFANGED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|\[dot\])\s?[0-9]{1,3}){3}(?![0-9])", re.I)
 NUMBER = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9]){6,}(?![0-9])")
 GROUP = re.compile(r"[+(]{0,2}([0-9]+)")
+#: Runs that a key or token may be; those of letters or digits alone are none.
+OPAQUE = re.compile(r"[A-Za-z0-9_+/-]{16,}={0,2}")
+HEX = re.compile(r"[0-9a-fA-F]+")
+ASSIGNED = re.compile(r"[:=][\s#$%&*!]*[\"']?$")
+LETTERS = re.compile(r"[A-Za-z]")
 
 
 def _written_emails(text: str) -> Iterator[Span]:
@@ -134,6 +146,7 @@ def candidates(text: str) -> list[Span]:
     out: list[Span] = []
     out += _written_emails(text)
     if DIGIT.search(text):
+        out += [(m.start(), m.end(), "secret") for m in OPAQUE.finditer(text) if DIGIT.search(m[0]) and LETTERS.search(m[0])]
         out += [(m.start(), m.end(), "ip") for m in DEFANGED_IP.finditer(text)]
         out += _numbers(text)
     return out
@@ -145,6 +158,7 @@ CUES = {
     "ip": ("ip", "address", "host", "server", "login", "adresse"),
     "card": ("card", "visa", "mastercard", "credit", "cc", "tarjeta", "carte", "karte"),
     "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "telefon", "téléphone", "teléfono", "whatsapp"),
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "api"),
 }
 AGAINST = ("isbn", "order", "invoice", "version", "id", "no", "ref", "serial", "sku", "date", "total", "price", "page", "section", "tracking")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -159,15 +173,18 @@ def features(text: str, span: Span) -> list[float]:
     before = [w.lower() for w in WORD.findall(text[max(0, a - CONTEXT) : a])][-4:]
     groups = [len(g) for g in re.findall(r"[0-9]+", s)]
     low = s.lower()
+    turns = sum(c.isdigit() != d.isdigit() for c, d in zip(s[:512], s[1:512], strict=False))
     labels = re.split(r"\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?", low)
     return [
-        KINDS.index(kind), len(s), len(digits), len(groups), max(groups, default=0), min(groups, default=0),
+        ADDED.index(kind), len(s), len(digits), len(groups), max(groups, default=0), min(groups, default=0),
         float(luhn(digits)) if digits else 0.0, s.count("-"), s.count(" "), s.count("."), s.count("/"), float("(" in s and ")" in s), float(s[0] == "+"), float(s[0] == "("),
         float(groups[-3:] == [3, 3, 4] or groups[-2:] == [3, 4]), float(len(set(groups)) == 1 and len(groups) > 1), float(digits[:1] in "3456" and digits != ""),
         float(len(set(digits)) <= 2), float("@" in s), float("(at)" in low or "[at]" in low), float(" at " in low), float("dot" in low or "[.]" in low or "(.)" in low),
         float(2 <= len(labels[-1]) <= 4 and labels[-1].isalpha()), float(max(map(int, (g[:9] for g in re.findall(r"[0-9]+", s))), default=0) <= 255),
         float(any(w in CUES[kind] for w in before)), float(any(w in AGAINST for w in before)), float(a > 0 and (text[a - 1].isalnum() or text[a - 1] in "-./#$€")),
         float(b < len(text) and (text[b].isalnum() or text[b] in "-/%€")),
+        turns / len(s), len(set(s[:512])) / min(len(s), 512), len(digits) / len(s), float(HEX.fullmatch(s) is not None), float(s != low and s != s.upper()),
+        float(ASSIGNED.search(text[max(0, a - 8) : a]) is not None), float("/" in s or "_" in s),
     ]
 
 
@@ -195,6 +212,19 @@ def training_cases(count: int = CASES, seed: int = SEED) -> tuple[np.ndarray, np
     def ip() -> str:
         return r.choice(("[.]", "(.)", "[dot]", " . ")).join(str(r.randint(0, 255)) for _ in range(4))
 
+    def secret() -> str:
+        drawn = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+        some = r.choice(("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz"))
+        made = r.choice(("", "", "sk-", "pk_")) + drawn(some, r.choice((24, 32, 40, 64)))
+        return made if DIGIT.search(made) and LETTERS.search(made) else secret()
+
+    def opaque() -> str:
+        """What looks like a secret and is none: names of files and products, joined words, checksums, identifiers."""
+        return r.choice((
+            lambda: f"{word()}_{word()}_{word()}_{num(2)}", lambda: f"{word()}/{word()}/{word()}{num(3)}/{word()}", lambda: f"{word()}-{word()}-{num(4)}-{num(2)}-{num(2)}",
+            lambda: f"{word()}{word()}{word()}{word()}{num(1)}", lambda: f"{num(8)}-{num(4)}-4{num(3)}-a{num(3)}-{num(10)}ab", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)),
+        ))()
+
     def noise() -> str:
         return r.choice((
             lambda: num(r.randint(7, 19)), lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 999)}.{num(3)}.{num(3)}",
@@ -205,15 +235,17 @@ def training_cases(count: int = CASES, seed: int = SEED) -> tuple[np.ndarray, np
         ))()
 
     x, y = [], []
-    makers = {"email": email, "ip": ip, "card": lambda: card(True), "phone": phone}
+    makers = {"email": email, "ip": ip, "card": lambda: card(True), "phone": phone, "secret": secret}
     while len(x) < count:
-        kind = r.choice(KINDS)
+        kind = r.choice(ADDED)
         good = r.random() < 0.5
-        made = makers[kind]() if good else noise()
+        made = makers[kind]() if good else opaque() if kind == "secret" else noise()
         # bare numbers are personal only where the context says so
-        cue = r.choice(CUES[kind]) if good and (kind in ("card", "phone") or r.random() < 0.6) else r.choice((*AGAINST, word(), word())) if not good else word()
+        cue = r.choice(CUES[kind]) if good and (kind in ("card", "phone", "secret") or r.random() < 0.6) else r.choice((*AGAINST, word(), word())) if not good else word()
         more = f" {num(4)} {num(4)}" if good and kind == "phone" and r.random() < 0.2 else ""
-        text = f"{word()} {word()} {cue}{r.choice((' ', ': '))}{made}{more}{r.choice((' ', '. ', ', '))}{word()} {word()}"
+        if good and kind == "secret":
+            cue += r.choice((' = "', "=", ": ", " = ", ": '"))
+        text = f"{word()} {word()} {cue}{r.choice((' ', ': ')) if kind != 'secret' or not good else ''}{made}{more}{r.choice((' ', '. ', ', '))}{word()} {word()}"
         a = text.index(made)
         for s in candidates(text):
             true = good and s[2] == kind and s[0] >= a - 1 and s[1] <= a + len(made) + 1 and s[1] - s[0] >= 0.9 * len(made)
@@ -231,7 +263,7 @@ def trained() -> tuple[BoostedTrees, tuple[float, float], dict[str, float]]:
     trees = BoostedTrees().fit(x[~held], y[~held])
     a, b = platt(score := trees.score(x[held]), y[held])
     p = 1 / (1 + np.exp(-(a * score + b)))
-    least = {k: precise_threshold(p[own], y[held][own], PRECISION) if (own := x[held][:, 0] == n).any() else 1.01 for n, k in enumerate(KINDS)}
+    least = {k: precise_threshold(p[own], y[held][own], PRECISION) if (own := x[held][:, 0] == n).any() else 1.01 for n, k in enumerate(ADDED)}
     return trees, (a, b), least
 
 
@@ -245,11 +277,13 @@ def all_spans(text: str, base: list[Span], model) -> list[Span]:
         return base
     trees, (a, b), least = model
     p = 1 / (1 + np.exp(-(a * trees.score(np.array([features(text, c) for c in found])) + b)))
-    added: list[Span] = []
+    added: list[Span] = []  # by start; none overlap
     for q, c in sorted(zip(p.tolist(), found, strict=True), key=lambda x: (-x[0], x[1])):
-        if q >= least[c[2]] and not any(c[0] < e and s < c[1] for s, e, _ in added):
-            added.append(c)
-    return sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+        if q >= least[c[2]]:
+            at = bisect_left(added, c)
+            if (at == 0 or added[at - 1][1] <= c[0]) and (at == len(added) or c[1] <= added[at][0]):
+                added.insert(at, c)
+    return _ordered([*base, *added])
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -267,23 +301,24 @@ def _said(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans as text, and the redacted text.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), n_spans (all), base and spans as text, and the redacted text.
 
     Spans are "kind:start:end" in code points, joined by commas, by start and then kind. Null
     texts are empty. Rows are judged one by one, repeats and null ids too.
     """
     model = trained()
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "redacted"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "n_spans", "base", "spans", "redacted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            counts: list[list[int]] = [[] for _ in KINDS]
+            counts: list[list[int]] = [[] for _ in (*KINDS, "all")]
             base_, spans_, texts = [], [], []
             for text in b.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 spans = all_spans(text, base, model)
-                for k, c in zip(KINDS, counts, strict=True):
+                counts[-1].append(len(spans))
+                for k, c in zip(KINDS, counts[:-1], strict=True):
                     c.append(sum(s[2] == k for s in base))
                 base_.append(_said(base))
                 spans_.append(_said(spans))
@@ -291,11 +326,11 @@ def find(docs: DataFrame) -> DataFrame:
             cols = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (base_, spans_, texts))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, redacted string"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_spans long, base string, spans string, redacted string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by find(): null texts are empty, repeated rows stay, extra columns are not read."""
     got = find(read_table(spark, sf_dir, "documents"))
-    return got.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return got.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_spans")

@@ -8,6 +8,7 @@ from .decontam import op2_decontamination
 from .egojoin import op7_embedding_near_dedup
 from .langid import op9_language_id
 from .lines import OP5_SQL, op5_line_dedup
+from .oracles import OP4_SQL, OP7_SQL, OP8_SQL
 from .pii import op6_pii_spans
 from .sharding import op10_sharding
 from .simhash import op3_simhash_components
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {
+    "op4_suffix_array_dedup": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op7_embedding_near_dedup": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
+}

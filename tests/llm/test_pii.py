@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from helpers import documents, empty, table
@@ -91,3 +92,48 @@ def test_each_written_form_is_found():
 def test_prose_is_left():
     for text in ("we meet at noon. Then they go home", "points 1. 2. 3. 4. are done", "look at home. The end", "Arrive at eight. We left"):
         assert pii.all_spans(text, [], pii.trained()) == [], text
+
+
+def test_secrets_are_found_and_names_left():
+    model = pii.trained()
+    for text, n in [
+        ('and token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" of', 1), ("API_KEY=9233A8ECF7C5B09FE5949719B6B82BC439E9329B now", 1),
+        ("see /usr/share/doc/package_10_notes/readme2", 0), ("the meeting_notes_2024_final_12 file", 0), ("internationalisation1 of it", 0),
+    ]:
+        assert sum(k == "secret" for *_, k in pii.all_spans(text, pii.base_spans(text), model)) == n, text
+
+
+def plain_all(text, model):
+    """Each candidate against each span, likeliest first."""
+    base = pii.base_spans(text)
+    trees, (a, b), least = model
+    scored = []
+    for c in pii.candidates(text):
+        if not any(c[0] < e and s < c[1] for s, e, _ in base):
+            scored.append((1 / (1 + np.exp(-(a * float(trees.score(np.array([pii.features(text, c)]))[0]) + b))), c))
+    added = []
+    for q, c in sorted(scored, key=lambda x: (-x[0], x[1])):
+        if q >= least[c[2]] and not any(c[0] < e and s < c[1] for s, e, _ in added):
+            added.append(c)
+    return sorted([*base, *added], key=lambda s: (s[0], pii.ADDED.index(s[2]), s[1]))
+
+
+def test_all_spans_as_a_plain_version_says():
+    model, r, seen = pii.trained(), random.Random(15), 0
+    bits = [
+        "call", "phone:", "card", "email", "token =", "555-123-4567", "(555) 123-4567", "4111.1111.1111.1111", "a.b@c.de", "bob (at) foo (dot) com", "10[.]0[.]0[.]1",
+        '"b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "2020-01-02", "order", "12 34 56", "+1 743 555 3824", "x",
+    ]
+    for _ in range(300):
+        text = r.choice((" ", "", ", ")).join(r.choice(bits) for _ in range(r.randint(1, 9)))
+        got = pii.all_spans(text, pii.base_spans(text), model)
+        assert got == plain_all(text, model), text
+        seen += len(got) > len(pii.base_spans(text))
+    assert seen > 50
+
+
+def test_many_numbers_and_spans_in_one_text():
+    text = " ".join(f"{i % 900 + 100} a{i}@x.com call 555-{i % 900 + 100}-{i % 9000 + 1000}" for i in range(8000))
+    began = time.time()
+    got = pii.all_spans(text, pii.base_spans(text), pii.trained())
+    assert len(got) >= 8000 and time.time() - began < 20
