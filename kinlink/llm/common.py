@@ -55,12 +55,12 @@ def shared_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` under the shared folder and read it again; lost executors cost nothing then.
 
-    Within scratch() the table goes when that ends, unless it is to be kept.
+    Within scratch() the table goes when that ends; one to be kept goes with the scratch() around it, if there is one.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/kinlink-{tag}-{uuid.uuid4().hex}"
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinlink_path = path

@@ -35,6 +35,8 @@ LANGUAGES, SPARE = 500, 3
 #: Rows of a presence matrix.
 ROWS = 64
 NONE = "und"
+#: Texts of whose n-grams (of over one byte) less than this share is known are in no learnt language.
+LEAST_KNOWN = 0.2
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -100,23 +102,28 @@ class Model:
             out.append(table[code])
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """A language and a score from 0 to 1 for each text; NONE and 0 without a letter or a model."""
-        names, scores = [NONE] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """A language, a score from 0 to 1, and the share of n-grams of over one byte that a landmark holds, for each text.
+
+        NONE, 0 and 0 without a letter or a model.
+        """
+        names, scores, known = [NONE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
         for at in range(0, len(able), ROWS):
             rows = able[at : at + ROWS]
             held = np.zeros((len(rows), len(self.grams) + 1), np.float32)
             for k, i in enumerate(rows):
-                for cols in self.columns(_bytes(texts[i])):
+                all_cols = self.columns(_bytes(texts[i]))
+                for cols in all_cols:
                     held[k, cols] = 1
+                known[i] = sum(np.count_nonzero(c < len(self.grams)) for c in all_cols[1:]) / max(sum(map(len, all_cols[1:])), 1)
             held = held[:, :-1]
             norm = np.sqrt(np.maximum(held.sum(axis=1), 1))
             value = (held @ self.weights) / norm[:, None]
             best = value.argmax(axis=1)
             for i, k, v in zip(rows, best.tolist(), value.max(axis=1).tolist(), strict=True):
                 names[i], scores[i] = self.languages[k], min(1.0, max(0.0, (v + 1) / 2))
-        return names, scores
+        return names, scores, known
 
 
 def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -188,25 +195,37 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus lang_pred and score, replacing columns of those names.
+    """All columns of ``docs`` plus lang_pred, score and known, replacing columns of those names.
 
     lang_pred is a learnt language, or "und" (score 0) if the text is null, empty or has no letter,
-    or if there was nothing to learn from.
+    or if there was nothing to learn from. known is the share of its n-grams that the model has met.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    made = ("lang_pred", "score", "known")
+    names = [c for c in docs.columns if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            lang, score = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            lang, score, known = shared.value.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], [*names, *made])
 
     own = docs.select(*names)
-    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
     return own.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = LEAST_KNOWN) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learnt language, as they are.
+
+    Texts that are null or have no letter go, and those of whose n-grams the model has met less than ``least``: no
+    language claims them. Where nothing could be learnt, all texts with a letter stay.
+    """
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model).where((F.col("lang_pred") != NONE) & (F.col("known") >= least)).select(*docs.columns)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by identify(): null texts and texts without a letter are "und", repeated rows stay, extra columns are not read."""
     docs = read_table(spark, sf_dir, "documents")

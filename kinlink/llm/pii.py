@@ -160,6 +160,8 @@ CUES = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "telefon", "téléphone", "teléfono", "whatsapp"),
     "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "api"),
 }
+#: How keys of well-known services begin (fixed values).
+PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "pk_", "xox")
 AGAINST = ("isbn", "order", "invoice", "version", "id", "no", "ref", "serial", "sku", "date", "total", "price", "page", "section", "tracking")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 CONTEXT = 40
@@ -184,7 +186,7 @@ def features(text: str, span: Span) -> list[float]:
         float(any(w in CUES[kind] for w in before)), float(any(w in AGAINST for w in before)), float(a > 0 and (text[a - 1].isalnum() or text[a - 1] in "-./#$€")),
         float(b < len(text) and (text[b].isalnum() or text[b] in "-/%€")),
         turns / len(s), len(set(s[:512])) / min(len(s), 512), len(digits) / len(s), float(HEX.fullmatch(s) is not None), float(s != low and s != s.upper()),
-        float(ASSIGNED.search(text[max(0, a - 8) : a]) is not None), float("/" in s or "_" in s),
+        float(ASSIGNED.search(text[max(0, a - 8) : a]) is not None), float("/" in s or "_" in s), float(s.startswith(PREFIXES)),
     ]
 
 
@@ -215,7 +217,10 @@ def training_cases(count: int = CASES, seed: int = SEED) -> tuple[np.ndarray, np
     def secret() -> str:
         drawn = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
         some = r.choice(("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz"))
-        made = r.choice(("", "", "sk-", "pk_")) + drawn(some, r.choice((24, 32, 40, 64)))
+        made = drawn(some, r.choice((18, 24, 32, 40, 64)))
+        if r.random() < 0.3:
+            start = r.choice(PREFIXES)
+            made = start + (drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16) if start.isupper() else made)
         return made if DIGIT.search(made) and LETTERS.search(made) else secret()
 
     def opaque() -> str:
@@ -244,7 +249,9 @@ def training_cases(count: int = CASES, seed: int = SEED) -> tuple[np.ndarray, np
         cue = r.choice(CUES[kind]) if good and (kind in ("card", "phone", "secret") or r.random() < 0.6) else r.choice((*AGAINST, word(), word())) if not good else word()
         more = f" {num(4)} {num(4)}" if good and kind == "phone" and r.random() < 0.2 else ""
         if good and kind == "secret":
-            cue += r.choice((' = "', "=", ": ", " = ", ": '"))
+            if made.startswith(PREFIXES) and r.random() < 0.5:
+                cue = word()  # they need no cue
+            cue += r.choice((' = "', "=", ": ", " = ", ": '")) if cue in CUES[kind] else " "
         text = f"{word()} {word()} {cue}{r.choice((' ', ': ')) if kind != 'secret' or not good else ''}{made}{more}{r.choice((' ', '. ', ', '))}{word()} {word()}"
         a = text.index(made)
         for s in candidates(text):
