@@ -28,12 +28,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
+        # a table of its own: both sides of the join then come as they are dealt, and AQE can split a hub's links
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "ccnear")
         large = edges.join(near, edges.v == near.x).select("u", F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         discard(edges)
+        discard(near)
         edges, before, state = after, state, _state(after)
         if state == before:
             break
