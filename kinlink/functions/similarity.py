@@ -1,12 +1,17 @@
 """Similarities of two strings, sets or vectors.
 
 Sets, Levenshtein and cosine are built-in expressions. The ratios of longest common
-subsequences and Jaro-Winkler have no built-in form: they are one Arrow UDF, which takes
-distinct pairs of a batch once and keeps a word of bits for each character's places.
+subsequences, of matching blocks, and Jaro-Winkler have no built-in form: they are one Arrow
+UDF, which takes distinct pairs of a batch once. Common subsequences are found for all pairs
+of a batch at a time: a word of 64 bits is the row of a pair's table, and a step of numpy takes
+in one character of every pair. Pairs whose shorter side is longer than a word go one by one.
 """
 
 from __future__ import annotations
 
+import difflib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,30 +122,161 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro
 
 
+def sequence_ratio(a: str, b: str) -> float:
+    """Twice the characters in matching blocks (the longest first, then on either side of it) over both lengths."""
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+# -- all pairs of a batch ------------------------------------------------------------------------
+_WORD_BITS = 64
+#: Cells of a table of character places, or of windows, that are held at a time.
+_CELLS = 1 << 20
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points, a row for each text, padded with zeros."""
+    own = np.array(texts, dtype=str)
+    return own.view(np.uint32).reshape(len(texts), -1) if own.itemsize else np.zeros((len(texts), 1), np.uint32)
+
+
+def _tables(short: list[str], long: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair the places of each character in its short text as bits, and the long text's characters as columns of that.
+
+    Column 0 is for padding and for characters that stand in no short text.
+    """
+    a, b = _codes(short), _codes(long)
+    number = np.zeros(int(max(a.max(), b.max())) + 1, np.int32)
+    number[np.unique(a)] = 1
+    number[0] = 0
+    number = np.where(number > 0, np.cumsum(number), 0).astype(np.int32)
+    places = np.zeros((len(short), int(number.max()) + 1), np.uint64)
+    rows = np.arange(len(short))
+    for i in range(a.shape[1]):
+        places[rows, number[a[:, i]]] |= np.uint64(1 << i)
+    places[:, 0] = 0
+    return places, number[b]
+
+
+def lcs_lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """lcs_length() of each pair."""
+    out = np.zeros(len(x), np.int64)
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(x, y, strict=True)]
+    able = [k for k, (a, b) in enumerate(pairs) if a and len(a) <= _WORD_BITS and "\0" not in b and "\0" not in a]
+    for k in set(range(len(pairs))).difference(able):
+        out[k] = lcs_length(*pairs[k])
+    able.sort(key=lambda k: len(pairs[k][1]))
+    for at in range(0, len(able), _CELLS >> 8):
+        own = able[at : at + (_CELLS >> 8)]
+        places, b = _tables([pairs[k][0] for k in own], [pairs[k][1] for k in own])
+        rows, row = np.arange(len(own)), np.full(len(own), np.iinfo(np.uint64).max)
+        for j in range(b.shape[1]):
+            hit = row & places[rows, b[:, j]]
+            row = (row + hit) | (row - hit)
+        out[own] = np.bitwise_count(~row)  # bits beyond the short text stay set
+    return out
+
+
+def _ratios(x: list[str], y: list[str]) -> np.ndarray:
+    total = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)])
+    return np.where(total > 0, 2 * lcs_lengths(x, y) / np.maximum(total, 1), 1.0)
+
+
+def _token_sort_ratios(x: list[str], y: list[str]) -> np.ndarray:
+    return _ratios([" ".join(sorted(a.split())) for a in x], [" ".join(sorted(b.split())) for b in y])
+
+
+def _token_set_ratios(x: list[str], y: list[str]) -> np.ndarray:
+    out = np.zeros(len(x))
+    open_, left, right, shared = [], [], [], []
+    for k, (a, b) in enumerate(zip(x, y, strict=True)):
+        p, q = set(a.split()), set(b.split())
+        both = p & q
+        if p and q and both and (len(both) == len(p) or len(both) == len(q)):
+            out[k] = 1.0
+        elif p and q:
+            open_.append(k)
+            left.append(" ".join(sorted(p - q)))
+            right.append(" ".join(sorted(q - p)))
+            shared.append(sum(map(len, both)) + max(len(both) - 1, 0))
+    if open_:
+        n, m, common = (np.array(v) for v in ([len(t) for t in left], [len(t) for t in right], shared))
+        gap = (common > 0).astype(int)
+        size_x, size_y = common + gap + n, common + gap + m
+        best = 1 - (n + m - 2 * lcs_lengths(left, right)) / (size_x + size_y)
+        either = np.maximum(1 - (gap + n) / np.maximum(common + size_x, 1), 1 - (gap + m) / np.maximum(common + size_y, 1))
+        out[open_] = np.where(common > 0, np.maximum(best, either), best)
+    return out
+
+
+def _window_ratios(short: list[str], long: list[str]) -> np.ndarray:
+    """The best ratio of each short text with a window of its length in the long one, or a shorter one at an end."""
+    out = np.zeros(len(short))
+    by_size: dict[int, list[int]] = {}
+    for k in sorted(range(len(short)), key=lambda k: len(long[k])):
+        by_size.setdefault(len(short[k]), []).append(k)
+    for m, every in by_size.items():
+        step = max(1, _CELLS // (m + len(long[every[-1]])))
+        for own in (every[at : at + step] for at in range(0, len(every), step)):
+            places, b = _tables([short[k] for k in own], [long[k] for k in own])
+            n = np.array([len(long[k]) for k in own])[:, None]
+            # the places of each character of the long text, with room for windows that hang over its ends
+            hits = np.zeros((len(own), b.shape[1] + 2 * (m - 1)), np.uint64)
+            hits[:, m - 1 : m - 1 + b.shape[1]] = places[np.arange(len(own))[:, None], b]
+            windows = b.shape[1] + m - 1
+            row = np.full((len(own), windows), np.iinfo(np.uint64).max)
+            for j in range(m):
+                hit = row & hits[:, j : j + windows]
+                row = (row + hit) | (row - hit)
+            start = np.arange(windows)[None, :] - (m - 1)
+            size = np.minimum(start + m, n) - np.maximum(start, 0)
+            out[own] = np.where(size > 0, 2 * np.bitwise_count(~row) / (m + np.maximum(size, 1)), 0.0).max(axis=1)
+    return out
+
+
+def _partial_ratios(x: list[str], y: list[str]) -> np.ndarray:
+    out = np.zeros(len(x))
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(x, y, strict=True)]
+    able = [k for k, (a, b) in enumerate(pairs) if a and len(a) <= _WORD_BITS and "\0" not in a and "\0" not in b]
+    for k in set(range(len(pairs))).difference(able):
+        out[k] = partial_ratio(*pairs[k])
+    if able:
+        out[able] = _window_ratios([pairs[k][0] for k in able], [pairs[k][1] for k in able])
+        same = [k for k in able if len(pairs[k][0]) == len(pairs[k][1])]
+        if same:
+            out[same] = np.maximum(out[same], _window_ratios([pairs[k][1] for k in same], [pairs[k][0] for k in same]))
+    return out
+
+
+def _one_by_one(kernel):
+    return lambda x, y: np.array([kernel(a, b) for a, b in zip(x, y, strict=True)], float)
+
+
 KERNELS = {
-    "ratio": ratio,
-    "token_sort_ratio": token_sort_ratio,
-    "token_set_ratio": token_set_ratio,
-    "partial_ratio": partial_ratio,
-    "jaro_winkler": jaro_winkler,
+    "ratio": _ratios,
+    "token_sort_ratio": _token_sort_ratios,
+    "token_set_ratio": _token_set_ratios,
+    "partial_ratio": _partial_ratios,
+    "jaro_winkler": _one_by_one(jaro_winkler),
+    "sequence_ratio": _one_by_one(sequence_ratio),
 }
+USUAL = ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler")
+
+
+def score_pairs(x: list, y: list, names: tuple[str, ...] = USUAL) -> dict[str, np.ndarray]:
+    """The named similarities of each pair; all are zero where a side is null or empty."""
+    known: dict[tuple, int] = {}
+    at = np.array([known.setdefault((a, b), len(known)) if a and b else -1 for a, b in zip(x, y, strict=True)], np.int64)
+    p, q = [a for a, _ in known], [b for _, b in known]
+    return {n: np.append(KERNELS[n](p, q) if known else [], 0.0)[at] for n in names}
 
 
-def string_similarities(a: Column, b: Column, names: tuple[str, ...] = tuple(KERNELS)) -> Column:
+def string_similarities(a: Column, b: Column, names: tuple[str, ...] = USUAL) -> Column:
     """A struct of the named similarities; all are zero where a side is null or empty."""
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    kernels = [KERNELS[n] for n in names]
 
     @F.pandas_udf(schema)
     def score(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        known: dict[tuple, tuple] = {}
-        rows = []
-        for pair in zip(x.tolist(), y.tolist(), strict=True):
-            got = known.get(pair)
-            if got is None:
-                got = known[pair] = tuple(k(*pair) for k in kernels) if pair[0] and pair[1] else (0.0,) * len(kernels)
-            rows.append(got)
-        return pd.DataFrame(rows, columns=list(names))
+        return pd.DataFrame(score_pairs(x.tolist(), y.tolist(), names))
 
     return score(a, b)
 

@@ -206,7 +206,7 @@ add(
     _P + "SELECT id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 6) AS score FROM p",
 )
 add("sim6_jaro_winkler", _kernel("jaro_winkler"), _P + "SELECT id, round(CASE WHEN x = '' OR y = '' THEN 0.0 ELSE jaro_winkler_similarity(x, y) END, 6) AS score FROM p")
-add("sim7_sequence_ratio", _kernel("ratio"))
+add("sim7_sequence_ratio", _kernel("sequence_ratio"))
 _I, _U = "len(list_intersect(w, v))", "len(list_distinct(list_concat(w, v)))"
 add(
     "sim8_jaccard",
