@@ -57,6 +57,14 @@ def stratified(rows: DataFrame, by: list[str], n: int, key: str = "entity_id", s
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
+def proportional(rows: DataFrame, by: list[str], share: float, key: str) -> DataFrame:
+    """The same share of each stratum, rounded up, by a digest of the key."""
+    whole = Window.partitionBy(*by)
+    order = whole.orderBy(F.md5(F.col(key).cast("binary")), key)
+    numbered = rows.withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count(F.lit(1)).over(whole))
+    return numbered.where(F.col("_n") <= F.ceil(F.lit(share) * F.col("_all"))).drop("_n", "_all")
+
+
 def link_bin(n: Column) -> Column:
     """0, 1-2, 3-5 or 6+ links."""
     return F.when(n == 0, "0").when(n <= 2, "1-2").when(n <= 5, "3-5").otherwise("6+")

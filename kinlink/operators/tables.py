@@ -11,10 +11,12 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir. Only where executors are threads of the driver may it be a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="kinlink-er-"))
     return _OWN[0]
@@ -23,7 +25,7 @@ def shared_folder(spark) -> str:
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/er-{tag}-{uuid.uuid4().hex}"
-    df.coalesce(3 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._path = path
     return out

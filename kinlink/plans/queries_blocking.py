@@ -273,7 +273,7 @@ for _preset in (config.THREE_CHANNEL, config.LGBM_V1, config.V1, config.V2, conf
 
 def _set_features(s, d):
     own = rows(s, d)
-    both = ft.paired(two_channels(s, d).where("rank <= 10"), own)
+    both = ft.paired(two_channels(s, d), own)
     w1, w2 = tx.word_set(F.col("a_name_norm")), tx.word_set(F.col("b_name_norm"))
     a1, a2 = tx.word_set(F.col("a_addr_norm")), tx.word_set(F.col("b_addr_norm"))
     return both.select(
@@ -295,6 +295,6 @@ add(
     + f", k AS (SELECT doc, name_norm, addr_norm, {_LONG.format('name_norm')} AS nw, {_LONG.format('addr_norm')} AS aw FROM n) "
     f"SELECT s1, cid, {_jac('a.nw', 'b.nw')} AS name_jaccard, round(CASE WHEN least(len(a.nw), len(b.nw)) > 0 THEN len(list_intersect(a.nw, b.nw)) / least(len(a.nw), len(b.nw)) ELSE 0.0 END, 6) AS name_containment, "
     f"{_jac('a.aw', 'b.aw')} AS addr_jaccard, round(CASE WHEN greatest(length(a.name_norm), length(b.name_norm)) > 0 THEN least(length(a.name_norm), length(b.name_norm)) / greatest(length(a.name_norm), length(b.name_norm)) ELSE 0.0 END, 6) AS len_ratio, "
-    "((a.addr_norm = '') <> (b.addr_norm = ''))::INT::DOUBLE AS one_missing FROM cand JOIN k a ON a.doc = s1 JOIN k b ON b.doc = cid WHERE rank <= 10",
+    "((a.addr_norm = '') <> (b.addr_norm = ''))::INT::DOUBLE AS one_missing FROM cand JOIN k a ON a.doc = s1 JOIN k b ON b.doc = cid",
 )
 FEATURE_LISTS = (fixed.FEATURES_16, fixed.FEATURES_18, fixed.FEATURES_32, fixed.FEATURES_35, fixed.FEATURES_50, fixed.FEATURES_51, fixed.FEATURES_RESCORE)

@@ -67,6 +67,24 @@ def _claims(s, d):
 
 
 add("src8_claim_shards", _claims, SC + " SELECT s1, cid, (cid LIKE 'S3-%')::INT::DOUBLE AS is_s3, prob FROM sc")
+_INDEXED = SC + ", i AS (SELECT entity_id, CAST(id AS INT) AS k FROM records)"
+
+
+def _shards(form):
+    def run(s, d):
+        path = _path(s, form)
+        place = records(s, d).select(F.col("entity_id"), F.col("id").cast("int").alias("k"))
+        own = scored(s, d).join(place.withColumnsRenamed({"entity_id": "s1", "k": "s1_index"}), "s1").join(place.withColumnsRenamed({"entity_id": "cid", "k": "corpus_index"}), "cid")
+        files.write_shards(own.withColumn("is_s3", F.col("cid").startswith("S3-").cast("double")), path, form)
+        return files.read_shards(s, path, form)
+
+    return run
+
+
+add("src8_claim_shards_v1", _shards("v1"), _INDEXED + " SELECT i.k AS s1_index, cid, round(prob, 4) AS prob FROM sc JOIN i ON i.entity_id = s1")
+add("src8_claim_shards_v2", _shards("v2"), _INDEXED + " SELECT i.k AS s1_index, cid, j.k AS corpus_index, round(prob, 4) AS prob FROM sc JOIN i ON i.entity_id = s1 JOIN i j ON j.entity_id = cid")
+add("src8_claim_shards_rules", _shards("rules"), _INDEXED + " SELECT i.k AS s1_index, cid, round(prob, 4) AS prob FROM sc JOIN i ON i.entity_id = s1")
+add("src8_candidate_shards", _shards("candidates"), SC + " SELECT s1, cid FROM sc")
 add("src9_table_checkpoint", lambda s, d: write_table(records(s, d).select("id", "name"), "again"), f"WITH {REC} SELECT id, name FROM records")
 add(
     "src10_vector_store",
@@ -76,11 +94,39 @@ add(
 add("snk1_matching_lists", lists, f"WITH {REC}, {TRUTH} {_TRUE_LISTS}")
 add(
     "snk2_candidate_lists",
-    lambda s, d: files.listed(records(s, d).where("src = 'S1'").select("entity_id", F.col("id").alias("ord")), scored(s, d).where("rank <= 10"), ["rank"], files.CANDIDATES[1]),
-    SC + " " + _LISTED.format(name="candidate_entity_ids", links="SELECT s1, string_agg(cid, ',' ORDER BY rank) AS l FROM sc WHERE rank <= 10 GROUP BY s1"),
+    lambda s, d: files.listed(records(s, d).where("src = 'S1'").select("entity_id", F.col("id").alias("ord")), scored(s, d), ["rank"], files.CANDIDATES[1]),
+    SC + " " + _LISTED.format(name="candidate_entity_ids", links="SELECT s1, string_agg(cid, ',' ORDER BY rank) AS l FROM sc GROUP BY s1"),
 )
 
 
+def _zipped(s, d):
+    """The result lists as a zip's one entry, read again line by line."""
+    import tempfile
+
+    own = lists(s, d)
+    with tempfile.TemporaryDirectory() as folder:
+        out = f"{folder}/submission.zip"
+        files.zip_rows(own, out, "matching_results.tsv")
+        found = files.zip_entries(out)
+    return s.createDataFrame(found, "name string, lines long")
+
+
+add("snk5_zip", _zipped, f"WITH {REC} SELECT 'matching_results.tsv' AS name, count(*) + 1 AS lines FROM records WHERE src = 'S1'")
+
+
+def _meta(s, d):
+    import tempfile
+
+    counts = {r.src: r.n for r in records(s, d).groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}
+    with tempfile.TemporaryDirectory() as folder:
+        files.write_meta({"rows": counts, "taus": [0.5, 0.65]}, f"{folder}/meta.json")
+        again = files.read_meta(f"{folder}/meta.json")
+    return s.createDataFrame([(k, int(v), again["taus"][1]) for k, v in sorted(again["rows"].items())], "src string, n long, tau double")
+
+
+add("snk6_json_meta", _meta, f"WITH {REC} SELECT src, count(*) AS n, 0.65::DOUBLE AS tau FROM records GROUP BY src")
+
+
 def _parts(s, d):
     path = _path(s, "parts")
     files.write_parts(records(s, d).select("entity_id", "country"), path)
@@ -282,8 +328,15 @@ add("val6_duplicate_assignments", lambda s, d: validate.duplicate_assignments(tr
 def _gate(s, d):
     r = metrics.blocking_recall(truth(records(s, d)), two_channels(s, d), records(s, d)).select("recall", F.lit(1).alias("k"))
     f = metrics.macro(queries_of(records(s, d)), truth(records(s, d)), linked(s, d)).select("f05", F.lit(1).alias("k"))
-    return validate.gate(r.join(f, "k"), 0.1, 0.1).select("passed")
+    return validate.gate(r.join(f, "k"), *FLOORS).select(F.round("recall", 6).alias("recall"), F.round("f05", 6).alias("f05"), "passed")
 
 
-add("val7_gate", _gate, "SELECT true AS passed")
+#: Blocking recall and F0.5 that a change must beat.
+FLOORS = (0.8997, 0.6636)
+add(
+    "val7_gate",
+    _gate,
+    SC + PER + ", r AS (SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sc WHERE sc.s1 = truth.s1 AND sc.cid = truth.cid)) / count(*) AS recall FROM truth), g AS (SELECT avg(f05) AS f05 FROM per) "
+    f"SELECT round(recall, 6) AS recall, round(f05, 6) AS f05, recall > {FLOORS[0]} AND f05 > {FLOORS[1]} AS passed FROM r, g",
+)
 __all__ = ["examples", "linked", "tsv"]

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as tx
 from ..functions.text import quote
 from ..operators import assign, audit, decide, guards, model
 from ..operators import features as ft
 from ..operators import vectorize as vz
 from ..operators.tables import write_table
 from . import config, normalize, pipeline
-from .base import REC, TRUTH, add, queries_of, records, truth
-from .queries_blocking import UNION_SQL, rows, two_channels
+from .base import BASIC, REC, TRUTH, add, queries_of, records, truth
+from .queries_blocking import COMPOSITE, UNION_SQL, chars_sql, matrix_sql, rows, two_channels, words_sql
 from .queries_text import COUNTRY_CODE, WHOLE_SQL, state_of
 
 TAUS = {"US": 0.30, "India": 0.25, "France": 0.35}
@@ -95,7 +96,7 @@ add("grd2_chain_zero", _chain_zero)
 add("grd3_premise", _guard(guards.premise_conflict), f"{_G} SELECT s1, cid, {_PREMISE} AS conflict FROM x")
 add("grd4_postal", _guard(guards.postal_conflict), f"{_G} SELECT s1, cid, {_POSTAL} AS conflict FROM x")
 add("grd5_chain", lambda s, d: guards.guarded(matches(s, d), facts(s, d), 1).select("s1", "cid", "reason"), f"{_G} SELECT s1, cid, {_REASON} AS reason FROM x")
-add("grd6_marginal_singletons", lambda s, d: guards.marginal_singletons(guards.guarded(matches(s, d).where("ord = 1"), facts(s, d))).select("s1", "cid", "reason"))
+add("grd6_marginal_singletons", lambda s, d: guards.marginal_singletons(guards.guarded(matches(s, d), facts(s, d))).select("s1", "cid", "reason"))
 
 
 def _unknown(s, d):
@@ -151,7 +152,7 @@ def _side(s, d, which):
 
 
 add("set1_union_all", lambda s, d: _side(s, d, "S2").unionByName(_side(s, d, "S3")), f"WITH {REC} SELECT entity_id, country FROM records WHERE src = 'S2' UNION ALL SELECT entity_id, country FROM records WHERE src = 'S3'")
-add("set2_union_distinct", lambda s, d: records(s, d).select("country", "src").union(records(s, d).select("country", "src")).distinct(), f"WITH {REC} SELECT country, src FROM records UNION SELECT country, src FROM records")
+add("set2_union_distinct", lambda s, d: _side(s, d, "S2").union(truth(records(s, d)).join(records(s, d), F.col("cid") == F.col("entity_id")).select("cid", "country")).distinct(), f"WITH {REC}, {TRUTH} SELECT entity_id, country FROM records WHERE src = 'S2' UNION SELECT cid, country FROM truth JOIN records ON entity_id = cid")
 
 
 def _names(s, d, which):
@@ -167,8 +168,27 @@ add(
     lambda s, d: truth(records(s, d)).join(two_channels(s, d).select("s1", "cid"), ["s1", "cid"], "left_anti"),
     UNION_SQL + f", {TRUTH} SELECT s1, cid FROM truth WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.s1 = truth.s1 AND cand.cid = truth.cid)",
 )
+def _joins(s, d):
+    q, t = queries_of(records(s, d)), truth(records(s, d))
+    both = t.groupBy("s1").agg(F.count(F.lit(1)).alias("n"))
+    made = {"inner": q.join(both, "s1"), "left": q.join(both, "s1", "left"), "semi": q.join(t, "s1", "left_semi"), "anti": q.join(t, "s1", "left_anti")}
+    out = None
+    for kind, rows_ in made.items():
+        n = F.coalesce("n", F.lit(0)) if kind in ("inner", "left") else F.lit(None)
+        part = rows_.select(F.lit(kind).alias("kind"), "s1", n.cast("long").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 add(
     "join1_inner_left_semi_anti",
+    _joins,
+    f"WITH {REC}, {TRUTH}, q AS (SELECT entity_id AS s1 FROM records WHERE src = 'S1'), b AS (SELECT s1, count(*) AS n FROM truth GROUP BY s1) "
+    "SELECT 'inner' AS kind, q.s1, n FROM q JOIN b ON b.s1 = q.s1 UNION ALL SELECT 'left', q.s1, coalesce(n, 0) FROM q LEFT JOIN b ON b.s1 = q.s1 "
+    "UNION ALL SELECT 'semi', s1, NULL FROM q WHERE s1 IN (SELECT s1 FROM truth) UNION ALL SELECT 'anti', s1, NULL FROM q WHERE s1 NOT IN (SELECT s1 FROM truth)",
+)
+add(
+    "join2_left_counts",
     lambda s, d: (lambda q, t: q.join(t.groupBy("s1").agg(F.count(F.lit(1)).alias("n")), "s1", "left").select("s1", F.coalesce("n", F.lit(0)).alias("n")))(queries_of(records(s, d)), truth(records(s, d))),
     f"WITH {REC}, {TRUTH} SELECT entity_id AS s1, count(cid) AS n FROM records LEFT JOIN truth ON truth.s1 = entity_id WHERE src = 'S1' GROUP BY ALL",
 )
@@ -226,6 +246,16 @@ add(
     lambda s, d: model.label(scored(s, d).select("s1", "cid"), truth(records(s, d))),
     SC + f", {TRUTH}{_T} SELECT sc.s1, sc.cid, CASE WHEN t.cid IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS label FROM sc LEFT JOIN t ON t.s1 = sc.s1 AND t.cid = sc.cid",
 )
+add("ml1_proportional_sample", lambda s, d: audit.proportional(records(s, d).where("src = 'S1'"), ["country"], 0.2, "entity_id").select("entity_id", "country"),
+    f"WITH {REC}, q AS (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY md5(entity_id), entity_id) AS k, count(*) OVER (PARTITION BY country) AS n FROM records WHERE src = 'S1') "
+    "SELECT entity_id, country FROM q WHERE k <= ceil(0.2 * n)")
+_HEX = "('0x' || substring(md5(s1 || '|' || cid), 1, 8))::BIGINT"
+add("ml4_row_folds", lambda s, d: scored(s, d).select("s1", "cid", model.row_fold("s1", "cid").alias("fold")), SC + f" SELECT s1, cid, ({_HEX} % 5)::INT AS fold FROM sc")
+add(
+    "ml4_train_test_split",
+    lambda s, d: scored(s, d).select("s1", "cid", (model.row_fold("s1", "cid", folds=10) < 8).alias("train")),
+    SC + f" SELECT s1, cid, {_HEX} % 10 < 8 AS train FROM sc",
+)
 add("ml4_group_folds", lambda s, d: queries_of(records(s, d)).select("s1", model.fold(F.col("s1"), 5).alias("fold")))
 
 
@@ -305,8 +335,38 @@ def _resolve_baseline(s, d):
 
 
 add("resolve_baseline", _resolve_baseline, _BASE)
+_SUFFIX = f"n AS (SELECT entity_id AS doc, src AS side, country, {tx.NAME_SUFFIXES.sql('name')} AS name_norm, {tx.ADDRESS.sql('address')} AS addr_norm FROM records)"
+_PLACE = "row_number() OVER (PARTITION BY s1 ORDER BY prob DESC, cid) AS ord"
+
+
+def _vectors(preset: config.Preset) -> tuple:
+    return tuple(c.vectorizer for c in preset.channels)
+
+
+def _pair_sql(normal: str, one: str, two: str, score: str, cap: int) -> str:
+    """Candidates of two channels ca and cb with a score, the best ``cap`` of a query by the greater."""
+    return (
+        f"WITH {REC}, {normal}, {one}, {two}, u AS (SELECT coalesce(ca.s1, cb.s1) AS s1, coalesce(ca.cid, cb.cid) AS cid, coalesce(ca.score, 0.0) AS x, coalesce(cb.score, 0.0) AS y "
+        f"FROM ca FULL JOIN cb ON ca.s1 = cb.s1 AND ca.cid = cb.cid), r AS (SELECT s1, cid, round({score}, 6) AS prob FROM u QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY round(greatest(x, y), 9) DESC, cid) <= {cap})"
+    )
+
+
+RESOLVED_SQL = {
+    "sprint0": f"WITH {REC}, {_SUFFIX}, {matrix_sql('ca', chars_sql('name_norm', 3, 5), *_vectors(config.SPRINT0), 30)}, r AS (SELECT s1, cid, round(score, 6) AS prob FROM ca) SELECT s1, cid, prob, {_PLACE} FROM r WHERE prob >= 0.5",
+    "sprint0v2": _pair_sql(
+        _SUFFIX, matrix_sql("ca", words_sql("name_norm"), _vectors(config.SPRINT0V2)[0], 30), matrix_sql("cb", words_sql("addr_norm"), _vectors(config.SPRINT0V2)[1], 30), "0.55::DOUBLE * x + 0.45::DOUBLE * y", 30
+    )
+    + f" SELECT s1, cid, prob, {_PLACE} FROM r WHERE prob >= 0.5",
+    "sprint1": f"WITH {REC}, {BASIC}, {matrix_sql('ca', words_sql(COMPOSITE), *_vectors(config.SPRINT1), 35)}, r AS (SELECT s1, cid, round(score, 6) AS prob FROM ca) SELECT s1, cid, prob, {_PLACE} FROM r WHERE prob >= 0.6",
+}
+add(
+    "resolve_baseline_preset",
+    _resolved(config.BASELINE),
+    _pair_sql(BASIC, matrix_sql("ca", words_sql(COMPOSITE), _vectors(config.BASELINE)[0], 30), matrix_sql("cb", words_sql("addr_norm"), _vectors(config.BASELINE)[1], 30), "greatest(x, y)", 50)
+    + f", o AS (SELECT * FROM r WHERE prob >= 0.8 QUALIFY row_number() OVER (PARTITION BY cid ORDER BY prob DESC, s1) = 1) SELECT s1, cid, prob, {_PLACE} FROM o",
+)
 for _p in config.PRESETS.values():
     if _p.name != "baseline":
-        add(f"resolve_{_p.name}", _resolved(_p))
+        add(f"resolve_{_p.name}", _resolved(_p), RESOLVED_SQL.get(_p.name))
 
 __all__ = ["FEATURES", "SC", "edges", "examples", "facts", "fixed", "matches", "quote", "rows", "scored"]

@@ -72,6 +72,29 @@ def write_claims(claims: DataFrame, path: str, scale: int = 6) -> None:
     claims.select("s1", "cid", "is_s3", F.round("prob", scale).alias("prob")).write.mode("overwrite").csv(path)
 
 
+#: Columns and number format of each form of shard; "rules" is tab-separated.
+SHARDS = {
+    "v1": ("s1_index int, cid string, prob double", 4, ","),
+    "v2": ("s1_index int, cid string, corpus_index int, prob double", 4, ","),
+    "rules": ("s1_index int, cid string, prob double", 4, "\t"),
+    "candidates": ("s1 string, cid string", 0, ","),
+}
+
+
+def write_shards(rows: DataFrame, path: str, form: str) -> None:
+    """Rows in a form's columns, a shard for each partition."""
+    columns, scale, sep = SHARDS[form]
+    names = [c.split()[0] for c in columns.split(", ")]
+    own = rows.select(*(F.format_string(f"%.{scale}f", F.col(c)).alias(c) if c == "prob" else F.col(c) for c in names))
+    own.write.mode("overwrite").option("sep", sep).csv(path)
+
+
+def read_shards(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """All shards of a folder in a form's columns."""
+    columns, _, sep = SHARDS[form]
+    return spark.read.schema(columns).option("sep", sep).csv(path)
+
+
 def listed(s1: DataFrame, links: DataFrame, order: list[str], name: str = LINKS[1]) -> DataFrame:
     """One row for each row of ``s1`` (entity_id, ord), with its links as a comma list in the given order; empty if none.
 
@@ -111,6 +134,21 @@ def pack(paths: list[str], out: str) -> None:
             z.write(p, Path(p).name)
 
 
+def zip_rows(rows: DataFrame, out: str, name: str, order: str = "ord") -> None:
+    """The rows, tab-separated, under a header and in order, as an entry of a zip; they pass the driver one partition at a time."""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open(name, "w", force_zip64=True) as f:
+        own = rows.orderBy(order).drop(order)
+        f.write(("\t".join(own.columns) + "\n").encode())
+        for r in own.toLocalIterator():
+            f.write(("\t".join(map(str, r)) + "\n").encode())
+
+
+def zip_entries(path: str) -> list[tuple[str, int]]:
+    """Each entry's name and number of lines."""
+    with zipfile.ZipFile(path) as z:
+        return [(n, sum(1 for _ in z.open(n))) for n in z.namelist()]
+
+
 def write_meta(meta: dict, path: str) -> None:
     Path(path).write_text(json.dumps(meta, indent=2, sort_keys=True))
 
