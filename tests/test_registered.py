@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 from kinlink.operators import model
 from kinlink.plans import config, pipeline, queries_links, registry
 from kinlink.sources.records import records
@@ -20,15 +22,17 @@ def test_examples_and_calibration_of_every_candidate(spark, sf):
 
 def test_model_queries_use_the_presets_own_settings(spark, sf, monkeypatch):
     seen = []
-    monkeypatch.setattr(model, "fit", lambda rows, features, **options: seen.append(options))
+    tree = SimpleNamespace(stages=[SimpleNamespace(getNumTrees=7)])
+    monkeypatch.setattr(model, "fit", lambda rows, features, **options: seen.append(options) or tree)
     monkeypatch.setattr(model, "predict", lambda fitted, rows: rows.selectExpr("*", "0.5D AS prob"))
     resolved = []
     real = pipeline.resolve
     monkeypatch.setattr(pipeline, "resolve", lambda own, preset, fitted, **options: resolved.append((preset.name, options)) or real(own, config.SPRINT1))
     registry.QUERIES["resolve_lgbm_v1"](spark, sf)
-    assert seen == [{}, {}] and resolved == [("lgbm_v1", {})]
+    # the first fit stops early, the second takes its number of trees; all else are the operator's own settings
+    assert list(seen[0]) == ["held"] and seen[1:] == [{"trees": 7}] and resolved == [("lgbm_v1", {})]
     folds = {r.fold for r in registry.QUERIES["ml5_boosted_trees"](spark, sf).select("fold").distinct().collect()}
-    assert seen == [{}] * 5 and folds <= {0, 1, 2} and len(folds) == 3
+    assert seen[2:] == [{}] * 3 and folds <= {0, 1, 2} and len(folds) == 3
 
 
 def test_positives_alone_still_weigh(spark):
