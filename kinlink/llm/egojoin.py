@@ -285,6 +285,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             .join(groups, F.col("cls") == F.col("node"), "left")
             .select("label", "d1", "d2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "cls").alias("_component"))
         )
+        named = materialize(named, "named")
         both = own.select("vec_id", "able", "label", "d1", "d2").join(named, ["label", "d1", "d2"], "left")
         out = both.select(
             "vec_id",

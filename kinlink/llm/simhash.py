@@ -218,6 +218,7 @@ def linked(fps: DataFrame, radius: int = 3, cap: int = TREE) -> DataFrame:
         named = classes.join(groups, classes.cls == groups.node, "left").select(
             F.col("fp").alias("_fp"), F.coalesce("component", "cls").alias("component_id")
         )
+        named = materialize(named, "named")  # as a table it is dealt for the join alone, and AQE can split many copies' rows
         return materialize(fps.join(named, fps.fp == named._fp).drop("_fp"), "linked", keep=True)
 
 
@@ -385,7 +386,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         members = materialize(cluster.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "members")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         groups = _verified(members, texts, size, similarity)
-        named = _named(classes.select("d1", "d2", "cls"), groups).select("d1", "d2", "comp")
+        named = materialize(_named(classes.select("d1", "d2", "cls"), groups).select("d1", "d2", "comp"), "named")
         # rows that share an id may be in several classes: the document takes the smallest
         out = drawn.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("comp").alias("component_id"))
         return materialize(out, "near", keep=True)
