@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from . import fixed
 from .text import NOT_WORD_ASCII, _rewrites
 
-NUMBER_WORDS = r"plot\s*no\.?|shop\s*no\.?|flat\s*no\.?|door\s*no\.?|d\.?no\.?|no\.?"
-
 
 def _zeros(c: Column) -> Column:
     return F.regexp_replace(c, "^0+", "")
@@ -22,7 +20,7 @@ def house_number(address: Column, strict: bool = False) -> Column:
     """
     low = F.lower(F.coalesce(address, F.lit("")))
     gap = r"\s*" if strict else r"(?:\s+|[:#]\s*|\.\s*|\b)"
-    after = F.regexp_extract(low, rf"\b(?:{NUMBER_WORDS}){gap}([a-z0-9/\-]+)", 1)
+    after = F.regexp_extract(low, rf"\b(?:{fixed.NUMBER_WORDS}){gap}([a-z0-9/\-]+)", 1)
     if not strict:
         after = F.when(after.rlike("[0-9]"), after).otherwise(F.lit(""))
     first = F.regexp_extract(low, r"\b([0-9][a-z0-9_/\-]*)\b", 1)
@@ -132,7 +130,7 @@ def rule_address(normal: Column, country: Column) -> Column:
         for name, code in names.items():
             found = found.when(normal.rlike(rf"\b{name}\b|\b{code}\b"), F.lit(code))
         st = F.when(country == which, F.coalesce(found, F.lit(""))).otherwise(st)
-    one = _zeros(F.regexp_extract(normal, rf"\b(?:{NUMBER_WORDS})\s*([a-z0-9/\-]+)", 1))
+    one = _zeros(F.regexp_extract(normal, rf"\b(?:{fixed.NUMBER_WORDS})\s*([a-z0-9/\-]+)", 1))
     two = _zeros(F.regexp_extract(normal, r"\b([0-9]+[a-z0-9_/\-]+)", 1))
     three = _zeros(F.regexp_extract(normal, r"\b0*([0-9]+[a-z]?)\b", 1))
     hn = F.when(one != "", one).when(two != "", two).otherwise(three)

@@ -117,17 +117,28 @@ INDIA_STATES = {
     "tripura": "tr", "uttar pradesh": "up", "uttarakhand": "uk", "west bengal": "wb", "delhi": "dl",
 }
 
-# -- fixed values: Indic letters (offsets within a block of 128 code points) ------------------
-INDIC_LETTERS = {
-    0x05: "a", 0x06: "aa", 0x07: "i", 0x08: "ee", 0x09: "u", 0x0A: "oo", 0x0F: "e", 0x10: "ai", 0x13: "o", 0x14: "au",
-    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "ng", 0x1A: "ch", 0x1B: "chh", 0x1C: "j", 0x1D: "jh", 0x1E: "ny",
-    0x1F: "t", 0x20: "th", 0x21: "d", 0x22: "dh", 0x23: "n", 0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n",
-    0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x32: "l", 0x35: "v", 0x36: "sh",
-    0x37: "sh", 0x38: "s", 0x39: "h", 0x3E: "aa", 0x3F: "i", 0x40: "ee", 0x41: "u", 0x42: "oo", 0x47: "e", 0x48: "ai",
-    0x4B: "o", 0x4C: "au", 0x4D: "", 0x02: "n", 0x01: "n",
+# -- fixed values: letters of Devanagari and of Telugu, by code point ------------------------------
+DEVANAGARI_LETTERS = {
+    0x901: "n", 0x902: "n", 0x905: "a", 0x906: "aa", 0x907: "i", 0x908: "ee", 0x909: "u", 0x90A: "oo", 0x90F: "e",
+    0x910: "ai", 0x913: "o", 0x914: "au", 0x915: "k", 0x916: "kh", 0x917: "g", 0x918: "gh", 0x919: "ng", 0x91A: "ch",
+    0x91B: "chh", 0x91C: "j", 0x91D: "jh", 0x91E: "ny", 0x91F: "t", 0x920: "th", 0x921: "d", 0x922: "dh", 0x923: "n",
+    0x924: "t", 0x925: "th", 0x926: "d", 0x927: "dh", 0x928: "n", 0x92A: "p", 0x92B: "ph", 0x92C: "b", 0x92D: "bh",
+    0x92E: "m", 0x92F: "y", 0x930: "r", 0x932: "l", 0x935: "v", 0x936: "sh", 0x937: "sh", 0x938: "s", 0x939: "h",
+    0x93E: "aa", 0x93F: "i", 0x940: "ee", 0x941: "u", 0x942: "oo", 0x947: "e", 0x948: "ai", 0x94B: "o", 0x94C: "au",
+    0x94D: "",
 }
-#: Letters that Telugu has besides, or in other places.
-TELUGU_LETTERS = {0x0E: "e", 0x0F: "ee", 0x12: "o", 0x13: "oo", 0x31: "r", 0x46: "e", 0x47: "ee", 0x4A: "o", 0x4B: "oo"}
+TELUGU_LETTERS = {
+    0xC01: "n", 0xC02: "n", 0xC05: "a", 0xC06: "aa", 0xC07: "i", 0xC08: "ee", 0xC09: "u", 0xC0A: "oo", 0xC0E: "e",
+    0xC0F: "ee", 0xC10: "ai", 0xC12: "o", 0xC13: "oo", 0xC14: "au", 0xC15: "k", 0xC16: "kh", 0xC17: "g", 0xC18: "gh",
+    0xC19: "ng", 0xC1A: "ch", 0xC1B: "chh", 0xC1C: "j", 0xC1D: "jh", 0xC1E: "ny", 0xC1F: "t", 0xC20: "th", 0xC21: "d",
+    0xC22: "dh", 0xC23: "n", 0xC24: "t", 0xC25: "th", 0xC26: "d", 0xC27: "dh", 0xC28: "n", 0xC2A: "p", 0xC2B: "ph",
+    0xC2C: "b", 0xC2D: "bh", 0xC2E: "m", 0xC2F: "y", 0xC30: "r", 0xC31: "r", 0xC32: "l", 0xC35: "v", 0xC36: "sh",
+    0xC37: "sh", 0xC38: "s", 0xC39: "h", 0xC3E: "aa", 0xC3F: "i", 0xC40: "ee", 0xC41: "u", 0xC42: "oo", 0xC46: "e",
+    0xC47: "ee", 0xC48: "ai", 0xC4A: "o", 0xC4B: "oo", 0xC4C: "au", 0xC4D: "",
+}
+
+# -- fixed values: words before a house number, as a pattern ------------------------------------------
+NUMBER_WORDS = r"plot\s*no\.?|shop\s*no\.?|flat\s*no\.?|door\s*no\.?|d\.?no\.?|no\.?"
 
 # -- fixed values: feature lists, in order -----------------------------------------------------
 FEATURES_16 = (

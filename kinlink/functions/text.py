@@ -118,13 +118,11 @@ def _ascii(c: Column) -> Column:
 
 @lru_cache(1)
 def indic_table() -> tuple[str, ...]:
-    """For each code point from U+0900 to U+0D7F its letters: Telugu by itself, other blocks as Devanagari."""
+    """For each code point from U+0900 to U+0D7F its letters: Telugu by itself, other blocks (of 128) by their places in Devanagari's."""
     out = []
     for cp in range(0x900, 0xD80):
-        letters = fixed.INDIC_LETTERS
-        if 0xC00 <= cp < 0xC80:
-            letters = letters | fixed.TELUGU_LETTERS
-        out.append(letters.get(cp % 0x80, ""))
+        telugu = 0xC00 <= cp < 0xC80
+        out.append(fixed.TELUGU_LETTERS.get(cp, "") if telugu else fixed.DEVANAGARI_LETTERS.get(0x900 + cp % 0x80, ""))
     return tuple(out)
 
 

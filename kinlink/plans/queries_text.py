@@ -93,7 +93,7 @@ on_records(
 on_records("str22_script_flags", lambda: {"indic": tx.has_indic(F.col("name")), "other": tx.has_non_ascii(F.col("name"))}, {"indic": "regexp_matches(name, '[ऀ-ൿ]')", "other": "regexp_matches(name, '[^\\x00-\\x7F]')"})
 
 # -- addresses ---------------------------------------------------------------------------------
-_W = ad.NUMBER_WORDS
+_W = fixed.NUMBER_WORDS
 
 
 def _after(gap: str) -> str:
