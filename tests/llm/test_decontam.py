@@ -101,3 +101,17 @@ def test_documents_shorter_than_an_item(spark):
     bench = spark.createDataFrame(items, ITEM)
     assert {(x.doc_id, x.item_id): (x.similarity, x.start) for x in dc.find_leaks(table(spark, docs), bench).collect()} == want
     assert {x.doc_id for x in dc.drop_leaks(table(spark, docs), bench).collect()} == {d for d, *_ in docs} - {d for d, _ in want}
+
+
+def test_long_texts_and_clashing_columns(spark):
+    r = random.Random(6)
+    item = " ".join(f"q{r.randrange(10**6)}" for _ in range(40))
+    words = [f"w{r.randrange(10**6)}" for _ in range(2 * dc.SLICE)]
+    at = dc.SLICE + 500
+    long = " ".join([*words[:at], *item.split(), *words[at:]])
+    docs = table(spark, [(1, long, None, None, None), (2, " ".join(words), None, None, None), (3, None, None, None, None)])
+    got = dc.find_leaks(docs.selectExpr("*", "1 AS similarity", "2 AS item_id", "3 AS start"), spark.createDataFrame([(9, item)], ITEM)).collect()
+    assert [(x.doc_id, x.item_id, x.similarity, x.start) for x in got] == [(1, 9, 1.0, at)]
+    same = " ".join(words[:3000])  # every word of the text is a hit, over several slices of pairs
+    hit = dc.find_leaks(docs, spark.createDataFrame([(k, " ".join(words[k : k + 50])) for k in range(0, 3000, 100)], ITEM)).where("doc_id = 2").collect()
+    assert len(hit) == 30 and all(x.start == x.item_id for x in hit) and same

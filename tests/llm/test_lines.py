@@ -54,3 +54,21 @@ def test_later_batches_meet_the_runs(spark):
             assert text == rows[i][1] if i == 0 else text == f"own line number {i} of its kind"
     assert len(runs.tables()) <= 2  # compacted
     assert sum(r.count() for r in runs.tables()) == 13
+
+
+def test_results_outlive_the_runs_they_were_made_with(spark):
+    line = "a line that both of them hold"
+    one = spark.createDataFrame([(1, line, None, None, None)], DOC)
+    two = spark.createDataFrame([(2, f"{line}\nmore of it here", None, None, None)], DOC)
+    three = spark.createDataFrame([(3, "more of it here\nx", None, None, None)], DOC)
+    runs = lines.Runs()
+    a, b, c = (lines.dedup(x, 1, runs) for x in (one, two, three))
+    assert [r.text for r in a.collect()] == [line] and [r.text for r in b.collect()] == ["more of it here"] and [r.text for r in c.collect()] == ["x"]
+    runs.drop()
+    assert runs.tables() == []
+
+
+def test_long_texts(spark):
+    text = "\n".join(f"line number {i % 5000} of them" for i in range(60_000))
+    got = lines.dedup(spark.createDataFrame([(1, text, None, None, None), (2, text, None, None, None)], DOC)).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_dropped) for r in got] == [(60_000, 0), (60_000, 60_000)]

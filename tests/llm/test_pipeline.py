@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import tiktoken
+from helpers import empty, table
 from test_decontam import plain as plain_leaks
 from test_lines import LOW, SPACE
 from test_simhash import plain_near
@@ -52,3 +53,12 @@ def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark, sf):
+    for rows in (empty(spark), table(spark)):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf)
+        assert docs.count() <= rows.count()
+    assert docs.where("doc_id IS NULL").count() == 1 and docs.where("ids IS NULL").count() == 0

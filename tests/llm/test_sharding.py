@@ -57,3 +57,36 @@ def test_native_plan_and_empty(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert out.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert sharding.place(sharding.records(empty(spark)), 8).count() == 0
+
+
+def test_rows_without_an_id_are_parted_too(spark):
+    rows = [(None, "the same text of all " * 4, None, None, None)] * 400 + [(i, f"{i} " * 9, None, None, None) for i in range(100)]
+    got = sharding.place(sharding.records(spark.createDataFrame(rows, DOC)), 4).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.shard, []).append((r.slot, r.size))
+    assert all(sorted(s for s, _ in own) == list(range(len(own))) for own in sizes.values())
+    totals = [sum(x for _, x in own) for own in sizes.values()]
+    assert len(got) == 500 and len(totals) == 4 and max(totals) - min(totals) <= 200
+
+
+def plain_place(rows, shards):
+    """The law of bytes by one sorted list: an equal text stays whole if it is small, else its records go where their middles lie."""
+    total = sum(s for *_, s in rows)
+    groups, out, at = {}, {}, 0
+    for h, d, s in sorted(rows):
+        groups.setdefault(h, []).append((d, s))
+    for h in sorted(groups):
+        own, begin = groups[h], at
+        size = sum(s for _, s in own)
+        for d, s in own:
+            middle = begin + size / 2 if size <= sharding.SNAP * total / shards else at + s / 2
+            out[d] = min(int(middle * shards // total), shards - 1)
+            at += s
+    return out
+
+
+def test_as_a_plain_placement(spark, sf):
+    own = sharding.records(spark.read.parquet(f"{sf}/documents.parquet"))
+    want = plain_place([(r.h, r.doc_id, r.size) for r in own.collect()], 8)
+    assert {r.doc_id: r.shard for r in sharding.place(own, 8).collect()} == want
