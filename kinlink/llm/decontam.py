@@ -92,8 +92,11 @@ class MultiIndex:
     def __init__(self, fps: np.ndarray, radius: int = RADIUS) -> None:
         self.fps, self.radius = fps, radius
         values = np.arange(1 << WIDTH, dtype=np.uint64)
-        self.near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // BLOCKS
-        self.blocks = [self._block(fps, b) for b in range(BLOCKS)]
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius // BLOCKS
+        # the items near each value of a block, kept where that is a small table, else taken when asked for
+        blocks = [self._block(fps, b) for b in range(BLOCKS)]
+        small = len(fps) * BLOCKS << WIDTH <= CELLS
+        self.tables = [near[:, own] for own in blocks] if small else [(near, own) for own in blocks]
         self.rows = max(1, CELLS // max(len(fps), 1))
 
     @staticmethod
@@ -105,8 +108,9 @@ class MultiIndex:
         for at in range(0, len(fps), self.rows):
             own = fps[at : at + self.rows]
             near = np.zeros((len(own), len(self.fps)), bool)
-            for b, block in enumerate(self.blocks):
-                near |= self.near[self._block(own, b)][:, block]
+            for b, table in enumerate(self.tables):
+                value = self._block(own, b)
+                near |= table[value] if isinstance(table, np.ndarray) else table[0][value][:, table[1]]
             q, i = np.nonzero(near)
             within = np.bitwise_count(own[q] ^ self.fps[i]) <= self.radius
             yield from zip((q[within] + at).tolist(), i[within].tolist(), strict=True)
@@ -172,6 +176,9 @@ class Items:
                     fps = window_fingerprints(s[c : d + m - 1], m)
                     for q, i in index.search(fps):
                         w = c + q
+                        # what is shared is among the hits, and the union has m shingles at least
+                        if np.searchsorted(hits[size], w + m) - np.searchsorted(hits[size], w) < self.similarity * m - 1e-9:
+                            continue
                         likeness = weighted_jaccard(s[w : w + m], own[i])
                         if likeness >= self.similarity and likeness > out.get(ids[i], (0.0, 0))[0]:
                             out[ids[i]] = (likeness, w)
