@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product of unit vectors.
 
-``exact``: queries are dealt to blocks; blocks of queries meet all corpus rows in a
-block-by-block product, and each block keeps its k best before blocks are merged.
+``exact``: queries and corpus rows are dealt to blocks, every two blocks of a key meet in one
+product, and each product keeps its k best before they are merged.
 ``inverted_lists``: the corpus is dealt to the nearest of some centroids that a bounded sample
 gives, and a query looks into its ``probe`` nearest lists only (approximate).
 """
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block of queries, and sampled rows that centroids are made from.
-BLOCK, SAMPLE = 4096, 20_000
+#: Rows of a block, queries of a product that are scored at a time, and sampled rows that centroids are made from.
+BLOCK, SLICE, SAMPLE = 16_384, 512, 20_000
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -34,43 +34,61 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def _kind(df: DataFrame, name: str) -> str:
+    return "string" if df.schema[name].dataType.typeName() == "string" else "long"
+
+
+def _dealt(rows: DataFrame, own: str, mine: str, other: str, sizes: DataFrame) -> DataFrame:
+    """Rows with their block ``mine``, once for each block ``other`` of the opposite side."""
+    block = F.pmod(F.xxhash64(F.lit(5), own), F.ceil(F.col(f"n_{mine}") / BLOCK)).cast("int")
+    met = F.sequence(F.lit(0), F.ceil(F.col(f"n_{other}") / BLOCK).cast("int") - 1)
+    # names of their own, as both sides may come from one table
+    return rows.join(sizes, "key").select(F.col("key").alias("key"), block.alias(mine), F.explode(met).alias(other), F.col(own).alias(own), F.col("v").alias("v"))
+
+
+def products(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """``(s1, cid, score)``: for each two blocks of a key, each query's k best of the block's corpus rows.
+
+    Queries are (key, s1, v), corpus rows (key, cid, v); null keys meet nothing. A task holds two
+    blocks and a slice of their product, however many rows a key has.
+    """
+    kinds = _kind(queries, "s1"), _kind(corpus, "cid")
+    q = queries.where("key IS NOT NULL").select("key", F.col("s1").cast(kinds[0]).alias("s1"), "v")
+    c = corpus.where("key IS NOT NULL").select("key", F.col("cid").cast(kinds[1]).alias("cid"), "v")
+    count = F.count(F.lit(1))
+    sizes = q.groupBy("key").agg(count.alias("n_qb")).join(c.groupBy("key").agg(count.alias("n_cb")), "key")
+    schema = pa.schema([("s1", pa.string() if kinds[0] == "string" else pa.int64()), ("cid", pa.string() if kinds[1] == "string" else pa.int64()), ("score", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = min(k, right.num_rows)
+        if not n or not left.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("cid")  # ties go to the lesser id
+        x, y = _unit(left["v"].combine_chunks()), _unit(right["v"].combine_chunks()).T
+        out = []
+        for at in range(0, len(x), SLICE):
+            score = x[at : at + SLICE] @ y
+            low = -np.round(score, 9)
+            row, col = np.nonzero(low <= np.partition(low, n - 1, axis=1)[:, n - 1 : n])
+            order = np.lexsort((col, low[row, col], row))
+            row, col = row[order], col[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+            row, col = row[kept], col[kept]
+            out.append(pa.Table.from_arrays([left["s1"].take(pa.array(at + row)), right["cid"].take(pa.array(col)), pa.array(score[row, col])], schema=schema))
+        return pa.concat_tables(out)
+
+    deal = ["key", "qb", "cb"]
+    dealt = _dealt(q, "s1", "qb", "cb", sizes).groupBy(deal).cogroup(_dealt(c, "cid", "cb", "qb", sizes).groupBy(deal))
+    return dealt.applyInArrow(best, f"s1 {kinds[0]}, cid {kinds[1]}, score double")
+
+
+def exact(queries: DataFrame, corpus: DataFrame, k: int, within: str | None = None) -> DataFrame:
     """``(s1, cid, score, rank)``: the k nearest of ``corpus`` (cid, v) to each of ``queries`` (s1, v).
 
-    Queries are a stated set; they are taken in blocks that are broadcast one at a time.
+    Queries are a stated set; with ``within``, only rows that are equal in this column meet.
     """
-    spark = queries.sparkSession
-    kinds = ["string" if df.schema[c].dataType.typeName() == "string" else "long" for df, c in ((queries, "s1"), (corpus, "cid"))]
-    schema = f"s1 {kinds[0]}, cid {kinds[1]}, score double"
-    out = None
-    rows = queries.select("s1", "v").orderBy("s1").toLocalIterator()
-    while True:
-        block = [r for _, r in zip(range(BLOCK), rows, strict=False)]
-        if not block:
-            break
-        ids = np.array([r.s1 for r in block])
-        q = _unit(pa.array([list(r.v) for r in block]))
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for b in batches:
-                cid = b.column(0).to_numpy(zero_copy_only=False)
-                score = q @ _unit(b.column(1)).T
-                n = min(k, len(cid))
-                if not n:
-                    continue
-                # ties at the edge go to the lesser id
-                by_id = np.argsort(cid, kind="stable")
-                order = by_id[np.argsort(-np.round(score[:, by_id], 9), axis=1, kind="stable")[:, :n]]
-                picked = np.take_along_axis(score, order, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(cid[order].ravel()), pa.array(picked.ravel())], ["s1", "cid", "score"])
-
-        part = corpus.select("cid", "v").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return _best(out, k)
+    key = F.lit(0) if within is None else F.col(within)
+    return _best(products(queries.withColumn("key", key), corpus.withColumn("key", key), k), k)
 
 
 def centroids(corpus: DataFrame, lists: int, rounds: int = 8) -> np.ndarray:
@@ -104,9 +122,9 @@ def inverted_lists(queries: DataFrame, corpus: DataFrame, k: int, lists: int = 6
 
     q = queries.select(F.col("s1").alias("id"), "v").mapInArrow(near(probe), "id long, v array<float>, lists array<int>")
     d = corpus.select(F.col("cid").alias("id"), "v").mapInArrow(near(1), "id long, v array<float>, lists array<int>")
-    q = q.select(F.col("id").alias("s1"), F.col("v").alias("qv"), F.explode("lists").alias("list"))
-    d = d.select(F.col("id").alias("cid"), F.col("v").alias("dv"), F.explode("lists").alias("list"))
-    return _best(q.join(d, "list").select("s1", "cid", similarity(F.col("qv"), F.col("dv")).alias("score")), k)
+    q = q.select(F.col("id").alias("s1"), "v", F.explode("lists").alias("key"))
+    d = d.select(F.col("id").alias("cid"), "v", F.explode("lists").alias("key"))
+    return _best(products(q, d, k), k)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -123,13 +123,24 @@ def singleton_tau(scored: DataFrame, truth: DataFrame, share_: float = 0.95) ->
     return best.join(truth.select("s1").distinct(), "s1", "left_anti").agg(F.percentile("best", F.lit(share_)).alias("tau"))
 
 
+#: Ranges of scores that running sums are taken in.
+RANGES = 256
+
+
 def auc(scored: DataFrame) -> DataFrame:
     """One row: area under the curve of (prob, label) by rank sums, ties sharing their ranks.
 
-    Distinct scores are counted first; a running sum over them needs their order.
+    Distinct scores are counted first. Their running sum is taken within ranges of scores, to
+    which the sums of the lower ranges are added.
     """
     counts = scored.groupBy("prob").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    before = Window.orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(before), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2))
-    return rows.agg((wins / (F.sum("pos") * F.sum(F.col("n") - F.col("pos")))).alias("auc"))
+    cuts = counts.agg(F.percentile_approx("prob", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10_000)).alias("cuts"))
+    rows = counts.join(F.broadcast(cuts))  # one row
+    rows = rows.select("prob", "n", "pos", (F.col("n") - F.col("pos")).alias("neg"), F.size(F.filter("cuts", lambda c: c < F.col("prob"))).alias("part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lower = rows.groupBy("part").agg(F.sum("neg").alias("neg"))  # a row for each range
+    lower = lower.select("part", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("lower"))
+    within = Window.partitionBy("part").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("below", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(F.broadcast(lower), "part")
+    wins = F.sum(F.col("pos") * (F.col("lower") + F.col("below") + F.col("neg") / 2))
+    return rows.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auc"))

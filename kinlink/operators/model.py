@@ -40,13 +40,20 @@ def sampled_negatives(records: DataFrame, truth: DataFrame, each: int, seed: int
     """For each query ``each`` pseudo-random corpus records of its country that are no true link.
 
     Corpus records are numbered within their country in hash order, and queries draw numbers,
-    so the pairs come from an equi-join.
+    so the pairs come from an equi-join. The numbers run within ranges of hashes, each starting
+    where the lower ranges of its country end.
     """
-    order = Window.partitionBy("country").orderBy(F.xxhash64(F.lit(seed), "doc"), "doc")
-    corpus = records.where("side <> 'S1'").select("country", F.col("doc").alias("cid"), (F.row_number().over(order) - 1).alias("k"))
-    sizes = corpus.groupBy("country").agg(F.max("k").alias("top"))
+    corpus = records.where("side <> 'S1'").select("country", F.col("doc").alias("cid"), F.xxhash64(F.lit(seed), "doc").alias("_h"))
+    corpus = corpus.withColumn("_part", F.shiftright("_h", 54))  # 1,024 ranges
+    before = Window.partitionBy("country").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = corpus.groupBy("country", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = starts.groupBy("country").agg((F.sum("_n") - 1).alias("top"))
+    starts = starts.select(F.col("country").alias("_c"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    order = Window.partitionBy("country", "_part").orderBy("_h", "cid")
+    corpus = corpus.withColumn("_k", F.row_number().over(order) - 1)
+    corpus = corpus.join(starts, F.col("country").eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p"))).select("country", "cid", (F.col("_start") + F.col("_k")).alias("k"))
     queries = records.where("side = 'S1'").select("country", F.col("doc").alias("s1")).join(F.broadcast(sizes), "country")
-    draws = queries.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(each)))).withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "s1", "d"), F.col("top") + 1).cast("int"))
+    draws = queries.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(each)))).withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "s1", "d"), F.col("top") + 1))
     pairs = draws.join(corpus, ["country", "k"]).select("s1", "cid").distinct()
     return pairs.join(truth.select("s1", "cid"), ["s1", "cid"], "left_anti")
 

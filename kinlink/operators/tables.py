@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
 _OWN: list[str] = []
+#: Tables written inside each scratch() that this thread has open.
+_SCRATCH = threading.local()
+
+
+def _open() -> list[list[DataFrame]]:
+    return _SCRATCH.__dict__.setdefault("open", [])
+
 
 
 def shared_folder(spark) -> str:
@@ -28,9 +38,24 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._path = path
+    if _open():
+        _open()[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end; what reads them must have run by then."""
+    own: list[DataFrame] = []
+    _open().append(own)
+    try:
+        yield
+    finally:
+        _open().pop()
+        for table in own:
+            discard(table)
+
+
 def discard(df: DataFrame) -> None:
     path = getattr(df, "_path", None)
     if path:

@@ -72,17 +72,10 @@ def candidates(rows: DataFrame, preset: Preset) -> DataFrame:
 def neighbours(rows: DataFrame, k: int) -> DataFrame:
     """The k nearest corpus records by vector, within a country, as (s1, cid, score, rank).
 
-    Exact: a country's queries are taken in blocks that meet all its corpus records.
+    Exact: blocks of a country's queries meet blocks of its corpus records.
     """
-    queries, corpus = rows.where("side = 'S1'"), rows.where("side <> 'S1'")
-    out = None
-    for r in queries.where("country IS NOT NULL").select("country").distinct().orderBy("country").collect():
-        here = F.col("country") == r.country
-        part = knn.exact(queries.where(here).select(F.col("doc").alias("s1"), "v"), corpus.where(here).select(F.col("doc").alias("cid"), "v"), k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = knn.exact(queries.select(F.col("doc").alias("s1"), "v"), corpus.select(F.col("doc").alias("cid"), "v"), k)
-    return out
+    queries = rows.where("side = 'S1'").select("country", F.col("doc").alias("s1"), "v")
+    return knn.exact(queries, rows.where("side <> 'S1'").select("country", F.col("doc").alias("cid"), "v"), k, "country")
 
 
 def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame:
@@ -169,13 +162,15 @@ def assigned(claims: DataFrame, preset: Preset) -> DataFrame:
     return assign.capped_by_source(claims.withColumn("is_s3", F.col("cid").startswith("S3-").cast("int")), preset.capacity["S2"], preset.capacity["S3"])
 
 
-def resolve(records: DataFrame, preset: Preset, trained: PipelineModel | None = None, tau: float | dict | None = None) -> DataFrame:
+def resolve(records: DataFrame, preset: Preset, trained: PipelineModel | None = None, tau: float | dict | None = None, rows: DataFrame | None = None) -> DataFrame:
     """``(s1, cid, prob, ord)``: the links of a preset.
 
     Normal forms are read by every channel and by the features, and scores by every guard and
-    round, so both are tables in the shared folder: neither is computed twice.
+    round, so both are tables in the shared folder: neither is computed twice. ``rows`` are the
+    normal forms where a caller keeps them.
     """
-    rows = write_table(normal_records(records, preset), "normal")
+    if rows is None:
+        rows = write_table(normal_records(records, preset), "normal")
     pairs = write_table(scored(rows, preset, trained), "scored")
     if preset.chain_guard:
         names = guards.chain_names(rows)

@@ -16,6 +16,7 @@ from ..operators.tables import write_table
 from ..sources.records import entities
 from . import config, normalize, pipeline
 from .base import BASIC, EMBEDDED, REC, add, joined, records, table
+from .queries_text import rule_sql
 
 WORD = vz.Vectorizer(2, 0.02, 150_000, 1000)
 SET = vz.Vectorizer(2, 0.04, 100_000, 1000, binary=True)
@@ -135,7 +136,12 @@ add("blk8_postal_index", lambda s, d: blocking.postal_channel(v3(s, d)), _WITH +
 add("blk9_phonetic_index", lambda s, d: blocking.phonetic_channel(v3(s, d)), _WITH + "e AS (SELECT doc, side, country, nw, unnest(pk) AS one FROM r), " + index_sql("one", 500, "0.85::DOUBLE", _OVER, "e"))
 _J = "len(list_intersect(a.nw, b.nw)) / len(list_distinct(list_concat(a.nw, b.nw)))"
 add("blk10_first3_index", lambda s, d: rounded(blocking.prefix_channel(v3(s, d))), _WITH + index_sql("f3", 300, f"round({_J}, 6)", _OVER))
-add("blk11_premise_index", lambda s, d: blocking.premise_channel(write_table(pipeline.normal_records(records(s, d), config.RULES), "rules")).select("s1", "cid"))
+add(
+    "blk11_premise_index",
+    lambda s, d: blocking.premise_channel(write_table(pipeline.normal_records(records(s, d), config.RULES), "rules")).select("s1", "cid"),
+    f"WITH {REC}, {rule_sql()}, r AS (SELECT doc, side, country, CASE WHEN length(city) >= 3 AND hn <> '' THEN city || '|' || hn ELSE '' END AS premise FROM ruled), "
+    + f"p AS (WITH {index_sql('premise', 10, '0')}) SELECT s1, cid FROM p",
+)
 _HN = "lower(regexp_extract(address, '\\b([0-9]+[-/]?[0-9]*[a-zA-Z]?)\\b', 1))"
 
 

@@ -119,12 +119,38 @@ WHOLE_SQL = (
     f"ELSE CAST(CAST(regexp_extract(CASE WHEN {_LEAD} <> '' THEN {_LEAD} ELSE {_STREET} END, '^([0-9]+)', 1) AS BIGINT) AS VARCHAR) END)"
 )
 on_records("adr3_house_number_whole", lambda: {"hn": ad.house_number_whole(F.col("address"))}, {"hn": WHOLE_SQL})
+RULE_TEXT = tx.MISSING + tx.LOWER + tx.TRIM + tx.INDIC + tx.ASCII
+
+
+def rule_sql() -> str:
+    """The CTE ``ruled``: records with hn, city, state and the text that the rule engine takes tokens and numbers from."""
+    states = []
+    for which, names in (("US", fixed.US_STATES), ("India", fixed.INDIA_STATES)):
+        tests = " ".join(f"WHEN regexp_matches(x, '\\b{n}\\b|\\b{c}\\b') THEN '{c}'" for n, c in names.items())
+        states.append(f"WHEN '{which}' THEN (CASE {tests} ELSE '' END)")
+    one, two, three = (
+        f"ltrim(regexp_extract(x, '{pattern}', 1), '0')"
+        for pattern in (rf"\b(?:{_W})\s*([a-z0-9/\-]+)", r"\b([0-9]+[a-z0-9_/\-]+)", r"\b0*([0-9]+[a-z]?)\b")
+    )
+    return (
+        f"w AS (SELECT id, entity_id, src, country, {RULE_TEXT.sql('address')} AS x FROM records), "
+        "v AS (SELECT *, list_filter(list_transform(string_split(x, ','), lambda p: trim(p)), lambda p: p <> '') AS parts FROM w), "
+        f"ruled AS (SELECT id, entity_id AS doc, src AS side, country, CASE WHEN {one} <> '' THEN {one} WHEN {two} <> '' THEN {two} ELSE {three} END AS hn, "
+        "trim(regexp_replace(coalesce(parts[-2], parts[1], ''), '[^a-zA-Z0-9_\\s]', '', 'g')) AS city, "
+        f"CASE country {' '.join(states)} ELSE '' END AS state, {tx._rewrites(fixed.STREET_RULES).sql('x')} AS long FROM v)"
+    )
+
+
+_RULE_STOP = "[" + ", ".join(map(quote, fixed.ADDRESS_STOP_RULES)) + "]"
+_RULE_WORDS = f"list_filter({long_sql(tx.NOT_WORD_ASCII.sql('long'))}, lambda w: NOT list_contains({_RULE_STOP}, w) AND w <> hn AND w <> state)"
+_RULE_NUMS = "list_filter(list_transform(regexp_extract_all(long, '\\b0*([0-9]+)\\b', 1), lambda n: ltrim(n, '0')), lambda n: n <> '')"
 add(
     "adr4_rule_address",
     lambda s, d: records(s, d)
-    .select("id", "country", (tx.MISSING + tx.LOWER + tx.TRIM + tx.INDIC + tx.ASCII).col("address").alias("x"))
+    .select("id", "country", RULE_TEXT.col("address").alias("x"))
     .select("id", ad.rule_address(F.col("x"), F.col("country")).alias("a"))
     .select("id", "a.hn", joined(F.col("a.tokens")).alias("tokens"), "a.city", joined(F.col("a.nums")).alias("nums"), "a.state"),
+    f"WITH {REC}, {rule_sql()} SELECT id, hn, {set_sql(_RULE_WORDS)} AS tokens, city, {set_sql(_RULE_NUMS)} AS nums, state FROM ruled",
 )
 on_records(
     "adr5_simple_extracts",
