@@ -8,25 +8,23 @@ the channel's rule and bounds what one key can produce.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import sparse
 from . import vectorize as vz
 
 CHANNELS = ("word", "addr", "char", "sorted", "five", "phonetic", "prefix")
 
 
-def term_channel(records: DataFrame, terms: Column, v: vz.Vectorizer, k: int, sample: Column | None = None) -> DataFrame:
-    """Top-k cosine (or, for a binary vectorizer, Jaccard) of each S1 record with the corpus."""
-    docs = records.select("country", "doc", "side", *(["ord"] if "ord" in records.columns else []), terms.alias("_t"))
-    counts = vz.term_counts(docs, F.col("_t"))
-    vocab = vz.vocabulary(counts, docs, v, sample)
-    rows = vz.weights(counts, vocab, v)
-    pairs = vz.set_jaccard(rows) if v.binary else vz.product(rows)
-    return vz.top_k(pairs, k).select("s1", "cid", "score")
+def term_channel(records: DataFrame, text: Column, v: vz.Vectorizer, k: int, sample: Column | None = None, terms: Callable[[Column], Column] = vz.word_terms) -> DataFrame:
+    """Top-k cosine (or, for a binary vectorizer, Jaccard) of each S1 record's terms with the corpus."""
+    docs = records.select("country", "doc", "side", *(["ord"] if "ord" in records.columns else []), text.alias("_x"))
+    return sparse.best_products(docs, terms, v, k, sample).select("s1", "cid", "score")
 
 
 def _sides(records: DataFrame, key: Column, *columns: str) -> tuple[DataFrame, DataFrame]:

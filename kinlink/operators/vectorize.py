@@ -52,16 +52,23 @@ def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, docs: DataFrame, v: Vectorizer, sample: Column | None = None) -> DataFrame:
-    """``(country, term, df, n)`` of the sampled documents; ties at max_features go to the lesser term."""
+    """``(country, term, df, n, place)`` of the sampled documents; ties at max_features go to the lesser term."""
     if sample is not None:
         docs = docs.where(sample)
         counts = counts.join(docs.select("doc"), "doc", "left_semi")
     sizes = docs.groupBy("country").agg(F.count(F.lit(1)).alias("n"))  # a row for each country
     share = F.when(F.col("n") < v.small, F.greatest(F.lit(v.max_df), F.lit(10.0) / F.col("n"))).otherwise(F.lit(v.max_df))
-    own = counts.groupBy("country", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(sizes), "country")
+    # a row of counts may stand for m equal documents
+    m = F.col("m") if "m" in counts.columns else F.lit(1)
+    own = counts.groupBy("country", "term").agg(F.sum(m).alias("df"), F.sum(F.col("tf") * m).alias("cf")).join(F.broadcast(sizes), "country")
     own = own.where((F.col("df") >= v.min_df) & (F.col("df") <= F.least(share, F.lit(1.0)) * F.col("n")))
     order = Window.partitionBy("country").orderBy(F.desc("cf"), "term")
-    return own.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= v.max_features).select("country", "term", "df", "n")
+    return own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= v.max_features).select("country", "term", "df", "n", "place")
+
+
+def raw_weight(v: Vectorizer) -> Column:
+    """The weight of a term of tf, df and n before rows are scaled."""
+    return F.lit(1.0) if v.binary else (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
 
 
 def weights(counts: DataFrame, vocab: DataFrame, v: Vectorizer) -> DataFrame:
@@ -69,8 +76,7 @@ def weights(counts: DataFrame, vocab: DataFrame, v: Vectorizer) -> DataFrame:
     own = counts.join(vocab, ["country", "term"])
     if v.binary:
         return own.select("country", "doc", "side", "term", F.lit(1.0).alias("w"))
-    raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    own = own.withColumn("w", raw)
+    own = own.withColumn("w", raw_weight(v))
     norm = own.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return own.join(norm, "doc").select("country", "doc", "side", "term", (F.col("w") / F.col("norm")).alias("w"))
 

@@ -7,6 +7,8 @@ records -> normal forms -> channels -> union -> features -> scores -> claims ->
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +38,15 @@ def normal_records(records: DataFrame, preset: Preset) -> DataFrame:
     return rows.withColumn("name_vector", knn.hashed_embedding(F.col("name_norm"))) if preset.neighbours else rows
 
 
-def _terms(channel: Channel) -> Column:
+def _text(channel: Channel) -> Column:
     name, addr = F.col("name_norm"), F.col("addr_norm")
-    text = {"name": name, "address": addr, "both": tx.composite(name, addr)}[channel.field]
-    return vz.char_terms(text, *channel.grams) if channel.kind == "char" else vz.word_terms(text)
+    return {"name": name, "address": addr, "both": tx.composite(name, addr)}[channel.field]
 
 
 def channel_pairs(rows: DataFrame, channel: Channel) -> DataFrame:
     if channel.kind in ("term", "char", "set"):
-        return blocking.term_channel(rows, _terms(channel), channel.vectorizer, channel.k)
+        terms = partial(vz.char_terms, low=channel.grams[0], high=channel.grams[1]) if channel.kind == "char" else vz.word_terms
+        return blocking.term_channel(rows, _text(channel), channel.vectorizer, channel.k, terms=terms)
     own = {
         "spaceless": blocking.spaceless_channel, "postal": blocking.postal_channel, "phonetic": blocking.phonetic_channel,
         "prefix": blocking.prefix_channel, "premise": blocking.premise_channel,

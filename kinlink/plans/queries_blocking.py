@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import address as ad
 from ..functions import fixed
 from ..functions import similarity as sm
 from ..functions import text as tx
-from ..operators import blocking, knn
+from ..operators import blocking, knn, sparse
 from ..operators import features as ft
 from ..operators import vectorize as vz
 from ..operators.tables import write_table
@@ -66,7 +68,7 @@ def rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def composite():
-    return vz.word_terms(tx.composite(F.col("name_norm"), F.col("addr_norm")))
+    return tx.composite(F.col("name_norm"), F.col("addr_norm"))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _weights(s, d):
-    docs = rows(s, d).select("country", "doc", "side", composite().alias("_t"))
+    docs = rows(s, d).select("country", "doc", "side", vz.word_terms(composite()).alias("_t"))
     counts = vz.term_counts(docs, F.col("_t"))
     return vz.weights(counts, vz.vocabulary(counts, docs, WORD), WORD).select("doc", "term", F.round("w", 6).alias("w"))
 
@@ -82,26 +84,25 @@ def _weights(s, d):
 add("blk1_word_tfidf", _weights, f"WITH {REC}, {BASIC}, {weights_sql(words_sql(COMPOSITE), WORD)} SELECT doc, term, round(w, 6) AS w FROM w")
 add(
     "blk2_char_tfidf",
-    lambda s, d: rounded(blocking.term_channel(rows(s, d), vz.char_terms(F.col("name_norm"), 2, 5), CHAR, 10)),
+    lambda s, d: rounded(blocking.term_channel(rows(s, d), F.col("name_norm"), CHAR, 10, terms=partial(vz.char_terms, low=2, high=5))),
     channel_sql(chars_sql("name_norm", 2, 5), CHAR, 10),
 )
 add("blk3_cosine_product", lambda s, d: rounded(blocking.term_channel(rows(s, d), composite(), WORD, 30)), channel_sql(words_sql(COMPOSITE), WORD, 30))
-add("blk4_address_jaccard", lambda s, d: rounded(blocking.term_channel(rows(s, d), vz.word_terms(F.col("addr_norm")), SET, 30)), channel_sql(words_sql("addr_norm"), SET, 30))
+add("blk4_address_jaccard", lambda s, d: rounded(blocking.term_channel(rows(s, d), F.col("addr_norm"), SET, 30)), channel_sql(words_sql("addr_norm"), SET, 30))
 add(
     "blk4_address_jaccard_documents",
-    lambda s, d: rounded(blocking.term_channel(entities(s, d).select(F.col("id").alias("doc"), F.col("src").alias("side"), "country", F.col("address").alias("addr_norm")), vz.word_terms(F.col("addr_norm")), SET, 10)),
+    lambda s, d: rounded(blocking.term_channel(entities(s, d).select(F.col("id").alias("doc"), F.col("src").alias("side"), "country", F.col("address").alias("addr_norm")), F.col("addr_norm"), SET, 10)),
     "WITH e AS (SELECT doc_id AS doc, CASE WHEN doc_id % 10 < 3 THEN 'S1' WHEN doc_id % 10 < 7 THEN 'S2' ELSE 'S3' END AS side, coalesce(lang, '') AS country, "
     "string_split_regex(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g')), '\\s+') AS ws FROM documents), "
     f"n AS (SELECT doc, side, country, array_to_string(ws[7:18], ' ') AS addr_norm FROM e), {weights_sql(words_sql('addr_norm'), SET)}, {JACCARD} SELECT s1, cid, round(score, 6) AS score FROM ({top_sql(10)}) t",
 )
 NAMES = vz.Vectorizer(2, 0.05, 60_000, 1000)
-add("blk5_sorted_names", lambda s, d: rounded(blocking.term_channel(rows(s, d), vz.word_terms(tx.sorted_tokens(F.col("name_norm"))), NAMES, 25)), channel_sql(words_sql("name_norm"), NAMES, 25))
+add("blk5_sorted_names", lambda s, d: rounded(blocking.term_channel(rows(s, d), tx.sorted_tokens(F.col("name_norm")), NAMES, 25)), channel_sql(words_sql("name_norm"), NAMES, 25))
 
 
 def _topk(s, d):
-    docs = rows(s, d).select("country", "doc", "side", composite().alias("_t"))
-    counts = vz.term_counts(docs, F.col("_t"))
-    return vz.top_k(vz.product(vz.weights(counts, vz.vocabulary(counts, docs, WORD), WORD)), 5).select("s1", "cid", "rank")
+    docs = rows(s, d).select("country", "doc", "side", composite().alias("_x"))
+    return sparse.best_products(docs, vz.word_terms, WORD, 5).select("s1", "cid", "rank")
 
 
 add("blk6_top_k", _topk, f"WITH {REC}, {BASIC}, {weights_sql(words_sql(COMPOSITE), WORD)}, {PRODUCT} SELECT s1, cid, rank FROM ({top_sql(5)}) t")
@@ -189,7 +190,7 @@ add(
 
 def two_channels(s, d) -> DataFrame:
     own = rows(s, d)
-    made = {"word": blocking.term_channel(own, composite(), WORD, 30), "addr": blocking.term_channel(own, vz.word_terms(F.col("addr_norm")), SET, 30)}
+    made = {"word": blocking.term_channel(own, composite(), WORD, 30), "addr": blocking.term_channel(own, F.col("addr_norm"), SET, 30)}
     return blocking.simple_union(made, 50)
 
 
