@@ -10,13 +10,19 @@ from ..functions import fixed
 from ..functions import text as tx
 
 
+def spread(records: DataFrame) -> DataFrame:
+    """Records in two parts a core at least: a small file comes as one part, and rules cost far more than reading."""
+    parts = 2 * records.sparkSession.sparkContext.defaultParallelism
+    return records if records.rdd.getNumPartitions() >= parts else records.repartition(parts, "entity_id")
+
+
 def normalized(records: DataFrame, version: int = 3, strict: bool = False) -> DataFrame:
     """``records`` (entity_id, src, name, address, country) with the columns that blocking and features read.
 
     The normal forms are computed once and everything else is made from them.
     """
     name, addr = F.coalesce("name", F.lit("")), F.coalesce("address", F.lit(""))
-    rows = records.select(
+    rows = spread(records).select(
         F.col("entity_id").alias("doc"),
         F.col("src").alias("side"),
         "country",
@@ -48,7 +54,7 @@ def normalized(records: DataFrame, version: int = 3, strict: bool = False) -> Da
 
 def basic(records: DataFrame) -> DataFrame:
     """The baseline's normal forms."""
-    return records.select(
+    return spread(records).select(
         F.col("entity_id").alias("doc"),
         F.col("src").alias("side"),
         "country",
@@ -62,7 +68,7 @@ def basic(records: DataFrame) -> DataFrame:
 def hardening(records: DataFrame) -> DataFrame:
     """Name, address, house number, postal code, state and tokens, as the guards read them."""
     addr = F.trim(F.coalesce("address", F.lit("")))
-    rows = records.select("entity_id", "src", "country", F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"), addr.alias("addr"))
+    rows = spread(records).select("entity_id", "src", "country", F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"), addr.alias("addr"))
     rows = rows.withColumn("hn", ad.house_number_whole(F.col("addr")))
     return rows.select(
         "*",
@@ -75,7 +81,7 @@ def hardening(records: DataFrame) -> DataFrame:
 def rule_records(records: DataFrame) -> DataFrame:
     """Names and address readings of the rule engine."""
     low = (tx.MISSING + tx.LOWER + tx.TRIM + tx.INDIC + tx.ASCII).col("address")
-    rows = records.select(
+    rows = spread(records).select(
         F.col("entity_id").alias("doc"),
         F.col("src").alias("side"),
         "country",
