@@ -91,7 +91,7 @@ add("blk3_cosine_product", lambda s, d: rounded(blocking.term_channel(rows(s, d)
 add("blk4_address_jaccard", lambda s, d: rounded(blocking.term_channel(rows(s, d), F.col("addr_norm"), SET, 30)), channel_sql(words_sql("addr_norm"), SET, 30))
 add(
     "blk4_address_jaccard_documents",
-    lambda s, d: rounded(blocking.term_channel(entities(s, d).select(F.col("id").alias("doc"), F.col("src").alias("side"), "country", F.col("address").alias("addr_norm")), F.col("addr_norm"), SET, 10)),
+    lambda s, d: rounded(blocking.term_channel(write_table(entities(s, d).select(F.col("id").alias("doc"), F.col("src").alias("side"), "country", F.col("address").alias("addr_norm")), "entities"), F.col("addr_norm"), SET, 10)),
     "WITH e AS (SELECT doc_id AS doc, CASE WHEN doc_id % 10 < 3 THEN 'S1' WHEN doc_id % 10 < 7 THEN 'S2' ELSE 'S3' END AS side, coalesce(lang, '') AS country, "
     "string_split_regex(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g')), '\\s+') AS ws FROM documents), "
     f"n AS (SELECT doc, side, country, array_to_string(ws[7:18], ' ') AS addr_norm FROM e), {weights_sql(words_sql('addr_norm'), SET)}, {JACCARD} SELECT s1, cid, round(score, 6) AS score FROM ({top_sql(10)}) t",
