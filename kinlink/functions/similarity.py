@@ -247,6 +247,43 @@ def _partial_ratios(x: list[str], y: list[str]) -> np.ndarray:
     return out
 
 
+def _jaro_winklers(x: list[str], y: list[str]) -> np.ndarray:
+    """jaro_winkler() of each pair: the places of y's characters are the bits of a word, and a step takes in one character of every x."""
+    out = np.zeros(len(x))
+    able = [k for k, (a, b) in enumerate(zip(x, y, strict=True)) if a and b and len(b) <= _WORD_BITS and "\0" not in a and "\0" not in b]
+    for k in set(range(len(x))).difference(able):
+        out[k] = jaro_winkler(x[k], y[k])
+    able.sort(key=lambda k: len(x[k]))
+    full, one = np.uint64(np.iinfo(np.uint64).max), np.uint64(1)
+    for at in range(0, len(able), _CELLS >> 8):
+        own = able[at : at + (_CELLS >> 8)]
+        left, right = [x[k] for k in own], [y[k] for k in own]
+        places, text = _tables(right, left)
+        n, m = (np.array([len(t) for t in side]) for side in (left, right))
+        reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+        rows, taken = np.arange(len(own)), np.zeros(len(own), np.uint64)
+        found = np.zeros(text.shape, bool)
+        for i in range(text.shape[1]):
+            first, end = np.maximum(i - reach, 0), np.minimum(m, i + reach + 1)
+            within = np.where(first < end, (full >> (64 - end).astype(np.uint64)) & (full << np.minimum(first, 63).astype(np.uint64)), np.uint64(0))
+            free = places[rows, text[:, i]] & within & ~taken
+            free &= ~free + one  # the first of them
+            taken |= free
+            found[:, i] = free > 0
+        a, b = _codes(left), _codes(right)
+        common = found.sum(axis=1)
+        row, _ = np.nonzero(found)
+        other = (taken[:, None] >> np.arange(b.shape[1], dtype=np.uint64) & one).astype(bool)
+        moved = np.bincount(row, a[:, : found.shape[1]][found] != b[other], len(own)).astype(np.int64) // 2
+        jaro = np.where(common > 0, (common / n + common / m + (common - moved) / np.maximum(common, 1)) / 3, 0.0)
+        same, so_far = np.zeros(len(own), np.int64), np.ones(len(own), bool)
+        for i in range(min(4, a.shape[1], b.shape[1])):
+            so_far &= (a[:, i] == b[:, i]) & (a[:, i] > 0)
+            same += so_far
+        out[own] = np.where(jaro > 0.7, jaro + same * 0.1 * (1 - jaro), jaro)
+    return out
+
+
 def _one_by_one(kernel):
     return lambda x, y: np.array([kernel(a, b) for a, b in zip(x, y, strict=True)], float)
 
@@ -256,7 +293,7 @@ KERNELS = {
     "token_sort_ratio": _token_sort_ratios,
     "token_set_ratio": _token_set_ratios,
     "partial_ratio": _partial_ratios,
-    "jaro_winkler": _one_by_one(jaro_winkler),
+    "jaro_winkler": _jaro_winklers,
     "sequence_ratio": _one_by_one(sequence_ratio),
 }
 USUAL = ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler")
@@ -322,7 +359,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine, kept within 0 and 1; zero for a missing or zero vector."""
-    value = dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return cosine_of(dot(a, b), dot(a, a), dot(b, b))
+
+
+def cosine_of(product: Column, a: Column, b: Column) -> Column:
+    """cosine() from the product of two vectors and their squares."""
+    value = product / F.sqrt(a * b)
     return F.coalesce(F.when(F.isnan(value), F.lit(0.0)).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))), F.lit(0.0))
 
 

@@ -19,6 +19,11 @@ def above(scored: DataFrame, tau: float | dict[str, float], default: float = 0.5
     return scored.where(F.col("prob") >= least)
 
 
+#: What rules() reads of records, and which of it are sets.
+RULES_READ = ("country", "name_raw", "addr_raw", "name_clean", "tokens", "state", "hn", "city")
+RULES_SETS = ("tokens",)
+
+
 def rules(pairs: DataFrame) -> DataFrame:
     """s1, cid, country and prob of paired() rule_records() rows with s_word; conflicting pairs go.
 

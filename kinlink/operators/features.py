@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import address as ad
 from ..functions import fixed
@@ -13,12 +18,138 @@ from ..functions import text as tx
 DIGITS = "^[0-9]+$"
 
 
-def paired(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs with the columns of both records, a_ for the query's and b_ for the candidate's."""
-    keep = [c for c in records.columns if c not in ("doc",)]
-    a = records.where("side = 'S1'").select(F.col("doc").alias("s1"), *(F.col(c).alias(f"a_{c}") for c in keep))
-    b = records.where("side <> 'S1'").select(F.col("doc").alias("cid"), *(F.col(c).alias(f"b_{c}") for c in keep))
-    return pairs.join(a, "s1").join(b, "cid")
+#: Queries and corpus records of a block, and records that are packed at a time.
+QUERIES, CORPUS, PACKED = 32_768, 65_536, 65_536
+_KEY = ["_qb", "_cb", "_kind", "_blob"]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records by side and block as compressed tables: (_left, _block, _blob)."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by([("_left", "ascending"), ("_block", "ascending")]).combine_chunks()
+        key = rows["_left"].to_numpy().astype(np.int64) << 32 | rows["_block"].to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        own, out = rows.drop_columns(["_left", "_block"]), []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(own.slice(lo, hi - lo))
+            out.append((int(key[lo] >> 32), int(key[lo] & 0xFFFFFFFF), sink.getvalue().to_pybytes()))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["_left", "_block", "_blob"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(h.num_rows for h in held) >= PACKED:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _coded(tables: list[pa.Table], names: list[str]) -> list[pa.Table]:
+    """The tables with the named lists of strings as lists of numbers, one for each string of all of them."""
+    lists = [t[n].combine_chunks() for t in tables for n in names]
+    codes = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode().indices
+    at, out = 0, []
+    for x in lists:
+        size = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(ends), codes.slice(at, int(ends[-1])), mask=x.is_null() if x.null_count else None))
+        at += int(ends[-1])
+    made = []
+    for i, t in enumerate(tables):
+        for n, x in zip(names, out[i * len(names) :], strict=False):
+            t = t.set_column(t.column_names.index(n), n, x)
+        made.append(t)
+    return made
+
+
+class _Block:
+    """Records of a block by doc; several may share one."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows = rows
+        ids = rows["doc"].to_pylist()
+        first: dict = {}
+        for i, x in enumerate(ids):
+            first.setdefault(x, i)
+        self.place = {x: k for k, x in enumerate(first)}
+        self.start = np.array(list(first.values()), np.int64)
+        self.count = np.diff(np.append(self.start, len(ids)))
+
+    def find(self, docs: pa.Array) -> np.ndarray:
+        get = self.place.get
+        return np.array([get(x, -1) for x in docs.to_pylist()], np.int64)
+
+
+def _met(batch: pa.RecordBatch, a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the batch, of a and of b that belong together."""
+    i, j = a.find(batch["s1"]), b.find(batch["cid"])
+    rows = np.flatnonzero((i >= 0) & (j >= 0))
+    i, j = i[rows], j[rows]
+    n, m = a.count[i], b.count[j]
+    each = n * m
+    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    wide = np.repeat(m, each)
+    return np.repeat(rows, each), np.repeat(a.start[i], each) + nth // wide, np.repeat(b.start[j], each) + nth % wide
+
+
+def paired(pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with the columns of both records, a_ for the query's and b_ for the candidate's.
+
+    Wide records are not dealt with every pair. Queries and corpus records go to blocks, a block is packed and
+    compressed, each two blocks meet in one task, and only the pairs' own columns are dealt to them.
+    ``sets`` are lists of strings that are compared with each other only: they come as lists of numbers.
+    """
+    own = records.where("doc IS NOT NULL").withColumn("_left", (F.col("side") == "S1").cast("int")).where("_left IS NOT NULL")
+    count = {r["_left"]: r["count"] for r in own.groupBy("_left").count().collect()}  # two rows
+    left, right = max(1, -(-count.get(1, 0) // QUERIES)), max(1, -(-count.get(0, 0) // CORPUS))
+    keep = [c for c in records.columns if c != "doc"]
+
+    def block(doc: str, n: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(7), doc), n).cast("int")
+
+    dealt = own.withColumn("_block", block("doc", F.when(F.col("_left") == 1, F.lit(left)).otherwise(F.lit(right))))
+    packed = dealt.mapInArrow(_pack, "_left int, _block int, _blob binary")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("_left") == 1, F.lit(right - 1)).otherwise(F.lit(left - 1))))
+    packed = packed.select("_left", "_block", "_blob", every.alias("_other"))
+    mine, other = F.col("_block"), F.col("_other")
+    queries = F.col("_left") == 1
+    blobs = packed.select(F.when(queries, mine).otherwise(other).alias("_qb"), F.when(queries, other).otherwise(mine).alias("_cb"), (1 - F.col("_left")).alias("_kind"), "_blob")
+    names = ["cid", "s1", *(c for c in pairs.columns if c not in ("s1", "cid"))]
+    known = pairs.where("s1 IS NOT NULL AND cid IS NOT NULL")
+    rows = known.select(block("s1", F.lit(left)).alias("_qb"), block("cid", F.lit(right)).alias("_cb"), F.lit(2).alias("_kind"), F.lit(None).cast("binary").alias("_blob"), *names)
+    parts = max(left * right, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = rows.unionByName(blobs, allowMissingColumns=True).repartition(parts, "_qb", "_cb").sortWithinPartitions("_qb", "_cb", "_kind")
+
+    kinds = {f.name: T.ArrayType(T.IntegerType()) if f.name in sets else f.dataType for f in records.schema}
+    schema = T.StructType([T.StructField(n, pairs.schema[n].dataType) for n in names] + [T.StructField(s + c, kinds[c]) for s in ("a_", "b_") for c in keep])
+    coded = [c for c in keep if c in sets]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, blocks = None, ([], []), None
+        for batch in batches:
+            q, c, kind = (batch[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in _KEY[:3])
+            new = (q[1:] != q[:-1]) | (c[1:] != c[:-1]) | (kind[1:] != kind[:-1])
+            edges = np.flatnonzero(np.concatenate(([True], new, [True]))).tolist() if len(q) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if at != (q[lo], c[lo]):
+                    at, held, blocks = (q[lo], c[lo]), ([], []), None
+                part = batch.slice(lo, hi - lo)
+                if kind[lo] < 2:
+                    held[kind[lo]].extend(pa.ipc.open_stream(x).read_all() for x in part["_blob"].to_pylist())
+                elif all(held):
+                    if blocks is None:
+                        tables = [pa.concat_tables(h).combine_chunks().sort_by("doc") for h in held]
+                        blocks = [_Block(t) for t in (_coded(tables, coded) if coded else tables)]
+                    rows_, i, j = (pa.array(x) for x in _met(part, *blocks))
+                    own_ = [part[n].take(rows_) for n in names]
+                    yield pa.RecordBatch.from_arrays(own_ + [b.rows[n].combine_chunks().take(k) for b, k in zip(blocks, (i, j), strict=True) for n in keep], schema.names)
+
+    return both.mapInArrow(meet, schema)
 
 
 def _both(name: str) -> tuple[Column, Column]:
@@ -29,8 +160,32 @@ def _sims(df: DataFrame, column: str, out: str, names: tuple[str, ...]) -> DataF
     return df.withColumn(out, sm.string_similarities(*_both(column), names))
 
 
+def _kept(df: DataFrame) -> list[Column]:
+    """What stays beside the features: the pair, the query's country, and a label if there is one."""
+    return [F.col("s1"), F.col("cid"), F.col("a_country").alias("country"), *(F.col(c) for c in ("label",) if c in df.columns)]
+
+
+#: Columns that only some features read.
+_READ = {
+    "city_match": "city", "state_match": "state", "legal_suffix_match": "legal_suffix", "phonetic_key_overlap": "phonetic_keys", "name_trigram_jaccard": "name_trigrams",
+    "name_bigram_jaccard": "name_bigrams", "addr_trigram_jaccard": "addr_trigrams", "addr_numeric_token_jaccard": "digits",
+}
+DENSE_SETS = ("name_words", "addr_tokens", "nums", "phonetic_keys", "name_trigrams", "name_bigrams", "addr_trigrams", "digits")
+
+
+def dense_records(records: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column: str = "name_norm", addr_column: str = "addr_norm") -> DataFrame:
+    """What dense() reads of normalized() records; whatever depends on one record is made here, once."""
+    rows = records.withColumn("digits", F.filter("addr_tokens", lambda x: x.rlike(DIGITS)))
+    rows = rows.withColumn("name_bigrams", tx.char_ngrams(F.col("name_clean"), 2)).withColumn("addr_trigrams", tx.char_ngrams(F.col(addr_column), 3))
+    if "semantic_cosine" in names:
+        rows = rows.withColumn("vector_square", sm.dot(F.col("name_vector"), F.col("name_vector")))
+    some = [c for n, c in _READ.items() if n in names] + (["name_vector", "vector_square"] if "semantic_cosine" in names else [])
+    every = ["doc", "side", "country", "is_s3", name_column, addr_column, "name_clean", "name_words", "addr_tokens", "name_spaceless", "first_word", "hn", "pc", "nums"]
+    return rows.select(*every, *some)
+
+
 def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column: str = "name_norm", addr_column: str = "addr_norm") -> DataFrame:
-    """s1, cid and the listed features (32, 35 or 50 of them) of paired() rows that have slots s_* and rank.
+    """s1, cid, country and the listed features (32, 35, 50 or 51 of them) of paired() dense_records() that have slots s_* and rank.
 
     ``name_column`` and ``addr_column`` are compared as strings: normal forms, or raw ones
     ("name_raw") for the first generation. The string kernels run once, in one pass over
@@ -51,7 +206,6 @@ def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column
     slots = [F.col(f"s_{c}") for c in ("word", "addr", "char", "sorted")]
     fired = sum((sm.flag(s > 0) for s in slots[1:]), sm.flag(slots[0] > 0))
     every = [F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) if f"s_{c}" in df.columns else F.lit(0.0) for c in ("word", "addr", "char", "sorted", "five", "phonetic", "prefix")]
-    digits1, digits2 = F.filter(t1, lambda x: x.rlike(DIGITS)), F.filter(t2, lambda x: x.rlike(DIGITS))
 
     def start(n: int) -> Column:
         return sm.flag((F.length(c1) >= n) & (F.length(c2) >= n) & (F.substring(c1, 1, n) == F.substring(c2, 1, n)))
@@ -92,14 +246,14 @@ def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column
         "spaceless_exact_match": sm.flag((p1 != "") & (p1 == p2)),
         "spaceless_containment": sm.flag((F.length(p1) >= 5) & (F.length(p2) >= 5) & (p1.contains(p2) | p2.contains(p1))),
         "hn_exact_clean": sm.flag((h1 != "") & (h1 == h2)),
-        "name_bigram_jaccard": sm.jaccard(tx.char_ngrams(c1, 2), tx.char_ngrams(c2, 2)),
+        "name_bigram_jaccard": sm.jaccard(*_both("name_bigrams")),
         "name_trigram_jaccard": sm.jaccard(*_both("name_trigrams")),
-        "addr_trigram_jaccard": sm.jaccard(tx.char_ngrams(a1, 3), tx.char_ngrams(a2, 3)),
+        "addr_trigram_jaccard": sm.jaccard(*_both("addr_trigrams")),
         "city_match": sm.flag((F.col("a_city") != "") & (F.col("a_city") == F.col("b_city"))),
         "state_match": sm.flag((F.col("a_state") != "") & (F.col("a_state") == F.col("b_state"))),
         "name_prefix_match_3": start(3),
         "name_prefix_match_5": start(5),
-        "addr_numeric_token_jaccard": sm.jaccard(digits1, digits2),
+        "addr_numeric_token_jaccard": sm.jaccard(*_both("digits")),
         "name_common_word_count": common,
         "addr_common_word_count": F.size(F.array_intersect(t1, t2)).cast("double"),
         "name_unique_word_ratio": F.when(union > 0, (union - common) / union).otherwise(F.lit(0.0)),
@@ -109,15 +263,28 @@ def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column
         "n_blocking_channels_hit": sum((sm.flag(s > 0) for s in every[1:]), sm.flag(every[0] > 0)),
     }
     if "semantic_cosine" in names:
-        made["semantic_cosine"] = F.col("semantic_cosine")
-    return df.select("s1", "cid", *(made[n].cast("double").alias(n) for n in names))
+        made["semantic_cosine"] = sm.cosine_of(sm.dot(*_both("name_vector")), *_both("vector_square"))
+    return df.select(*_kept(df), *(made[n].cast("double").alias(n) for n in names))
+
+
+SETS_16 = ("words", "tokens")
+
+
+def records_16(records: DataFrame) -> DataFrame:
+    """What features_16() reads of basic() records."""
+    name, addr, raw = F.col("name_norm"), F.col("addr_norm"), F.col("addr_raw")
+    made = {
+        "words": tx.word_set(name), "tokens": tx.word_set(addr), "first": tx.first_word(name),
+        "hn": ad.house_number_any(raw), "pc": ad.postal_code_any(raw),
+    }
+    return records.select("doc", "side", "country", "name_norm", "addr_norm", *(c.alias(n) for n, c in made.items()))
 
 
 def features_16(df: DataFrame) -> DataFrame:
-    """Set features only. ``df``: paired() basic() rows with s_word, s_addr, s_char and rank."""
-    n1, n2 = (tx.word_set(c) for c in _both("name_norm"))
-    t1, t2 = (tx.word_set(c) for c in _both("addr_norm"))
-    f1, f2 = (tx.first_word(c) for c in _both("name_norm"))
+    """Set features only. ``df``: paired() records_16() with s_word, s_addr, s_char and rank."""
+    n1, n2 = _both("words")
+    t1, t2 = _both("tokens")
+    f1, f2 = _both("first")
     made = {
         "tfidf_word": F.col("s_word"),
         "addr_jaccard": F.col("s_addr"),
@@ -127,8 +294,8 @@ def features_16(df: DataFrame) -> DataFrame:
         "name_first_word": sm.flag((f1 != "") & (f1 == f2)),
         "addr_word_jaccard": sm.jaccard(t1, t2),
         "addr_containment": sm.containment(t1, t2),
-        "house_match": sm.tri_state(*(ad.house_number_any(c) for c in _both("addr_raw"))),
-        "postal_match": sm.tri_state(*(ad.postal_code_any(c) for c in _both("addr_raw"))),
+        "house_match": sm.tri_state(*_both("hn")),
+        "postal_match": sm.tri_state(*_both("pc")),
         "both_addr_missing": sm.flag((F.size(t1) == 0) & (F.size(t2) == 0)),
         "one_addr_missing": sm.flag((F.size(t1) == 0) != (F.size(t2) == 0)),
         "name_len_ratio": sm.length_ratio(*_both("name_norm")),
@@ -136,17 +303,29 @@ def features_16(df: DataFrame) -> DataFrame:
         "is_s3": (F.col("b_side") == "S3").cast("double"),
         "cand_rank": F.col("rank").cast("double"),
     }
-    return df.select("s1", "cid", *(made[n].alias(n) for n in fixed.FEATURES_16))
+    return df.select(*_kept(df), *(made[n].alias(n) for n in fixed.FEATURES_16))
+
+
+SETS_18 = ("words", "tokens")
+
+
+def records_18(records: DataFrame) -> DataFrame:
+    """What features_18() reads of basic() records."""
+    rows = records.withColumn("deep", tx.DEEP.col("name_raw"))
+    name, addr, raw = F.col("deep"), F.col("addr_norm"), F.col("addr_raw")
+    made = {
+        "words": tx.word_set(name), "tokens": tx.word_set(addr), "first": tx.first_word(name), "script": tx.script(F.col("name_raw")),
+        "hn": ad.house_number_leading(raw), "pc": ad.postal_code_five_first(raw),
+    }
+    return rows.select("doc", "side", "country", "deep", "addr_norm", *(c.alias(n) for n, c in made.items()))
 
 
 def features_18(df: DataFrame) -> DataFrame:
-    """The first reranker's features. ``df``: paired() basic() rows with the blocking score."""
-    deep = df.withColumn("a_deep", tx.DEEP.col("a_name_raw")).withColumn("b_deep", tx.DEEP.col("b_name_raw"))
-    deep = _sims(_sims(deep, "deep", "_n", ("ratio",)), "addr_norm", "_a", ("ratio",))
+    """The first reranker's features. ``df``: paired() records_18() with the blocking score."""
+    deep = _sims(_sims(df, "deep", "_n", ("ratio",)), "addr_norm", "_a", ("ratio",))
     n1, n2 = _both("deep")
     a1, a2 = _both("addr_norm")
-    w1, w2, t1, t2 = tx.word_set(n1), tx.word_set(n2), tx.word_set(a1), tx.word_set(a2)
-    f1, f2 = tx.first_word(n1), tx.first_word(n2)
+    (w1, w2), (t1, t2), (f1, f2) = _both("words"), _both("tokens"), _both("first")
 
     def zero_if_empty(x: Column, a: Column, b: Column) -> Column:
         return F.when((F.size(a) > 0) & (F.size(b) > 0), x).otherwise(F.lit(0.0))
@@ -160,37 +339,47 @@ def features_18(df: DataFrame) -> DataFrame:
         "name_len_ratio": F.when((n1 != "") & (n2 != ""), sm.length_ratio(n1, n2)).otherwise(F.lit(0.0)),
         "name_word_diff": F.abs(F.size(w1) - F.size(w2)).cast("double"),
         "name_first_word_match": sm.flag((F.length(f1) > 1) & (f1 == f2)),
-        "script_mismatch": sm.flag(tx.script(F.col("a_name_raw")) != tx.script(F.col("b_name_raw"))),
+        "script_mismatch": sm.flag(F.col("a_script") != F.col("b_script")),
         "addr_exact": sm.flag((a1 == a2) & (a1 != "")),
         "addr_jaccard": zero_if_empty(sm.jaccard(t1, t2), t1, t2),
         "addr_seqmatch": F.col("_a.ratio"),
-        "postal_match": sm.tri_state(*(ad.postal_code_five_first(c) for c in _both("addr_raw"))),
-        "house_num_match": sm.tri_state(*(ad.house_number_leading(c) for c in _both("addr_raw"))),
+        "postal_match": sm.tri_state(*_both("pc")),
+        "house_num_match": sm.tri_state(*_both("hn")),
         "both_addr_missing": sm.flag((a1 == "") & (a2 == "")),
         "one_addr_missing": sm.flag((a1 == "") != (a2 == "")),
         "name_in_addr_overlap": F.when((F.size(w1) > 0) & (F.size(t2) > 0), F.size(F.array_intersect(w1, t2)) / F.size(w1)).otherwise(F.lit(0.0)),
         "addr_containment": sm.containment(t1, t2),
     }
-    return deep.select("s1", "cid", *(made[n].alias(n) for n in fixed.FEATURES_18))
+    return deep.select(*_kept(df), *(made[n].alias(n) for n in fixed.FEATURES_18))
+
+
+RESCORE_SETS = ("names", "tokens", "digits", "bigrams", "trigrams", "addr_trigrams")
+
+
+def rescore_records(records: DataFrame) -> DataFrame:
+    """What rescore_35() reads of basic() records."""
+    rows = records.withColumn("rn", F.trim("name_raw")).withColumn("ra", F.trim("addr_raw"))
+    rows = rows.withColumn("rc", tx.RESCORE_NAME.col("rn")).withColumn("hn", ad.house_number_whole(F.col("ra")))
+    rows = rows.withColumn("pc", ad.postal_code_by_country(F.col("ra"), F.col("country"), F.col("hn")))
+    for f, o in (("rn", "wn"), ("ra", "wa")):
+        rows = rows.withColumn(o, F.regexp_extract_all(F.lower(F.col(f)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    made = {
+        "low_name": F.lower("rn"), "low_addr": F.lower("ra"), "plain": F.regexp_replace(F.lower("rn"), "[^a-zA-Z0-9]", ""),
+        "names": F.array_distinct("wn"), "n_names": F.size("wn"), "first": F.get("wn", F.lit(0)), "tokens": F.array_distinct("wa"),
+        "digits": F.array_distinct(F.filter("wa", lambda w: w.rlike(DIGITS))),
+        "bigrams": tx.char_ngrams(F.col("rc"), 2), "trigrams": tx.char_ngrams(F.col("rc"), 3), "addr_trigrams": tx.char_ngrams(F.lower("ra"), 3),
+    }
+    return rows.select("doc", "side", "country", "rn", "ra", "rc", "hn", "pc", *(c.alias(n) for n, c in made.items()))
 
 
 def rescore_35(df: DataFrame) -> DataFrame:
-    """The rescorer's features from raw fields. ``df``: paired() basic() rows with rank."""
-    df = df.withColumn("a_rn", F.trim("a_name_raw")).withColumn("b_rn", F.trim("b_name_raw"))
-    df = df.withColumn("a_ra", F.trim("a_addr_raw")).withColumn("b_ra", F.trim("b_addr_raw"))
-    for s in "ab":
-        df = df.withColumn(f"{s}_rc", tx.RESCORE_NAME.col(f"{s}_rn")).withColumn(f"{s}_hn", ad.house_number_whole(F.col(f"{s}_ra")))
-        df = df.withColumn(f"{s}_pc", ad.postal_code_by_country(F.col(f"{s}_ra"), F.col(f"{s}_country"), F.col(f"{s}_hn")))
-        for f, o in (("rn", "wn"), ("ra", "wa")):
-            df = df.withColumn(f"{s}_{o}", F.regexp_extract_all(F.lower(F.col(f"{s}_{f}")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    """The rescorer's features from raw fields. ``df``: paired() rescore_records() with rank."""
     df = _sims(df, "rn", "_n", ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler"))
     df = _sims(_sims(df, "ra", "_a", ("ratio", "token_sort_ratio", "token_set_ratio")), "rc", "_c", ("ratio",))
     n1, n2 = _both("rn")
     a1, a2 = _both("ra")
     c1, c2 = _both("rc")
-    x1, x2 = _both("wn")
-    d1, d2 = (F.array_distinct(F.filter(c, lambda w: w.rlike(DIGITS))) for c in _both("wa"))
-    p1, p2 = (F.regexp_replace(F.lower(c), "[^a-zA-Z0-9]", "") for c in (n1, n2))
+    p1, p2 = _both("plain")
     named, addressed = (n1 != "") & (n2 != ""), (a1 != "") & (a2 != "")
     made = {
         "name_ratio": F.col("_n.ratio"),
@@ -199,27 +388,27 @@ def rescore_35(df: DataFrame) -> DataFrame:
         "name_partial_ratio": F.col("_n.partial_ratio"),
         "name_levenshtein_sim": F.when(named, sm.levenshtein_similarity(n1, n2)).otherwise(F.lit(0.0)),
         "name_jaro_winkler": F.col("_n.jaro_winkler"),
-        "name_word_jaccard": sm.jaccard(F.array_distinct(x1), F.array_distinct(x2)),
+        "name_word_jaccard": sm.jaccard(*_both("names")),
         "name_containment": sm.flag(named & (n1.contains(n2) | n2.contains(n1))),
         "name_len_ratio": sm.length_ratio(n1, n2),
-        "name_word_diff": F.abs(F.size(x1) - F.size(x2)).cast("double"),
-        "name_first_word_match": sm.flag(F.coalesce(F.get(x1, F.lit(0)) == F.get(x2, F.lit(0)), F.lit(False))),
+        "name_word_diff": F.abs(F.col("a_n_names") - F.col("b_n_names")).cast("double"),
+        "name_first_word_match": sm.flag(F.coalesce(F.col("a_first") == F.col("b_first"), F.lit(False))),
         "name_clean_ratio": F.when(named & (c1 == "") & (c2 == ""), F.lit(1.0)).otherwise(F.col("_c.ratio")),
         "addr_ratio": F.col("_a.ratio"),
         "addr_token_sort_ratio": F.col("_a.token_sort_ratio"),
         "addr_token_set_ratio": F.col("_a.token_set_ratio"),
         "addr_levenshtein_sim": F.when(addressed, sm.levenshtein_similarity(a1, a2)).otherwise(F.lit(0.0)),
-        "addr_word_jaccard": F.when(addressed, sm.jaccard(*(F.array_distinct(c) for c in _both("wa")))).otherwise(F.lit(0.0)),
+        "addr_word_jaccard": F.when(addressed, sm.jaccard(*_both("tokens"))).otherwise(F.lit(0.0)),
         "addr_containment": sm.flag(addressed & (a1.contains(a2) | a2.contains(a1))),
         "house_number_match": sm.tri_state(*_both("hn")),
         "postal_code_match": sm.tri_state(*_both("pc")),
-        "numeric_overlap": sm.jaccard(d1, d2),
+        "numeric_overlap": sm.jaccard(*_both("digits")),
         "both_addr_missing": sm.flag((a1 == "") & (a2 == "")),
         "one_addr_missing": sm.flag((a1 == "") != (a2 == "")),
-        "name_in_cand_addr": sm.flag((n1 != "") & (a2 != "") & F.lower(a2).contains(F.lower(n1))),
-        "name_bigram_jaccard": sm.jaccard(tx.char_ngrams(c1, 2), tx.char_ngrams(c2, 2)),
-        "name_trigram_jaccard": sm.jaccard(tx.char_ngrams(c1, 3), tx.char_ngrams(c2, 3)),
-        "addr_trigram_jaccard": sm.jaccard(tx.char_ngrams(F.lower(a1), 3), tx.char_ngrams(F.lower(a2), 3)),
+        "name_in_cand_addr": sm.flag((n1 != "") & (a2 != "") & F.col("b_low_addr").contains(F.col("a_low_name"))),
+        "name_bigram_jaccard": sm.jaccard(*_both("bigrams")),
+        "name_trigram_jaccard": sm.jaccard(*_both("trigrams")),
+        "addr_trigram_jaccard": sm.jaccard(*_both("addr_trigrams")),
         "city_match": F.lit(0.0),
         "state_match": F.lit(0.0),
         "name_prefix_match_3": sm.flag((c1 != "") & (F.substring(c1, 1, 3) == F.substring(c2, 1, 3))),
@@ -229,4 +418,4 @@ def rescore_35(df: DataFrame) -> DataFrame:
         "cand_rank_inv": F.lit(1.0) / F.greatest(F.col("rank"), F.lit(1)),
         "is_source3": (F.col("b_side") == "S3").cast("double"),
     }
-    return df.select("s1", "cid", *(made[n].cast("double").alias(n) for n in fixed.FEATURES_RESCORE))
+    return df.select(*_kept(df), *(made[n].cast("double").alias(n) for n in fixed.FEATURES_RESCORE))

@@ -81,27 +81,23 @@ def neighbours(rows: DataFrame, k: int) -> DataFrame:
 
 
 def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame:
-    """s1, cid, country and the preset's features."""
-    both = features.paired(pairs, rows)
-    if preset.neighbours:
-        both = both.withColumn("semantic_cosine", sm.cosine(F.col("a_name_vector"), F.col("b_name_vector")))
+    """s1, cid, country, the label if pairs have one, and the preset's features."""
     if len(preset.features) == 16:
-        made = features.features_16(both)
-    elif len(preset.features) == 18:
-        made = features.features_18(both)
-    elif preset.name == "rescore":
-        made = features.rescore_35(both)
-    else:
-        raw = preset.normal == "v1"
-        made = features.dense(both, preset.features, "name_raw" if raw else "name_norm", "addr_raw" if raw else "addr_norm")
-    return made.join(rows.select(F.col("doc").alias("s1"), "country"), "s1")
+        return features.features_16(features.paired(pairs, features.records_16(rows), features.SETS_16))
+    if len(preset.features) == 18:
+        return features.features_18(features.paired(pairs, features.records_18(rows), features.SETS_18))
+    if preset.name == "rescore":
+        return features.rescore_35(features.paired(pairs, features.rescore_records(rows), features.RESCORE_SETS))
+    raw = preset.normal == "v1"
+    read = preset.features, "name_raw" if raw else "name_norm", "addr_raw" if raw else "addr_norm"
+    return features.dense(features.paired(pairs, features.dense_records(rows, *read), features.DENSE_SETS), *read)
 
 
 def scored(rows: DataFrame, preset: Preset, trained: PipelineModel | None = None) -> DataFrame:
     """``(s1, cid, country, prob)`` of all candidates."""
     pairs = candidates(rows, preset)
     if preset.score == "rules":
-        return decide.rules(features.paired(pairs, rows))
+        return decide.rules(features.paired(pairs.select("s1", "cid", "s_word"), rows.select("doc", "side", *decide.RULES_READ), decide.RULES_SETS))
     if preset.score == "model":
         if trained is None:
             raise ValueError(f"preset {preset.name} needs a model")
@@ -122,7 +118,7 @@ def train(records: DataFrame, truth: DataFrame, preset: Preset, **options) -> Pi
     queries, and heavier hard negatives.
     """
     rows = write_table(normal_records(records, preset), "normal")
-    made = model.label(feature_rows(candidates(rows, preset), rows, preset), truth)
+    made = feature_rows(model.label(candidates(rows, preset), truth), rows, preset)
     rows = model.class_weight(write_table(made, "train"), POSITIVE_WEIGHT)
     first, trees = model.fit_early(rows, preset.features, **options)
     return model.fit(model.harder(rows, first), preset.features, **(options | {"trees": trees}))

@@ -221,8 +221,8 @@ FEATURES = ("tfidf_word", "addr_jaccard", "name_word_jaccard", "name_containment
 
 def examples(s, d) -> DataFrame:
     own = write_table(pipeline.normal_records(records(s, d), config.THREE_CHANNEL), "normal")
-    made = pipeline.feature_rows(pipeline.candidates(own, config.THREE_CHANNEL), own, config.THREE_CHANNEL)
-    return write_table(model.class_weight(model.label(made, truth(records(s, d)))), "examples")
+    pairs = model.label(pipeline.candidates(own, config.THREE_CHANNEL), truth(records(s, d)))
+    return model.class_weight(write_table(pipeline.feature_rows(pairs, own, config.THREE_CHANNEL), "examples"))
 
 
 add("ml1_stratified_sample", lambda s, d: audit.stratified(records(s, d).where("src = 'S1'"), ["country"], 50).select("entity_id", "country"))
