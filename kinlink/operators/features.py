@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ from ..functions import text as tx
 DIGITS = "^[0-9]+$"
 
 
-#: Queries and corpus records of a block, and records that are packed at a time.
-QUERIES, CORPUS, PACKED = 32_768, 65_536, 65_536
+#: Queries and corpus records of a block at most, records that make a block, and records that are packed at a time.
+QUERIES, CORPUS, LEAST, PACKED = 65_536, 131_072, 256, 65_536
+#: Pairs of two blocks that are put in order at a time, and rows of a batch that follows from them.
+ORDERED, BATCH = 1 << 18, 10_000
 _KEY = ["_qb", "_cb", "_kind", "_blob"]
 
 
@@ -72,6 +75,7 @@ class _Block:
 
     def __init__(self, rows: pa.Table) -> None:
         self.rows = rows
+        self.known: dict[str, np.ndarray] = {}
         ids = rows["doc"].to_pylist()
         first: dict = {}
         for i, x in enumerate(ids):
@@ -84,8 +88,14 @@ class _Block:
         get = self.place.get
         return np.array([get(x, -1) for x in docs.to_pylist()], np.int64)
 
+    def codes(self, name: str) -> np.ndarray:
+        """A number for each value of a column, by row."""
+        if name not in self.known:
+            self.known[name] = self.rows[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        return self.known[name]
 
-def _met(batch: pa.RecordBatch, a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _met(batch: pa.Table, a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the batch, of a and of b that belong together."""
     i, j = a.find(batch["s1"]), b.find(batch["cid"])
     rows = np.flatnonzero((i >= 0) & (j >= 0))
@@ -97,16 +107,18 @@ def _met(batch: pa.RecordBatch, a: _Block, b: _Block) -> tuple[np.ndarray, np.nd
     return np.repeat(rows, each), np.repeat(a.start[i], each) + nth // wide, np.repeat(b.start[j], each) + nth % wide
 
 
-def paired(pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = ()) -> DataFrame:
+def paired(pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = (), near: tuple[str, ...] = ()) -> DataFrame:
     """Pairs with the columns of both records, a_ for the query's and b_ for the candidate's.
 
     Wide records are not dealt with every pair. Queries and corpus records go to blocks, a block is packed and
     compressed, each two blocks meet in one task, and only the pairs' own columns are dealt to them.
     ``sets`` are lists of strings that are compared with each other only: they come as lists of numbers.
+    Pairs that are equal in the columns ``near`` come one after another, so that kernels over batches see them once.
     """
     own = records.where("doc IS NOT NULL").withColumn("_left", (F.col("side") == "S1").cast("int")).where("_left IS NOT NULL")
     count = {r["_left"]: r["count"] for r in own.groupBy("_left").count().collect()}  # two rows
-    left, right = max(1, -(-count.get(1, 0) // QUERIES)), max(1, -(-count.get(0, 0) // CORPUS))
+    least = math.isqrt(4 * records.sparkSession.sparkContext.defaultParallelism - 1) + 1  # four tasks a core
+    left, right = (max(-(-n // most), min(least, -(-n // LEAST)), 1) for n, most in ((count.get(1, 0), QUERIES), (count.get(0, 0), CORPUS)))
     keep = [c for c in records.columns if c != "doc"]
 
     def block(doc: str, n: Column) -> Column:
@@ -122,32 +134,48 @@ def paired(pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = ()) ->
     names = ["cid", "s1", *(c for c in pairs.columns if c not in ("s1", "cid"))]
     known = pairs.where("s1 IS NOT NULL AND cid IS NOT NULL")
     rows = known.select(block("s1", F.lit(left)).alias("_qb"), block("cid", F.lit(right)).alias("_cb"), F.lit(2).alias("_kind"), F.lit(None).cast("binary").alias("_blob"), *names)
-    parts = max(left * right, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = rows.unionByName(blobs, allowMissingColumns=True).repartition(parts, "_qb", "_cb").sortWithinPartitions("_qb", "_cb", "_kind")
+    # a partition for each two blocks
+    both = rows.unionByName(blobs, allowMissingColumns=True).repartitionById(left * right, F.col("_qb") * right + F.col("_cb")).sortWithinPartitions("_qb", "_cb", "_kind")
 
     kinds = {f.name: T.ArrayType(T.IntegerType()) if f.name in sets else f.dataType for f in records.schema}
     schema = T.StructType([T.StructField(n, pairs.schema[n].dataType) for n in names] + [T.StructField(s + c, kinds[c]) for s in ("a_", "b_") for c in keep])
     coded = [c for c in keep if c in sets]
 
+    def joined(parts: list[pa.RecordBatch], blocks: list[_Block]) -> Iterator[pa.RecordBatch]:
+        own_ = pa.Table.from_batches(parts).combine_chunks()
+        at = _met(own_, *blocks)
+        if near:
+            order = np.lexsort([b.codes(n)[i] for n in reversed(near) for b, i in zip(blocks[::-1], at[:0:-1], strict=True)])
+            at = tuple(x[order] for x in at)
+        for lo in range(0, len(at[0]), BATCH):
+            rows_, i, j = (pa.array(x[lo : lo + BATCH]) for x in at)
+            made = [own_[n].take(rows_).combine_chunks() for n in names] + [b.rows[n].take(k).combine_chunks() for b, k in zip(blocks, (i, j), strict=True) for n in keep]
+            yield pa.RecordBatch.from_arrays(made, schema.names)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, blocks = None, ([], []), None
+        at, held, blocks, parts = None, ([], []), None, []
         for batch in batches:
             q, c, kind = (batch[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in _KEY[:3])
             new = (q[1:] != q[:-1]) | (c[1:] != c[:-1]) | (kind[1:] != kind[:-1])
             edges = np.flatnonzero(np.concatenate(([True], new, [True]))).tolist() if len(q) else []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if at != (q[lo], c[lo]):
-                    at, held, blocks = (q[lo], c[lo]), ([], []), None
+                    if parts:
+                        yield from joined(parts, blocks)
+                    at, held, blocks, parts = (q[lo], c[lo]), ([], []), None, []
                 part = batch.slice(lo, hi - lo)
                 if kind[lo] < 2:
                     held[kind[lo]].extend(pa.ipc.open_stream(x).read_all() for x in part["_blob"].to_pylist())
-                elif all(held):
+                elif all(held) or blocks:
                     if blocks is None:
                         tables = [pa.concat_tables(h).combine_chunks().sort_by("doc") for h in held]
-                        blocks = [_Block(t) for t in (_coded(tables, coded) if coded else tables)]
-                    rows_, i, j = (pa.array(x) for x in _met(part, *blocks))
-                    own_ = [part[n].take(rows_) for n in names]
-                    yield pa.RecordBatch.from_arrays(own_ + [b.rows[n].combine_chunks().take(k) for b, k in zip(blocks, (i, j), strict=True) for n in keep], schema.names)
+                        blocks, held = [_Block(t) for t in (_coded(tables, coded) if coded else tables)], ([], [])
+                    parts.append(part.select(names))
+                    if sum(p.num_rows for p in parts) >= ORDERED:
+                        yield from joined(parts, blocks)
+                        parts = []
+        if parts:
+            yield from joined(parts, blocks)
 
     return both.mapInArrow(meet, schema)
 

@@ -85,19 +85,19 @@ def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame
     if len(preset.features) == 16:
         return features.features_16(features.paired(pairs, features.records_16(rows), features.SETS_16))
     if len(preset.features) == 18:
-        return features.features_18(features.paired(pairs, features.records_18(rows), features.SETS_18))
+        return features.features_18(features.paired(pairs, features.records_18(rows), features.SETS_18, ("deep", "addr_norm")))
     if preset.name == "rescore":
-        return features.rescore_35(features.paired(pairs, features.rescore_records(rows), features.RESCORE_SETS))
+        return features.rescore_35(features.paired(pairs, features.rescore_records(rows), features.RESCORE_SETS, ("rn", "ra")))
     raw = preset.normal == "v1"
     read = preset.features, "name_raw" if raw else "name_norm", "addr_raw" if raw else "addr_norm"
-    return features.dense(features.paired(pairs, features.dense_records(rows, *read), features.DENSE_SETS), *read)
+    return features.dense(features.paired(pairs, features.dense_records(rows, *read), features.DENSE_SETS, read[1:]), *read)
 
 
 def scored(rows: DataFrame, preset: Preset, trained: PipelineModel | None = None) -> DataFrame:
     """``(s1, cid, country, prob)`` of all candidates."""
     pairs = candidates(rows, preset)
     if preset.score == "rules":
-        return decide.rules(features.paired(pairs.select("s1", "cid", "s_word"), rows.select("doc", "side", *decide.RULES_READ), decide.RULES_SETS))
+        return decide.rules(features.paired(pairs.select("s1", "cid", "s_word"), rows.select("doc", "side", *decide.RULES_READ), decide.RULES_SETS, ("name_clean", "addr_raw")))
     if preset.score == "model":
         if trained is None:
             raise ValueError(f"preset {preset.name} needs a model")
