@@ -1,6 +1,6 @@
 """Similarities of two strings, sets or vectors.
 
-Sets, Levenshtein and cosine are built-in expressions. The ratios of longest common
+Sets, Levenshtein and cosine are built-in expressions (sets and Levenshtein also go by distinct pairs, see features.paired). The ratios of longest common
 subsequences, of matching blocks, and Jaro-Winkler have no built-in form: they are one Arrow
 UDF, which takes distinct pairs of a batch once. Common subsequences are found for all pairs
 of a batch at a time: a word of 64 bits is the row of a pair's table, and a step of numpy takes
@@ -284,6 +284,52 @@ def _jaro_winklers(x: list[str], y: list[str]) -> np.ndarray:
     return out
 
 
+def levenshtein(a: str, b: str) -> int:
+    """Edits between two texts: two integers hold the differences along a column of the table."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last, out = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for c in b:
+        hit = places.get(c, 0)
+        cross = ((hit & up) + up ^ up) | hit | down
+        more, less = (down | ~(cross | up)) & full, up & cross
+        out += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = (less | ~(cross | more)) & full, more & cross
+    return out
+
+
+def _levenshteins(x: list[str], y: list[str]) -> np.ndarray:
+    """1 less the edits over the longer length of each pair; the rows of all tables go a character at a time."""
+    size = np.array([max(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64)
+    out = np.zeros(len(x), np.int64)
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(x, y, strict=True)]
+    able = [k for k, (a, b) in enumerate(pairs) if a and len(a) <= _WORD_BITS and "\0" not in b and "\0" not in a]
+    for k in set(range(len(pairs))).difference(able):
+        out[k] = levenshtein(*pairs[k])
+    able.sort(key=lambda k: len(pairs[k][1]))
+    one = np.uint64(1)
+    for at in range(0, len(able), _CELLS >> 8):
+        own = able[at : at + (_CELLS >> 8)]
+        places, b = _tables([pairs[k][0] for k in own], [pairs[k][1] for k in own])
+        n, m = (np.array([len(pairs[k][side]) for k in own]) for side in (0, 1))
+        rows, last, edits = np.arange(len(own)), (n - 1).astype(np.uint64), n.copy()
+        up, down = np.full(len(own), np.iinfo(np.uint64).max), np.zeros(len(own), np.uint64)
+        for j in range(b.shape[1]):
+            hit = places[rows, b[:, j]]
+            cross = ((hit & up) + up ^ up) | hit | down
+            more, less = down | ~(cross | up), up & cross
+            edits += np.where(j < m, (more >> last & one).astype(np.int64) - (less >> last & one).astype(np.int64), 0)
+            more, less = more << one | one, less << one
+            up, down = less | ~(cross | more), more & cross
+        out[own] = edits
+    return np.where(size > 0, 1 - out / np.maximum(size, 1), 1.0)
+
+
 def _one_by_one(kernel):
     return lambda x, y: np.array([kernel(a, b) for a, b in zip(x, y, strict=True)], float)
 
@@ -295,6 +341,7 @@ KERNELS = {
     "partial_ratio": _partial_ratios,
     "jaro_winkler": _jaro_winklers,
     "sequence_ratio": _one_by_one(sequence_ratio),
+    "levenshtein": _levenshteins,
 }
 USUAL = ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler")
 

@@ -15,6 +15,7 @@ from ..functions import address as ad
 from ..functions import fixed
 from ..functions import similarity as sm
 from ..functions import text as tx
+from .sparse import _spread
 
 DIGITS = "^[0-9]+$"
 
@@ -23,6 +24,10 @@ DIGITS = "^[0-9]+$"
 QUERIES, CORPUS, LEAST, PACKED = 65_536, 131_072, 256, 65_536
 #: Pairs of two blocks that are put in order at a time, and rows of a batch that follows from them.
 ORDERED, BATCH = 1 << 18, 10_000
+#: Elements of sets that are looked up at a time.
+LOOKED_UP = 1 << 20
+#: An odd number that spreads the digests of sets.
+_MIX = 0x9E3779B97F4A7C15
 _KEY = ["_qb", "_cb", "_kind", "_blob"]
 
 
@@ -70,12 +75,69 @@ def _coded(tables: list[pa.Table], names: list[str]) -> list[pa.Table]:
     return made
 
 
+class _Bags:
+    """Sets of numbers as classes of equal ones: each row's class (-1 for null), and the classes' elements in order."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        key = np.unique(np.repeat(np.arange(len(size)), size) << 32 | flat)  # a set has an element once
+        row, flat = key >> 32, key & 0xFFFFFFFF
+        size = np.bincount(row, minlength=len(size))
+        start = np.cumsum(size) - size
+        mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed ^ mixed >> np.uint64(32))))
+        _, first, own = np.unique(sums[start + size] - sums[start], return_index=True, return_inverse=True)
+        same = first[own]
+        equal = np.array_equal(size[same], size) and np.array_equal(flat[_spread(start[same], size)], flat)
+        if not equal:  # two sets have one digest: each row is a class
+            first = own = np.arange(len(size))
+        self.of = np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, own)
+        self.size = size[first]
+        self.flat = flat[_spread(start[first], self.size)]
+        self.start = np.cumsum(self.size) - self.size
+        self.keys = np.repeat(np.arange(len(self.size)), self.size) << 32 | self.flat
+
+
+def _distinct(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers of at least -1, by j and then i, and which of them each pair is."""
+    wide = int(i.max(initial=-1)) + 2
+    key, which = np.unique((j.astype(np.int64) + 1) * wide + i + 1, return_inverse=True)
+    return key % wide - 1, key // wide - 1, which
+
+
+def _common(a: _Bags, b: _Bags, i: np.ndarray, j: np.ndarray) -> pa.Array:
+    """How many elements the sets of rows i of a and j of b have in common; null if one is null."""
+    u, v, which = _distinct(a.of[i], b.of[j])
+    missing = (u < 0) | (v < 0)
+    size = np.where(missing, 0, a.size[u]) if len(a.size) else np.zeros(len(u), np.int64)
+    out, work, at = np.zeros(len(u), np.int64), np.cumsum(size), 0
+    while at < len(u) and len(b.keys):
+        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + LOOKED_UP, "right")))
+        n = size[at:to]
+        key = np.repeat(v[at:to], n) << 32 | a.flat[_spread(a.start[u[at:to]], n)]
+        hit = b.keys[np.minimum(np.searchsorted(b.keys, key), len(b.keys) - 1)] == key
+        out[at:to] = np.bincount(np.repeat(np.arange(to - at), n), hit, to - at)
+        at = to
+    return pa.array(out[which], mask=missing[which])
+
+
+def _compared(a: tuple[np.ndarray, list], b: tuple[np.ndarray, list], i: np.ndarray, j: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
+    """The named similarities of the strings of rows i of a and j of b."""
+    u, v, which = _distinct(a[0][i], b[0][j])
+    x, y = ([own[1][k] if k >= 0 else None for k in at.tolist()] for own, at in ((a, u), (b, v)))
+    made = sm.score_pairs(x, y, names)
+    return [pa.array(made[n][which]) for n in names]
+
+
 class _Block:
     """Records of a block by doc; several may share one."""
 
     def __init__(self, rows: pa.Table) -> None:
         self.rows = rows
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, tuple[np.ndarray, list]] = {}
+        self.sets: dict[str, _Bags] = {}
         ids = rows["doc"].to_pylist()
         first: dict = {}
         for i, x in enumerate(ids):
@@ -88,12 +150,21 @@ class _Block:
         get = self.place.get
         return np.array([get(x, -1) for x in docs.to_pylist()], np.int64)
 
-    def codes(self, name: str) -> np.ndarray:
-        """A number for each value of a column, by row."""
+    def values(self, name: str) -> tuple[np.ndarray, list]:
+        """A number for each value of a column, by row, and the values."""
         if name not in self.known:
-            self.known[name] = self.rows[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            own = self.rows[name].combine_chunks().dictionary_encode()
+            self.known[name] = own.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), own.dictionary.to_pylist()
         return self.known[name]
 
+    def codes(self, name: str) -> np.ndarray:
+        return self.values(name)[0]
+
+    def bags(self, name: str) -> _Bags:
+        if name not in self.sets:
+            self.sets[name] = _Bags(self.rows[name].combine_chunks())
+        return self.sets[name]
+
 
 def _met(batch: pa.Table, a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the batch, of a and of b that belong together."""
@@ -107,19 +178,27 @@ def _met(batch: pa.Table, a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray,
     return np.repeat(rows, each), np.repeat(a.start[i], each) + nth // wide, np.repeat(b.start[j], each) + nth % wide
 
 
-def paired(pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = (), near: tuple[str, ...] = ()) -> DataFrame:
+def paired(
+    pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = (), near: tuple[str, ...] = (),
+    common: dict[str, tuple[str, str]] | None = None, strings: dict[str, tuple[str, tuple[str, ...]]] | None = None, hidden: tuple[str, ...] = (),
+) -> DataFrame:
     """Pairs with the columns of both records, a_ for the query's and b_ for the candidate's.
 
     Wide records are not dealt with every pair. Queries and corpus records go to blocks, a block is packed and
     compressed, each two blocks meet in one task, and only the pairs' own columns are dealt to them.
     ``sets`` are lists of strings that are compared with each other only: they come as lists of numbers.
     Pairs that are equal in the columns ``near`` come one after another, so that kernels over batches see them once.
+    ``common`` names columns for how many elements a query's and a candidate's set share, ``strings`` the columns whose
+    similarities come as ``<name>_<kernel>``: both are made once for each two different values that meet. ``hidden``
+    columns of the records are read for that only.
     """
+    common, strings = common or {}, strings or {}
     own = records.where("doc IS NOT NULL").withColumn("_left", (F.col("side") == "S1").cast("int")).where("_left IS NOT NULL")
     count = {r["_left"]: r["count"] for r in own.groupBy("_left").count().collect()}  # two rows
     least = math.isqrt(4 * records.sparkSession.sparkContext.defaultParallelism - 1) + 1  # four tasks a core
     left, right = (max(-(-n // most), min(least, -(-n // LEAST)), 1) for n, most in ((count.get(1, 0), QUERIES), (count.get(0, 0), CORPUS)))
-    keep = [c for c in records.columns if c != "doc"]
+    keep = [c for c in records.columns if c != "doc" and c not in hidden]
+    measured = [f"{out}_{n}" for out, (_, kernels) in strings.items() for n in kernels]
 
     def block(doc: str, n: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(7), doc), n).cast("int")
@@ -139,7 +218,10 @@ def paired(pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = (), nea
 
     kinds = {f.name: T.ArrayType(T.IntegerType()) if f.name in sets else f.dataType for f in records.schema}
     schema = T.StructType([T.StructField(n, pairs.schema[n].dataType) for n in names] + [T.StructField(s + c, kinds[c]) for s in ("a_", "b_") for c in keep])
-    coded = [c for c in keep if c in sets]
+    for own_type, made in ((T.LongType(), common), (T.DoubleType(), measured)):
+        for n in made:
+            schema = schema.add(n, own_type)
+    coded = [c for c in records.columns if c in sets]
 
     def joined(parts: list[pa.RecordBatch], blocks: list[_Block]) -> Iterator[pa.RecordBatch]:
         own_ = pa.Table.from_batches(parts).combine_chunks()
@@ -147,9 +229,14 @@ def paired(pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = (), nea
         if near:
             order = np.lexsort([b.codes(n)[i] for n in reversed(near) for b, i in zip(blocks[::-1], at[:0:-1], strict=True)])
             at = tuple(x[order] for x in at)
+        a, b = blocks
+        more = [_common(a.bags(x), b.bags(y), *at[1:]) for x, y in common.values()]
+        for column, kernels in strings.values():
+            more += _compared(a.values(column), b.values(column), *at[1:], kernels)
         for lo in range(0, len(at[0]), BATCH):
             rows_, i, j = (pa.array(x[lo : lo + BATCH]) for x in at)
             made = [own_[n].take(rows_).combine_chunks() for n in names] + [b.rows[n].take(k).combine_chunks() for b, k in zip(blocks, (i, j), strict=True) for n in keep]
+            made += [x.slice(lo, BATCH) for x in more]
             yield pa.RecordBatch.from_arrays(made, schema.names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +271,23 @@ def _both(name: str) -> tuple[Column, Column]:
     return F.col(f"a_{name}"), F.col(f"b_{name}")
 
 
+def _jaccard(name: str) -> Column:
+    """similarity.jaccard() of two sets from what they have in common and their sizes n_*."""
+    shared, (a, b) = F.col(f"x_{name}"), _both(f"n_{name}")
+    union = a + b - shared
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
+
+
+def _containment(name: str) -> Column:
+    least = F.least(*_both(f"size_{name}"))
+    return F.when(least > 0, F.col(f"x_{name}") / least).otherwise(F.lit(0.0))
+
+
+def _sized(rows: DataFrame, sets: tuple[str, ...]) -> DataFrame:
+    """With the numbers of different elements of sets."""
+    return rows.withColumns({f"n_{c}": F.size(F.array_distinct(c)) for c in sets})
+
+
 def _sims(df: DataFrame, column: str, out: str, names: tuple[str, ...]) -> DataFrame:
     return df.withColumn(out, sm.string_similarities(*_both(column), names))
 
@@ -207,30 +311,46 @@ def dense_records(records: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50
     rows = rows.withColumn("name_bigrams", tx.char_ngrams(F.col("name_clean"), 2)).withColumn("addr_trigrams", tx.char_ngrams(F.col(addr_column), 3))
     if "semantic_cosine" in names:
         rows = rows.withColumn("vector_square", sm.dot(F.col("name_vector"), F.col("name_vector")))
-    some = [c for n, c in _READ.items() if n in names] + (["name_vector", "vector_square"] if "semantic_cosine" in names else [])
-    every = ["doc", "side", "country", "is_s3", name_column, addr_column, "name_clean", "name_words", "addr_tokens", "name_spaceless", "first_word", "hn", "pc", "nums"]
-    return rows.select(*every, *some)
+    rows = _sized(rows, dense_sets(names)).withColumns({f"size_{c}": F.size(c) for c in ("name_words", "addr_tokens")})
+    rows = rows.withColumns({"name_length": F.length(name_column), "addr_length": F.length(addr_column)})
+    some = [c for n, c in _READ.items() if n in names and c not in DENSE_SETS] + (["name_vector", "vector_square"] if "semantic_cosine" in names else [])
+    every = ["doc", "side", "country", "is_s3", name_column, addr_column, "name_clean", "name_spaceless", "first_word", "hn", "pc"]
+    sizes = ["size_name_words", "size_addr_tokens", "name_length", "addr_length", *(f"n_{c}" for c in dense_sets(names))]
+    return rows.select(*every, *dense_sets(names), *sizes, *some)
+
+
+def dense_sets(names: tuple[str, ...] = fixed.FEATURES_50) -> tuple[str, ...]:
+    """The sets that the listed features compare."""
+    own = {c for n, c in _READ.items() if n in names} | {"name_words", "addr_tokens", "nums"}
+    return tuple(c for c in DENSE_SETS if c in own)
+
+
+def dense_pairs(pairs: DataFrame, records: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column: str = "name_norm", addr_column: str = "addr_norm") -> DataFrame:
+    """paired() dense_records() with what their sets share and how alike their strings are."""
+    sets = dense_sets(names)
+    common = {f"x_{c}": (c, c) for c in sets} | {"x_across": ("name_words", "addr_tokens")}
+    strings = {
+        "_n": (name_column, ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler", "levenshtein")),
+        "_a": (addr_column, ("ratio", "token_sort_ratio", "token_set_ratio", "levenshtein")), "_c": ("name_clean", ("token_sort_ratio",)),
+    }
+    rows = dense_records(records, names, name_column, addr_column)
+    return paired(pairs, rows, sets, (name_column, addr_column), common, strings, (name_column, addr_column, *sets))
 
 
-def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column: str = "name_norm", addr_column: str = "addr_norm") -> DataFrame:
-    """s1, cid, country and the listed features (32, 35, 50 or 51 of them) of paired() dense_records() that have slots s_* and rank.
+def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50) -> DataFrame:
+    """s1, cid, country and the listed features (32, 35, 50 or 51 of them) of dense_pairs() that have slots s_* and rank.
 
-    ``name_column`` and ``addr_column`` are compared as strings: normal forms, or raw ones
-    ("name_raw") for the first generation. The string kernels run once, in one pass over
-    both fields; the rest are built-in expressions.
+    Strings and sets were compared where the pairs met; the rest are built-in expressions.
     """
-    df = _sims(df, name_column, "_n", ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler"))
-    df = _sims(df, addr_column, "_a", ("ratio", "token_sort_ratio", "token_set_ratio"))
-    df = _sims(df, "name_clean", "_c", ("token_sort_ratio",))
-    n1, n2 = _both(name_column)
-    a1, a2 = _both(addr_column)
+    n1, n2 = _both("name_length")
+    a1, a2 = _both("addr_length")
     c1, c2 = _both("name_clean")
-    w1, w2 = _both("name_words")
-    t1, t2 = _both("addr_tokens")
     p1, p2 = _both("name_spaceless")
     h1, h2 = _both("hn")
-    named, addressed, clean = (n1 != "") & (n2 != ""), (a1 != "") & (a2 != ""), (c1 != "") & (c2 != "")
-    common, union = F.size(F.array_intersect(w1, w2)).cast("double"), F.size(F.array_union(w1, w2))
+    w1, w2 = _both("size_name_words")
+    clean = (c1 != "") & (c2 != "")
+    common = F.col("x_name_words").cast("double")
+    union = F.col("a_n_name_words") + F.col("b_n_name_words") - F.col("x_name_words")
     slots = [F.col(f"s_{c}") for c in ("word", "addr", "char", "sorted")]
     fired = sum((sm.flag(s > 0) for s in slots[1:]), sm.flag(slots[0] > 0))
     every = [F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) if f"s_{c}" in df.columns else F.lit(0.0) for c in ("word", "addr", "char", "sorted", "five", "phonetic", "prefix")]
@@ -239,30 +359,30 @@ def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column
         return sm.flag((F.length(c1) >= n) & (F.length(c2) >= n) & (F.substring(c1, 1, n) == F.substring(c2, 1, n)))
 
     made = {
-        "name_ratio": F.col("_n.ratio"),
-        "name_token_sort_ratio": F.col("_n.token_sort_ratio"),
-        "name_token_set_ratio": F.col("_n.token_set_ratio"),
-        "name_partial_ratio": F.col("_n.partial_ratio"),
-        "name_levenshtein_sim": F.when(named, sm.levenshtein_similarity(n1, n2)).otherwise(F.lit(0.0)),
-        "name_jaro_winkler": F.col("_n.jaro_winkler"),
-        "name_word_jaccard": sm.jaccard(w1, w2),
-        "name_containment": sm.containment(w1, w2),
-        "name_len_ratio": sm.length_ratio(n1, n2),
-        "name_word_diff": F.abs(F.size(w1) - F.size(w2)).cast("double"),
+        "name_ratio": F.col("_n_ratio"),
+        "name_token_sort_ratio": F.col("_n_token_sort_ratio"),
+        "name_token_set_ratio": F.col("_n_token_set_ratio"),
+        "name_partial_ratio": F.col("_n_partial_ratio"),
+        "name_levenshtein_sim": F.col("_n_levenshtein"),
+        "name_jaro_winkler": F.col("_n_jaro_winkler"),
+        "name_word_jaccard": _jaccard("name_words"),
+        "name_containment": _containment("name_words"),
+        "name_len_ratio": F.when(F.greatest(n1, n2) > 0, F.least(n1, n2) / F.greatest(n1, n2)).otherwise(F.lit(0.0)),
+        "name_word_diff": F.abs(w1 - w2).cast("double"),
         "name_first_word_match": sm.flag((F.col("a_first_word") != "") & (F.col("a_first_word") == F.col("b_first_word"))),
-        "name_clean_ratio": F.when(clean, F.col("_c.token_sort_ratio")).otherwise(F.col("_n.token_sort_ratio")),
-        "addr_ratio": F.col("_a.ratio"),
-        "addr_token_sort_ratio": F.col("_a.token_sort_ratio"),
-        "addr_token_set_ratio": F.col("_a.token_set_ratio"),
-        "addr_levenshtein_sim": F.when(addressed, sm.levenshtein_similarity(a1, a2)).otherwise(F.lit(0.0)),
-        "addr_word_jaccard": sm.jaccard(t1, t2),
-        "addr_containment": sm.containment(t1, t2),
+        "name_clean_ratio": F.when(clean, F.col("_c_token_sort_ratio")).otherwise(F.col("_n_token_sort_ratio")),
+        "addr_ratio": F.col("_a_ratio"),
+        "addr_token_sort_ratio": F.col("_a_token_sort_ratio"),
+        "addr_token_set_ratio": F.col("_a_token_set_ratio"),
+        "addr_levenshtein_sim": F.col("_a_levenshtein"),
+        "addr_word_jaccard": _jaccard("addr_tokens"),
+        "addr_containment": _containment("addr_tokens"),
         "house_number_match": sm.tri_state(h1, h2, inside=True),
         "postal_code_match": sm.tri_state(*_both("pc")),
-        "numeric_overlap": sm.jaccard(*_both("nums")),
-        "both_addr_missing": sm.flag((a1 == "") & (a2 == "")),
-        "one_addr_missing": sm.flag((a1 == "") != (a2 == "")),
-        "name_in_cand_addr": F.when(F.size(w1) > 0, F.size(F.array_intersect(w1, t2)) / F.size(w1)).otherwise(F.lit(0.0)),
+        "numeric_overlap": _jaccard("nums"),
+        "both_addr_missing": sm.flag((a1 == 0) & (a2 == 0)),
+        "one_addr_missing": sm.flag((a1 == 0) != (a2 == 0)),
+        "name_in_cand_addr": F.when(w1 > 0, F.col("x_across") / w1).otherwise(F.lit(0.0)),
         "tfidf_word_score": slots[0],
         "addr_jaccard_score": slots[1],
         "tfidf_char_score": slots[2],
@@ -274,20 +394,20 @@ def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column
         "spaceless_exact_match": sm.flag((p1 != "") & (p1 == p2)),
         "spaceless_containment": sm.flag((F.length(p1) >= 5) & (F.length(p2) >= 5) & (p1.contains(p2) | p2.contains(p1))),
         "hn_exact_clean": sm.flag((h1 != "") & (h1 == h2)),
-        "name_bigram_jaccard": sm.jaccard(*_both("name_bigrams")),
-        "name_trigram_jaccard": sm.jaccard(*_both("name_trigrams")),
-        "addr_trigram_jaccard": sm.jaccard(*_both("addr_trigrams")),
+        "name_bigram_jaccard": _jaccard("name_bigrams"),
+        "name_trigram_jaccard": _jaccard("name_trigrams"),
+        "addr_trigram_jaccard": _jaccard("addr_trigrams"),
         "city_match": sm.flag((F.col("a_city") != "") & (F.col("a_city") == F.col("b_city"))),
         "state_match": sm.flag((F.col("a_state") != "") & (F.col("a_state") == F.col("b_state"))),
         "name_prefix_match_3": start(3),
         "name_prefix_match_5": start(5),
-        "addr_numeric_token_jaccard": sm.jaccard(*_both("digits")),
+        "addr_numeric_token_jaccard": _jaccard("digits"),
         "name_common_word_count": common,
-        "addr_common_word_count": F.size(F.array_intersect(t1, t2)).cast("double"),
+        "addr_common_word_count": F.col("x_addr_tokens").cast("double"),
         "name_unique_word_ratio": F.when(union > 0, (union - common) / union).otherwise(F.lit(0.0)),
-        "combined_name_addr_score": 0.6 * F.col("_n.token_sort_ratio") + 0.4 * sm.jaccard(t1, t2),
+        "combined_name_addr_score": 0.6 * F.col("_n_token_sort_ratio") + 0.4 * _jaccard("addr_tokens"),
         "legal_suffix_match": sm.flag((F.col("a_legal_suffix") != "") & (F.col("a_legal_suffix") == F.col("b_legal_suffix"))),
-        "phonetic_key_overlap": sm.jaccard(*_both("phonetic_keys")),
+        "phonetic_key_overlap": _jaccard("phonetic_keys"),
         "n_blocking_channels_hit": sum((sm.flag(s > 0) for s in every[1:]), sm.flag(every[0] > 0)),
     }
     if "semantic_cosine" in names:

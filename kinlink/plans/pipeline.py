@@ -90,7 +90,7 @@ def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame
         return features.rescore_35(features.paired(pairs, features.rescore_records(rows), features.RESCORE_SETS, ("rn", "ra")))
     raw = preset.normal == "v1"
     read = preset.features, "name_raw" if raw else "name_norm", "addr_raw" if raw else "addr_norm"
-    return features.dense(features.paired(pairs, features.dense_records(rows, *read), features.DENSE_SETS, read[1:]), *read)
+    return features.dense(features.dense_pairs(pairs, rows, *read), preset.features)
 
 
 def scored(rows: DataFrame, preset: Preset, trained: PipelineModel | None = None) -> DataFrame:
