@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import write_table
+
 
 def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Pairs with label 1 where they are true links."""
@@ -66,11 +71,25 @@ def class_weight(rows: DataFrame, factor: float = 1.0) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(heavy))).otherwise(F.lit(1.0)))
 
 
+def classes(rows: DataFrame, features: tuple[str, ...], *keys: str) -> DataFrame:
+    """Equal examples as one row with the number of its ``copies``, as a table; ``keys`` stay beside features, label and weight.
+
+    A tree sees nothing else of an example, so a row may weigh as much as all its copies. Candidates for splits come
+    from Spark's sample of at least 10,000 rows, by weight: of classes instead of examples.
+    """
+    own = rows.groupBy(*features, "label", "weight", *keys).agg(F.count(F.lit(1)).alias("copies"))
+    return write_table(own, "classes")
+
+
 def fit(rows: DataFrame, features: tuple[str, ...], trees: int = 30, depth: int = 5, rate: float = 0.1, held: Column | None = None, seed: int = 42) -> PipelineModel:
-    """Boosted trees on (features, label, weight); with ``held`` rows, training stops where they no longer gain."""
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=64)
+    """Boosted trees on (features, label, weight), or classes() of them; with ``held`` rows, training stops where they no longer gain."""
     if held is not None:
         rows = rows.withColumn("held", held)
+    if "copies" not in rows.columns:
+        rows = classes(rows, features, *(["held"] if held is not None else []))
+    rows = rows.withColumn("weight", F.col("weight") * F.col("copies"))
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=64)
+    if held is not None:
         gbt = gbt.setValidationIndicatorCol("held")
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt]).fit(rows)
 
@@ -82,6 +101,7 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def fit_two_pass(rows: DataFrame, features: tuple[str, ...], hard: float = 0.1, weight: float = 3.0, **options) -> PipelineModel:
     """A second fit in which negatives that the first one scored above ``hard`` weigh more."""
+    rows = rows if "copies" in rows.columns else classes(rows, features)
     return fit(harder(rows, fit(rows, features, **options), hard, weight), features, **options)
 
 
@@ -94,10 +114,17 @@ def harder(rows: DataFrame, first: PipelineModel, hard: float = 0.1, weight: flo
 def cross_validated(rows: DataFrame, features: tuple[str, ...], folds: int = 3, two_pass: bool = False, **options) -> DataFrame:
     """Out-of-fold prob of each row; a query's pairs are never on both sides."""
     rows = rows.withColumn("fold", fold(F.col("s1"), folds))
+    known = classes(rows, features, "fold")
+
+    @inheritable_thread_target(rows.sparkSession)
+    def fitted(k: int) -> PipelineModel:
+        return (fit_two_pass if two_pass else fit)(known.where(F.col("fold") != k), features, **options)
+
+    # a fit is many short jobs, so those of the folds go side by side
+    with ThreadPoolExecutor(folds) as pool:
+        models = list(pool.map(fitted, range(folds)))
     out = None
-    for k in range(folds):
-        train = rows.where(F.col("fold") != k)
-        model = (fit_two_pass if two_pass else fit)(train, features, **options)
+    for k, model in enumerate(models):
         part = predict(model, rows.where(F.col("fold") == k))
         out = part if out is None else out.unionByName(part)
     return out
