@@ -513,50 +513,57 @@ def rescore_records(records: DataFrame) -> DataFrame:
         rows = rows.withColumn(o, F.regexp_extract_all(F.lower(F.col(f)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
     made = {
         "low_name": F.lower("rn"), "low_addr": F.lower("ra"), "plain": F.regexp_replace(F.lower("rn"), "[^a-zA-Z0-9]", ""),
-        "names": F.array_distinct("wn"), "n_names": F.size("wn"), "first": F.get("wn", F.lit(0)), "tokens": F.array_distinct("wa"),
+        "names": F.array_distinct("wn"), "words": F.size("wn"), "first": F.get("wn", F.lit(0)), "tokens": F.array_distinct("wa"),
         "digits": F.array_distinct(F.filter("wa", lambda w: w.rlike(DIGITS))),
         "bigrams": tx.char_ngrams(F.col("rc"), 2), "trigrams": tx.char_ngrams(F.col("rc"), 3), "addr_trigrams": tx.char_ngrams(F.lower("ra"), 3),
     }
-    return rows.select("doc", "side", "country", "rn", "ra", "rc", "hn", "pc", *(c.alias(n) for n, c in made.items()))
+    return _sized(rows.select("doc", "side", "country", "rn", "ra", "rc", "hn", "pc", *(c.alias(n) for n, c in made.items())), RESCORE_SETS)
+
+
+def rescore_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """paired() rescore_records() with what their sets share and how alike their strings are."""
+    strings = {
+        "_n": ("rn", ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler", "levenshtein")),
+        "_a": ("ra", ("ratio", "token_sort_ratio", "token_set_ratio", "levenshtein")), "_c": ("rc", ("ratio",)),
+    }
+    return paired(pairs, rescore_records(records), RESCORE_SETS, ("rn", "ra"), {f"x_{c}": (c, c) for c in RESCORE_SETS}, strings, RESCORE_SETS)
 
 
 def rescore_35(df: DataFrame) -> DataFrame:
-    """The rescorer's features from raw fields. ``df``: paired() rescore_records() with rank."""
-    df = _sims(df, "rn", "_n", ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "jaro_winkler"))
-    df = _sims(_sims(df, "ra", "_a", ("ratio", "token_sort_ratio", "token_set_ratio")), "rc", "_c", ("ratio",))
+    """The rescorer's features from raw fields. ``df``: rescore_pairs() with rank."""
     n1, n2 = _both("rn")
     a1, a2 = _both("ra")
     c1, c2 = _both("rc")
     p1, p2 = _both("plain")
     named, addressed = (n1 != "") & (n2 != ""), (a1 != "") & (a2 != "")
     made = {
-        "name_ratio": F.col("_n.ratio"),
-        "name_token_sort_ratio": F.col("_n.token_sort_ratio"),
-        "name_token_set_ratio": F.col("_n.token_set_ratio"),
-        "name_partial_ratio": F.col("_n.partial_ratio"),
-        "name_levenshtein_sim": F.when(named, sm.levenshtein_similarity(n1, n2)).otherwise(F.lit(0.0)),
-        "name_jaro_winkler": F.col("_n.jaro_winkler"),
-        "name_word_jaccard": sm.jaccard(*_both("names")),
+        "name_ratio": F.col("_n_ratio"),
+        "name_token_sort_ratio": F.col("_n_token_sort_ratio"),
+        "name_token_set_ratio": F.col("_n_token_set_ratio"),
+        "name_partial_ratio": F.col("_n_partial_ratio"),
+        "name_levenshtein_sim": F.col("_n_levenshtein"),
+        "name_jaro_winkler": F.col("_n_jaro_winkler"),
+        "name_word_jaccard": _jaccard("names"),
         "name_containment": sm.flag(named & (n1.contains(n2) | n2.contains(n1))),
         "name_len_ratio": sm.length_ratio(n1, n2),
-        "name_word_diff": F.abs(F.col("a_n_names") - F.col("b_n_names")).cast("double"),
+        "name_word_diff": F.abs(F.col("a_words") - F.col("b_words")).cast("double"),
         "name_first_word_match": sm.flag(F.coalesce(F.col("a_first") == F.col("b_first"), F.lit(False))),
-        "name_clean_ratio": F.when(named & (c1 == "") & (c2 == ""), F.lit(1.0)).otherwise(F.col("_c.ratio")),
-        "addr_ratio": F.col("_a.ratio"),
-        "addr_token_sort_ratio": F.col("_a.token_sort_ratio"),
-        "addr_token_set_ratio": F.col("_a.token_set_ratio"),
-        "addr_levenshtein_sim": F.when(addressed, sm.levenshtein_similarity(a1, a2)).otherwise(F.lit(0.0)),
-        "addr_word_jaccard": F.when(addressed, sm.jaccard(*_both("tokens"))).otherwise(F.lit(0.0)),
+        "name_clean_ratio": F.when(named & (c1 == "") & (c2 == ""), F.lit(1.0)).otherwise(F.col("_c_ratio")),
+        "addr_ratio": F.col("_a_ratio"),
+        "addr_token_sort_ratio": F.col("_a_token_sort_ratio"),
+        "addr_token_set_ratio": F.col("_a_token_set_ratio"),
+        "addr_levenshtein_sim": F.col("_a_levenshtein"),
+        "addr_word_jaccard": F.when(addressed, _jaccard("tokens")).otherwise(F.lit(0.0)),
         "addr_containment": sm.flag(addressed & (a1.contains(a2) | a2.contains(a1))),
         "house_number_match": sm.tri_state(*_both("hn")),
         "postal_code_match": sm.tri_state(*_both("pc")),
-        "numeric_overlap": sm.jaccard(*_both("digits")),
+        "numeric_overlap": _jaccard("digits"),
         "both_addr_missing": sm.flag((a1 == "") & (a2 == "")),
         "one_addr_missing": sm.flag((a1 == "") != (a2 == "")),
         "name_in_cand_addr": sm.flag((n1 != "") & (a2 != "") & F.col("b_low_addr").contains(F.col("a_low_name"))),
-        "name_bigram_jaccard": sm.jaccard(*_both("bigrams")),
-        "name_trigram_jaccard": sm.jaccard(*_both("trigrams")),
-        "addr_trigram_jaccard": sm.jaccard(*_both("addr_trigrams")),
+        "name_bigram_jaccard": _jaccard("bigrams"),
+        "name_trigram_jaccard": _jaccard("trigrams"),
+        "addr_trigram_jaccard": _jaccard("addr_trigrams"),
         "city_match": F.lit(0.0),
         "state_match": F.lit(0.0),
         "name_prefix_match_3": sm.flag((c1 != "") & (F.substring(c1, 1, 3) == F.substring(c2, 1, 3))),

@@ -87,7 +87,7 @@ def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame
     if len(preset.features) == 18:
         return features.features_18(features.paired(pairs, features.records_18(rows), features.SETS_18, ("deep", "addr_norm")))
     if preset.name == "rescore":
-        return features.rescore_35(features.paired(pairs, features.rescore_records(rows), features.RESCORE_SETS, ("rn", "ra")))
+        return features.rescore_35(features.rescore_pairs(pairs, rows))
     raw = preset.normal == "v1"
     read = preset.features, "name_raw" if raw else "name_norm", "addr_raw" if raw else "addr_norm"
     return features.dense(features.dense_pairs(pairs, rows, *read), preset.features)

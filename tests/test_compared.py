@@ -76,3 +76,12 @@ def test_pairs_carry_no_sets(spark):
     made = features.dense_pairs(pairs, records, config.V2.features)
     assert not [f.name for f in made.schema if f.dataType.typeName() == "array" or f.name in ("a_name_norm", "b_addr_norm")]
     assert pipeline.features is features and made.where(F.lit(True)).count() == 0
+
+
+def test_rescored_pairs_carry_no_sets(spark):
+    records = spark.createDataFrame([("S1-1", "S1", "US", "Acme Inc", "1 Main St 12345"), ("S2-1", "S2", "US", "ACME", "1 Main St 12345")], "doc string, side string, country string, name_raw string, addr_raw string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 1)], "s1 string, cid string, rank int")
+    made = features.rescore_pairs(pairs, records)
+    assert not [f.name for f in made.schema if f.dataType.typeName() == "array"]
+    (row,) = features.rescore_35(made).collect()
+    assert (row.name_word_jaccard, row.addr_word_jaccard, row.addr_levenshtein_sim, row.name_word_diff) == (0.5, 1.0, 1.0, 1.0)
