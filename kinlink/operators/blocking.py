@@ -8,16 +8,24 @@ the channel's rule and bounds what one key can produce.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import sparse
 from . import vectorize as vz
+from .packs import opened, pack
 
+#: Parts of the queries whose pairs are ranked at a time, rows that are packed at a time, and rows that are given on at a time.
+BUCKETS, PACKED, GIVEN = 128, 1 << 20, 10_000
 CHANNELS = ("word", "addr", "char", "sorted", "five", "phonetic", "prefix")
 
 
@@ -100,37 +108,89 @@ def ordered_union(channels: dict[str, DataFrame], most: int) -> DataFrame:
     is new to them. Later channels raise their own slot. Ranked by the greatest slot (nine
     digits, then the lesser candidate), at most ``most`` of a query.
     """
-    rows = []
-    for n, (name, slot) in enumerate(ORDER):
-        if name in channels:
-            rows.append(channels[name].select("s1", "cid", F.lit(n).alias("n"), F.lit(name).alias("ch"), F.lit(slot).alias("slot"), F.col("score")))
-    long = reduce(DataFrame.unionByName, rows)
-    pairs = long.groupBy("s1", "cid").agg(
-        F.min(F.struct("n", "ch")).alias("first"),
-        *(F.coalesce(F.max(F.when(F.col("slot") == k, F.col("score"))), F.lit(0.0)).alias(f"m{k}") for k in range(7)),
-        F.sum(F.lit(1)).alias("channels_hit"),
-    )
-    slots = []
-    for k in range(7):
-        start = F.lit(0.0)
-        for name, values in NEW_PAIR.items():
-            start = F.when(F.col("first.ch") == name, F.lit(values[k])).otherwise(start)
-        slots.append(F.greatest(F.col(f"m{k}"), start).alias(f"s_{CHANNELS[k]}"))
-    return ranked(pairs.select("s1", "cid", *slots, "channels_hit"), [f"s_{c}" for c in CHANNELS], most)
+    made = [(name, slot) for name, slot in ORDER if name in channels]
+    starts = np.array([NEW_PAIR.get(name, (0.0,) * 7) for name, _ in made])
+    return _united([channels[name] for name, _ in made], [slot for _, slot in made], [f"s_{c}" for c in CHANNELS], most, starts)
 
 
 def simple_union(channels: dict[str, DataFrame], most: int) -> DataFrame:
     """Pairs of any channel with each channel's score (zero where it did not fire), ranked and capped."""
-    long = reduce(DataFrame.unionByName, [df.select("s1", "cid", F.lit(c).alias("ch"), "score") for c, df in channels.items()])
-    named = [F.coalesce(F.max(F.when(F.col("ch") == c, F.col("score"))), F.lit(0.0)).alias(f"s_{c}") for c in channels]
-    return ranked(long.groupBy("s1", "cid").agg(*named), [f"s_{c}" for c in channels], most)
+    return _united(list(channels.values()), list(range(len(channels))), [f"s_{c}" for c in channels], most)
 
 
-def ranked(pairs: DataFrame, scores: list[str], most: int) -> DataFrame:
-    best = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
-    order = Window.partitionBy("s1").orderBy(F.desc(F.round("score", 9)), "cid")
-    out = pairs.withColumn("score", best).withColumn("rank", F.row_number().over(order))
-    return out.where(F.col("rank") <= most)
+def _nine(x: np.ndarray) -> np.ndarray:
+    """x to nine digits, in units of the last, halves away from zero as decimals (as Spark's round())."""
+    y = x * 1e9
+    out = np.rint(y)
+    for k in np.flatnonzero((np.abs(np.abs(y - np.trunc(y)) - 0.5) < 1e-3) | (np.abs(x) > 1e4)).tolist():
+        out[k] = float(Decimal(repr(float(x[k]))).scaleb(9).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Each value's place among the different ones in order, from 1 (0 for null), and those values."""
+    own = column.combine_chunks().dictionary_encode()
+    order = pa.compute.sort_indices(own.dictionary).to_numpy()
+    place = np.empty(len(order) + 1, np.int64)
+    place[order], place[-1] = np.arange(1, len(order) + 1), 0
+    return place[own.indices.fill_null(-1).to_numpy(zero_copy_only=False)], own.dictionary.take(pa.array(order))
+
+
+def _united(channels: list[DataFrame], slot: list[int], names: list[str], most: int, starts: np.ndarray | None = None) -> DataFrame:
+    """Pairs of all channels, a row each: slots ``names``, with ``starts`` the number of hits, the greatest slot and the rank.
+
+    Each channel raises its ``slot``. Queries go to BUCKETS; a bucket's pairs are dealt once, compressed, and ranked where they meet.
+    """
+    kind = reduce(DataFrame.unionByName, [df.select("s1", "cid").limit(0) for df in channels]).schema
+    # numbers of one byte for the channels
+    long = reduce(DataFrame.unionByName, [df.select("s1", "cid", F.lit(n).cast("byte").alias("n"), F.col("score").cast("double").alias("score")) for n, df in enumerate(channels)])
+    bucket = F.pmod(F.xxhash64(F.lit(11), "s1"), F.lit(BUCKETS)).cast("int")
+    packed = long.select(bucket.alias("_b"), F.lit(0).alias("_none"), "*").mapInArrow(pack("_b", "_none", PACKED), "_b int, _none int, _blob binary")
+    parts = min(BUCKETS, 4 * long.sparkSession.sparkContext.defaultParallelism)
+    dealt = packed.select("_b", "_blob").repartitionById(parts, F.col("_b") % parts).sortWithinPartitions("_b")
+    schema = T.StructType([*kind.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    schema = (schema if starts is None else schema.add("channels_hit", T.LongType())).add("score", T.DoubleType()).add("rank", T.IntegerType())
+
+    def ranked(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(tables)
+        (s, queries), (c, ids) = _numbered(rows["s1"]), _numbered(rows["cid"])
+        n, score = rows["n"].to_numpy(), rows["score"].to_numpy()
+        wide = len(ids) + 1
+        key, at = np.unique(s * wide + c, return_inverse=True)
+        made, first = np.full((len(names), len(key)), -np.inf), np.zeros(len(key), np.int64)
+        for k in reversed(range(len(slot))):
+            own = n == k
+            np.fmax.at(made[slot[k]], at[own], score[own])
+            first[at[own]] = k
+        made[made == -np.inf] = 0.0
+        if starts is not None:
+            made = np.maximum(made, starts[first].T)
+        best = made.max(axis=0)
+        s = key // wide
+        order = np.lexsort((-_nine(best), s))  # the key is in order of the candidates
+        place = np.arange(len(s)) - np.searchsorted(s[order], s[order])
+        kept, place = order[place < most], place[place < most]
+        q, c = s[kept] - 1, key[kept] % wide - 1
+        out = [values.take(pa.array(x, mask=x < 0)) for values, x in ((queries, q), (ids, c))] + [pa.array(x[kept]) for x in made]
+        out += ([] if starts is None else [pa.array(np.bincount(at, minlength=len(key))[kept])]) + [pa.array(best[kept]), pa.array((place + 1).astype(np.int32))]
+        table = pa.Table.from_arrays(out, schema.names)
+        yield from table.to_batches(max_chunksize=GIVEN)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            b = batch["_b"].to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))).tolist() if len(b) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if now != b[lo] and held:
+                    yield from ranked(held)
+                    held = []
+                now = b[lo]
+                held.extend(opened(batch["_blob"].slice(lo, hi - lo)))
+        if held:
+            yield from ranked(held)
+
+    return dealt.mapInArrow(unite, schema)
 
 
 def with_neighbours(text: DataFrame, near: DataFrame, most: int) -> DataFrame:

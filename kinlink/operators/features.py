@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from ..functions import address as ad
 from ..functions import fixed
 from ..functions import similarity as sm
 from ..functions import text as tx
+from .packs import opened, pack
 from .sparse import _spread
 
 DIGITS = "^[0-9]+$"
@@ -31,32 +33,6 @@ _MIX = 0x9E3779B97F4A7C15
 _KEY = ["_qb", "_cb", "_kind", "_blob"]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records by side and block as compressed tables: (_left, _block, _blob)."""
-    held: list[pa.RecordBatch] = []
-
-    def flush() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).sort_by([("_left", "ascending"), ("_block", "ascending")]).combine_chunks()
-        key = rows["_left"].to_numpy().astype(np.int64) << 32 | rows["_block"].to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        own, out = rows.drop_columns(["_left", "_block"]), []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(own.slice(lo, hi - lo))
-            out.append((int(key[lo] >> 32), int(key[lo] & 0xFFFFFFFF), sink.getvalue().to_pybytes()))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["_left", "_block", "_blob"])
-
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-        if sum(h.num_rows for h in held) >= PACKED:
-            yield flush()
-    if held:
-        yield flush()
-
-
 def _coded(tables: list[pa.Table], names: list[str]) -> list[pa.Table]:
     """The tables with the named lists of strings as lists of numbers, one for each string of all of them."""
     lists = [t[n].combine_chunks() for t in tables for n in names]
@@ -131,12 +107,32 @@ def _compared(a: tuple[np.ndarray, list], b: tuple[np.ndarray, list], i: np.ndar
     return [pa.array(made[n][which]) for n in names]
 
 
+def _tested(a: tuple[np.ndarray, list], b: tuple[np.ndarray, list], i: np.ndarray, j: np.ndarray, test: Callable) -> pa.Array:
+    """What a test says of the values of rows i of a and j of b; it gets None for null."""
+    u, v, which = _distinct(a[0][i], b[0][j])
+    x, y = ([own[1][k] if k >= 0 else None for k in at.tolist()] for own, at in ((a, u), (b, v)))
+    return pa.array(np.array([test(p, q) for p, q in zip(x, y, strict=True)], float)[which])
+
+
+def _dots(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> pa.Array:
+    """similarity.dot() of the vectors of rows i of a and j of b, added up in its order; null if one is null or they differ in length."""
+    (m, size_m), (n, size_n) = a[1:], b[1:]
+    u, v, which = _distinct(a[0][i], b[0][j])
+    missing = (u < 0) | (v < 0)
+    out = np.zeros(len(u))
+    if len(m) and len(n):
+        missing |= size_m[u] != size_n[v]
+        for d in range(min(m.shape[1], n.shape[1])):
+            out += m[u, d] * n[v, d]
+    return pa.array(out[which], mask=missing[which])
+
+
 class _Block:
     """Records of a block by doc; several may share one."""
 
     def __init__(self, rows: pa.Table) -> None:
         self.rows = rows
-        self.known: dict[str, tuple[np.ndarray, list]] = {}
+        self.known: dict[str, tuple] = {}
         self.sets: dict[str, _Bags] = {}
         ids = rows["doc"].to_pylist()
         first: dict = {}
@@ -166,6 +162,20 @@ class _Block:
         return self.sets[name]
 
 
+    def vectors(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A number for each different vector, by row (-1 for null), the vectors, padded with zeros, and their lengths."""
+        if name not in self.known:
+            own = self.rows[name].combine_chunks()
+            size = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            wide = np.zeros((len(size), int(size.max(initial=0)) + 1))
+            flat = own.flatten().to_numpy(zero_copy_only=False)
+            wide[np.repeat(np.arange(len(size)), size), _spread(np.zeros(len(size), np.int64), size)] = flat
+            wide[:, -1] = size  # vectors of several lengths are different
+            _, first, code = np.unique(wide.view(np.dtype((np.void, wide.itemsize * wide.shape[1]))).ravel(), return_index=True, return_inverse=True)
+            self.known[name] = np.where(own.is_null().to_numpy(zero_copy_only=False), -1, code), wide[first, :-1], size[first]
+        return self.known[name]
+
+
 def _met(batch: pa.Table, a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the batch, of a and of b that belong together."""
     i, j = a.find(batch["s1"]), b.find(batch["cid"])
@@ -181,18 +191,21 @@ def _met(batch: pa.Table, a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray,
 def paired(
     pairs: DataFrame, records: DataFrame, sets: tuple[str, ...] = (), near: tuple[str, ...] = (),
     common: dict[str, tuple[str, str]] | None = None, strings: dict[str, tuple[str, tuple[str, ...]]] | None = None, hidden: tuple[str, ...] = (),
+    tests: dict[str, tuple[str, Callable]] | None = None, dots: dict[str, str] | None = None,
+    made_of: tuple[Callable[[dict[str, pa.Array]], list[pa.Array]], T.StructType] | None = None,
 ) -> DataFrame:
     """Pairs with the columns of both records, a_ for the query's and b_ for the candidate's.
 
-    Wide records are not dealt with every pair. Queries and corpus records go to blocks, a block is packed and
-    compressed, each two blocks meet in one task, and only the pairs' own columns are dealt to them.
+    Wide records are not dealt with every pair. Queries and corpus records go to blocks, each two blocks meet in one
+    task, and only the pairs' own columns are dealt to them. Blocks and their pairs are dealt as compressed files.
     ``sets`` are lists of strings that are compared with each other only: they come as lists of numbers.
     Pairs that are equal in the columns ``near`` come one after another, so that kernels over batches see them once.
     ``common`` names columns for how many elements a query's and a candidate's set share, ``strings`` the columns whose
-    similarities come as ``<name>_<kernel>``: both are made once for each two different values that meet. ``hidden``
-    columns of the records are read for that only.
+    similarities come as ``<name>_<kernel>``, ``tests`` those of which a function tells a number, ``dots`` vectors
+    whose product is wanted: all are made once for each two different values that meet. ``hidden`` columns of the
+    records are read for that only. ``made_of``: a function of these columns whose own columns are given on instead.
     """
-    common, strings = common or {}, strings or {}
+    common, strings, tests, dots = common or {}, strings or {}, tests or {}, dots or {}
     own = records.where("doc IS NOT NULL").withColumn("_left", (F.col("side") == "S1").cast("int")).where("_left IS NOT NULL")
     count = {r["_left"]: r["count"] for r in own.groupBy("_left").count().collect()}  # two rows
     least = math.isqrt(4 * records.sparkSession.sparkContext.defaultParallelism - 1) + 1  # four tasks a core
@@ -204,7 +217,7 @@ def paired(
         return F.pmod(F.xxhash64(F.lit(7), doc), n).cast("int")
 
     dealt = own.withColumn("_block", block("doc", F.when(F.col("_left") == 1, F.lit(left)).otherwise(F.lit(right))))
-    packed = dealt.mapInArrow(_pack, "_left int, _block int, _blob binary")
+    packed = dealt.mapInArrow(pack("_left", "_block", PACKED), "_left int, _block int, _blob binary")
     every = F.explode(F.sequence(F.lit(0), F.when(F.col("_left") == 1, F.lit(right - 1)).otherwise(F.lit(left - 1))))
     packed = packed.select("_left", "_block", "_blob", every.alias("_other"))
     mine, other = F.col("_block"), F.col("_other")
@@ -212,19 +225,21 @@ def paired(
     blobs = packed.select(F.when(queries, mine).otherwise(other).alias("_qb"), F.when(queries, other).otherwise(mine).alias("_cb"), (1 - F.col("_left")).alias("_kind"), "_blob")
     names = ["cid", "s1", *(c for c in pairs.columns if c not in ("s1", "cid"))]
     known = pairs.where("s1 IS NOT NULL AND cid IS NOT NULL")
-    rows = known.select(block("s1", F.lit(left)).alias("_qb"), block("cid", F.lit(right)).alias("_cb"), F.lit(2).alias("_kind"), F.lit(None).cast("binary").alias("_blob"), *names)
+    rows = known.select(block("s1", F.lit(left)).alias("_qb"), block("cid", F.lit(right)).alias("_cb"), *names)
+    rows = rows.mapInArrow(pack("_qb", "_cb", ORDERED), "_qb int, _cb int, _blob binary").withColumn("_kind", F.lit(2))
     # a partition for each two blocks
-    both = rows.unionByName(blobs, allowMissingColumns=True).repartitionById(left * right, F.col("_qb") * right + F.col("_cb")).sortWithinPartitions("_qb", "_cb", "_kind")
+    both = rows.unionByName(blobs).repartitionById(left * right, F.col("_qb") * right + F.col("_cb")).sortWithinPartitions("_qb", "_cb", "_kind")
 
     kinds = {f.name: T.ArrayType(T.IntegerType()) if f.name in sets else f.dataType for f in records.schema}
     schema = T.StructType([T.StructField(n, pairs.schema[n].dataType) for n in names] + [T.StructField(s + c, kinds[c]) for s in ("a_", "b_") for c in keep])
-    for own_type, made in ((T.LongType(), common), (T.DoubleType(), measured)):
+    for own_type, made in ((T.LongType(), common), (T.DoubleType(), [*measured, *tests, *dots])):
         for n in made:
             schema = schema.add(n, own_type)
     coded = [c for c in records.columns if c in sets]
+    given = made_of[1] if made_of else schema
 
-    def joined(parts: list[pa.RecordBatch], blocks: list[_Block]) -> Iterator[pa.RecordBatch]:
-        own_ = pa.Table.from_batches(parts).combine_chunks()
+    def joined(parts: list[pa.Table], blocks: list[_Block]) -> Iterator[pa.RecordBatch]:
+        own_ = pa.concat_tables(parts).combine_chunks()
         at = _met(own_, *blocks)
         if near:
             order = np.lexsort([b.codes(n)[i] for n in reversed(near) for b, i in zip(blocks[::-1], at[:0:-1], strict=True)])
@@ -233,11 +248,15 @@ def paired(
         more = [_common(a.bags(x), b.bags(y), *at[1:]) for x, y in common.values()]
         for column, kernels in strings.values():
             more += _compared(a.values(column), b.values(column), *at[1:], kernels)
+        more += [_tested(a.values(column), b.values(column), *at[1:], test) for column, test in tests.values()]
+        more += [_dots(a.vectors(column), b.vectors(column), *at[1:]) for column in dots.values()]
         for lo in range(0, len(at[0]), BATCH):
             rows_, i, j = (pa.array(x[lo : lo + BATCH]) for x in at)
             made = [own_[n].take(rows_).combine_chunks() for n in names] + [b.rows[n].take(k).combine_chunks() for b, k in zip(blocks, (i, j), strict=True) for n in keep]
             made += [x.slice(lo, BATCH) for x in more]
-            yield pa.RecordBatch.from_arrays(made, schema.names)
+            if made_of:
+                made = made_of[0](dict(zip(schema.names, made, strict=True)))
+            yield pa.RecordBatch.from_arrays(made, given.names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, blocks, parts = None, ([], []), None, []
@@ -252,19 +271,20 @@ def paired(
                     at, held, blocks, parts = (q[lo], c[lo]), ([], []), None, []
                 part = batch.slice(lo, hi - lo)
                 if kind[lo] < 2:
-                    held[kind[lo]].extend(pa.ipc.open_stream(x).read_all() for x in part["_blob"].to_pylist())
+                    held[kind[lo]].extend(opened(part["_blob"]))
                 elif all(held) or blocks:
                     if blocks is None:
                         tables = [pa.concat_tables(h).combine_chunks().sort_by("doc") for h in held]
                         blocks, held = [_Block(t) for t in (_coded(tables, coded) if coded else tables)], ([], [])
-                    parts.append(part.select(names))
-                    if sum(p.num_rows for p in parts) >= ORDERED:
-                        yield from joined(parts, blocks)
-                        parts = []
+                    for own_pairs in opened(part["_blob"]):
+                        parts.append(own_pairs)
+                        if sum(p.num_rows for p in parts) >= ORDERED:
+                            yield from joined(parts, blocks)
+                            parts = []
         if parts:
             yield from joined(parts, blocks)
 
-    return both.mapInArrow(meet, schema)
+    return both.mapInArrow(meet, given)
 
 
 def _both(name: str) -> tuple[Column, Column]:
@@ -278,11 +298,6 @@ def _jaccard(name: str) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-def _containment(name: str) -> Column:
-    least = F.least(*_both(f"size_{name}"))
-    return F.when(least > 0, F.col(f"x_{name}") / least).otherwise(F.lit(0.0))
-
-
 def _sized(rows: DataFrame, sets: tuple[str, ...]) -> DataFrame:
     """With the numbers of different elements of sets."""
     return rows.withColumns({f"n_{c}": F.size(F.array_distinct(c)) for c in sets})
@@ -297,6 +312,33 @@ def _kept(df: DataFrame) -> list[Column]:
     return [F.col("s1"), F.col("cid"), F.col("a_country").alias("country"), *(F.col(c) for c in ("label",) if c in df.columns)]
 
 
+def _same(x: str | None, y: str | None) -> bool:
+    """Equal texts, neither null nor empty."""
+    return bool(x) and x == y
+
+
+def _begun(x: str | None, y: str | None, n: int) -> bool:
+    return x is not None and y is not None and min(len(x), len(y)) >= n and x[:n] == y[:n]
+
+
+def _within(x: str | None, y: str | None) -> bool:
+    return x is not None and y is not None and min(len(x), len(y)) >= 5 and (x in y or y in x)
+
+
+def _tri_state(x: str | None, y: str | None, inside: bool = False) -> float:
+    """similarity.tri_state() of two values."""
+    if x == "" or y == "":
+        return 0.0
+    return 1.0 if x is not None and y is not None and (x == y or inside and (x in y or y in x)) else -1.0
+
+
+#: What dense() asks of the texts of two records: the feature, or whether both have a clean name.
+TESTS = {
+    "t_clean": ("name_clean", lambda x, y: bool(x) and bool(y)), "name_prefix_match_3": ("name_clean", partial(_begun, n=3)), "name_prefix_match_5": ("name_clean", partial(_begun, n=5)),
+    "name_first_word_match": ("first_word", _same), "spaceless_exact_match": ("name_spaceless", _same), "spaceless_containment": ("name_spaceless", _within),
+    "house_number_match": ("hn", partial(_tri_state, inside=True)), "hn_exact_clean": ("hn", _same), "postal_code_match": ("pc", _tri_state),
+    "city_match": ("city", _same), "state_match": ("state", _same), "legal_suffix_match": ("legal_suffix", _same),
+}
 #: Columns that only some features read.
 _READ = {
     "city_match": "city", "state_match": "state", "legal_suffix_match": "legal_suffix", "phonetic_key_overlap": "phonetic_keys", "name_trigram_jaccard": "name_trigrams",
@@ -325,7 +367,10 @@ def dense_sets(names: tuple[str, ...] = fixed.FEATURES_50) -> tuple[str, ...]:
     return tuple(c for c in DENSE_SETS if c in own)
 
 
-def dense_pairs(pairs: DataFrame, records: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column: str = "name_norm", addr_column: str = "addr_norm") -> DataFrame:
+def dense_pairs(
+    pairs: DataFrame, records: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column: str = "name_norm", addr_column: str = "addr_norm",
+    made_of: tuple[Callable, T.StructType] | None = None,
+) -> DataFrame:
     """paired() dense_records() with what their sets share and how alike their strings are."""
     sets = dense_sets(names)
     common = {f"x_{c}": (c, c) for c in sets} | {"x_across": ("name_words", "addr_tokens")}
@@ -334,85 +379,97 @@ def dense_pairs(pairs: DataFrame, records: DataFrame, names: tuple[str, ...] = f
         "_a": (addr_column, ("ratio", "token_sort_ratio", "token_set_ratio", "levenshtein")), "_c": ("name_clean", ("token_sort_ratio",)),
     }
     rows = dense_records(records, names, name_column, addr_column)
-    return paired(pairs, rows, sets, (name_column, addr_column), common, strings, (name_column, addr_column, *sets))
+    tests = {f"t_{n.removeprefix('t_')}": test for n, test in TESTS.items() if n in names or n == "t_clean"}
+    dots = {"x_vector": "name_vector"} if "semantic_cosine" in names else {}
+    read = {c for c, _ in TESTS.values() if c in rows.columns} | {*dots.values(), name_column, addr_column, *sets, "side"}
+    return paired(pairs, rows, sets, (name_column, addr_column), common, strings, tuple(read), tests, dots, made_of)
 
 
-def dense(df: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50) -> DataFrame:
-    """s1, cid, country and the listed features (32, 35, 50 or 51 of them) of dense_pairs() that have slots s_* and rank.
+def dense(pairs: DataFrame, records: DataFrame, names: tuple[str, ...] = fixed.FEATURES_50, name_column: str = "name_norm", addr_column: str = "addr_norm") -> DataFrame:
+    """s1, cid, country, a label if pairs have one, and the listed features (32, 35, 50 or 51 of them) of pairs that have slots s_* and rank.
 
-    Strings and sets were compared where the pairs met; the rest are built-in expressions.
+    All are made where the pairs meet: expressions of so many columns are one method, too long for Java to compile.
     """
-    n1, n2 = _both("name_length")
-    a1, a2 = _both("addr_length")
-    c1, c2 = _both("name_clean")
-    p1, p2 = _both("name_spaceless")
-    h1, h2 = _both("hn")
-    w1, w2 = _both("size_name_words")
-    clean = (c1 != "") & (c2 != "")
-    common = F.col("x_name_words").cast("double")
-    union = F.col("a_n_name_words") + F.col("b_n_name_words") - F.col("x_name_words")
-    slots = [F.col(f"s_{c}") for c in ("word", "addr", "char", "sorted")]
-    fired = sum((sm.flag(s > 0) for s in slots[1:]), sm.flag(slots[0] > 0))
-    every = [F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) if f"s_{c}" in df.columns else F.lit(0.0) for c in ("word", "addr", "char", "sorted", "five", "phonetic", "prefix")]
-
-    def start(n: int) -> Column:
-        return sm.flag((F.length(c1) >= n) & (F.length(c2) >= n) & (F.substring(c1, 1, n) == F.substring(c2, 1, n)))
+    kept = ["s1", "cid", "country", *(c for c in ("label",) if c in pairs.columns)]
+    kinds = {"country": records.schema["country"].dataType} | {c: pairs.schema[c].dataType for c in kept if c != "country"}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in kept] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def made_of(columns: dict[str, pa.Array]) -> list[pa.Array]:
+        made = dense_columns({n: x.to_numpy(zero_copy_only=False).astype(float) for n, x in columns.items() if pa.types.is_floating(x.type) or pa.types.is_integer(x.type)}, names)
+        return [columns["a_country" if c == "country" else c] for c in kept] + [pa.array(made[n], from_pandas=True) for n in names]
+
+    return dense_pairs(pairs, records, names, name_column, addr_column, (made_of, schema))
+
+
+def dense_columns(df: dict[str, np.ndarray], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The listed features from the numbers that dense_pairs() gives, NaN for null."""
+    none = np.zeros(len(df["rank"]))
 
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a / b, zero where b is not positive."""
+        return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+
+    def jaccard(name: str) -> np.ndarray:
+        return over(df[f"x_{name}"], df[f"a_n_{name}"] + df[f"b_n_{name}"] - df[f"x_{name}"])
+
+    def containment(name: str) -> np.ndarray:
+        return over(df[f"x_{name}"], np.fmin(df[f"a_size_{name}"], df[f"b_size_{name}"]))
+
+    def number(flags: np.ndarray) -> np.ndarray:
+        return flags.astype(float)
+
+    n1, n2, a1, a2, w1, w2 = (df[f"{side}_{c}"] for c in ("name_length", "addr_length", "size_name_words") for side in "ab")
+    common, union = df["x_name_words"], df["a_n_name_words"] + df["b_n_name_words"] - df["x_name_words"]
+    slots = [df[f"s_{c}"] for c in ("word", "addr", "char", "sorted")]
+    fired = sum(number(s > 0) for s in slots)
+    every = [df.get(f"s_{c}", none) for c in ("word", "addr", "char", "sorted", "five", "phonetic", "prefix")]
     made = {
-        "name_ratio": F.col("_n_ratio"),
-        "name_token_sort_ratio": F.col("_n_token_sort_ratio"),
-        "name_token_set_ratio": F.col("_n_token_set_ratio"),
-        "name_partial_ratio": F.col("_n_partial_ratio"),
-        "name_levenshtein_sim": F.col("_n_levenshtein"),
-        "name_jaro_winkler": F.col("_n_jaro_winkler"),
-        "name_word_jaccard": _jaccard("name_words"),
-        "name_containment": _containment("name_words"),
-        "name_len_ratio": F.when(F.greatest(n1, n2) > 0, F.least(n1, n2) / F.greatest(n1, n2)).otherwise(F.lit(0.0)),
-        "name_word_diff": F.abs(w1 - w2).cast("double"),
-        "name_first_word_match": sm.flag((F.col("a_first_word") != "") & (F.col("a_first_word") == F.col("b_first_word"))),
-        "name_clean_ratio": F.when(clean, F.col("_c_token_sort_ratio")).otherwise(F.col("_n_token_sort_ratio")),
-        "addr_ratio": F.col("_a_ratio"),
-        "addr_token_sort_ratio": F.col("_a_token_sort_ratio"),
-        "addr_token_set_ratio": F.col("_a_token_set_ratio"),
-        "addr_levenshtein_sim": F.col("_a_levenshtein"),
-        "addr_word_jaccard": _jaccard("addr_tokens"),
-        "addr_containment": _containment("addr_tokens"),
-        "house_number_match": sm.tri_state(h1, h2, inside=True),
-        "postal_code_match": sm.tri_state(*_both("pc")),
-        "numeric_overlap": _jaccard("nums"),
-        "both_addr_missing": sm.flag((a1 == 0) & (a2 == 0)),
-        "one_addr_missing": sm.flag((a1 == 0) != (a2 == 0)),
-        "name_in_cand_addr": F.when(w1 > 0, F.col("x_across") / w1).otherwise(F.lit(0.0)),
-        "tfidf_word_score": slots[0],
-        "addr_jaccard_score": slots[1],
-        "tfidf_char_score": slots[2],
-        "tfidf_sorted_score": slots[3],
-        "max_channel_score": F.greatest(*slots),
-        "mean_channel_score": F.when(fired > 0, sum(slots[1:], slots[0]) / fired).otherwise(F.lit(0.0)),
-        "cand_rank_inv": F.lit(1.0) / F.col("rank"),
-        "is_source3": F.col("b_is_s3"),
-        "spaceless_exact_match": sm.flag((p1 != "") & (p1 == p2)),
-        "spaceless_containment": sm.flag((F.length(p1) >= 5) & (F.length(p2) >= 5) & (p1.contains(p2) | p2.contains(p1))),
-        "hn_exact_clean": sm.flag((h1 != "") & (h1 == h2)),
-        "name_bigram_jaccard": _jaccard("name_bigrams"),
-        "name_trigram_jaccard": _jaccard("name_trigrams"),
-        "addr_trigram_jaccard": _jaccard("addr_trigrams"),
-        "city_match": sm.flag((F.col("a_city") != "") & (F.col("a_city") == F.col("b_city"))),
-        "state_match": sm.flag((F.col("a_state") != "") & (F.col("a_state") == F.col("b_state"))),
-        "name_prefix_match_3": start(3),
-        "name_prefix_match_5": start(5),
-        "addr_numeric_token_jaccard": _jaccard("digits"),
-        "name_common_word_count": common,
-        "addr_common_word_count": F.col("x_addr_tokens").cast("double"),
-        "name_unique_word_ratio": F.when(union > 0, (union - common) / union).otherwise(F.lit(0.0)),
-        "combined_name_addr_score": 0.6 * F.col("_n_token_sort_ratio") + 0.4 * _jaccard("addr_tokens"),
-        "legal_suffix_match": sm.flag((F.col("a_legal_suffix") != "") & (F.col("a_legal_suffix") == F.col("b_legal_suffix"))),
-        "phonetic_key_overlap": _jaccard("phonetic_keys"),
-        "n_blocking_channels_hit": sum((sm.flag(s > 0) for s in every[1:]), sm.flag(every[0] > 0)),
+        "name_ratio": lambda: df["_n_ratio"],
+        "name_token_sort_ratio": lambda: df["_n_token_sort_ratio"],
+        "name_token_set_ratio": lambda: df["_n_token_set_ratio"],
+        "name_partial_ratio": lambda: df["_n_partial_ratio"],
+        "name_levenshtein_sim": lambda: df["_n_levenshtein"],
+        "name_jaro_winkler": lambda: df["_n_jaro_winkler"],
+        "name_word_jaccard": lambda: jaccard("name_words"),
+        "name_containment": lambda: containment("name_words"),
+        "name_len_ratio": lambda: over(np.fmin(n1, n2), np.fmax(n1, n2)),
+        "name_word_diff": lambda: np.abs(w1 - w2),
+        "name_clean_ratio": lambda: np.where(df["t_clean"] > 0, df["_c_token_sort_ratio"], df["_n_token_sort_ratio"]),
+        "addr_ratio": lambda: df["_a_ratio"],
+        "addr_token_sort_ratio": lambda: df["_a_token_sort_ratio"],
+        "addr_token_set_ratio": lambda: df["_a_token_set_ratio"],
+        "addr_levenshtein_sim": lambda: df["_a_levenshtein"],
+        "addr_word_jaccard": lambda: jaccard("addr_tokens"),
+        "addr_containment": lambda: containment("addr_tokens"),
+        "numeric_overlap": lambda: jaccard("nums"),
+        "both_addr_missing": lambda: number((a1 == 0) & (a2 == 0)),
+        "one_addr_missing": lambda: number((a1 == 0) != (a2 == 0)),
+        "name_in_cand_addr": lambda: over(df["x_across"], w1),
+        "tfidf_word_score": lambda: slots[0],
+        "addr_jaccard_score": lambda: slots[1],
+        "tfidf_char_score": lambda: slots[2],
+        "tfidf_sorted_score": lambda: slots[3],
+        "max_channel_score": lambda: np.max(slots, axis=0),
+        "mean_channel_score": lambda: over(sum(slots[1:], slots[0]), fired),
+        "cand_rank_inv": lambda: 1.0 / df["rank"],
+        "is_source3": lambda: df["b_is_s3"],
+        "name_bigram_jaccard": lambda: jaccard("name_bigrams"),
+        "name_trigram_jaccard": lambda: jaccard("name_trigrams"),
+        "addr_trigram_jaccard": lambda: jaccard("addr_trigrams"),
+        "addr_numeric_token_jaccard": lambda: jaccard("digits"),
+        "name_common_word_count": lambda: common,
+        "addr_common_word_count": lambda: df["x_addr_tokens"],
+        "name_unique_word_ratio": lambda: over(union - common, union),
+        "combined_name_addr_score": lambda: 0.6 * df["_n_token_sort_ratio"] + 0.4 * jaccard("addr_tokens"),
+        "phonetic_key_overlap": lambda: jaccard("phonetic_keys"),
+        "n_blocking_channels_hit": lambda: sum(number(s > 0) for s in every),
+        "semantic_cosine": lambda: np.clip(over(df["x_vector"], np.sqrt(df["a_vector_square"] * df["b_vector_square"])), 0.0, 1.0),
     }
-    if "semantic_cosine" in names:
-        made["semantic_cosine"] = sm.cosine_of(sm.dot(*_both("name_vector")), *_both("vector_square"))
-    return df.select(*_kept(df), *(made[n].cast("double").alias(n) for n in names))
+    made |= {n: lambda n=n: df[f"t_{n}"] for n in TESTS if n != "t_clean"}
+    out = {n: made[n]() for n in names}
+    if "semantic_cosine" in out:
+        out["semantic_cosine"] = np.nan_to_num(out["semantic_cosine"])
+    return out
 
 
 SETS_16 = ("words", "tokens")

@@ -46,12 +46,12 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
-    """Tables written inside are deleted at the end; what reads them must have run by then."""
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those taken off the list; what reads them must have run by then."""
     own: list[DataFrame] = []
     _open().append(own)
     try:
-        yield
+        yield own
     finally:
         _open().pop()
         for table in own:

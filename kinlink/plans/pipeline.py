@@ -18,7 +18,7 @@ from ..functions import similarity as sm
 from ..functions import text as tx
 from ..operators import assign, blocking, decide, features, guards, knn, metrics, model
 from ..operators import vectorize as vz
-from ..operators.tables import write_table
+from ..operators.tables import scratch, write_table
 from . import normalize
 from .config import Channel, Preset
 
@@ -57,8 +57,11 @@ def channel_pairs(rows: DataFrame, channel: Channel) -> DataFrame:
 
 
 def candidates(rows: DataFrame, preset: Preset) -> DataFrame:
-    """``(s1, cid, s_*, score, rank)`` of a preset's channels."""
-    made = {c.slot: channel_pairs(rows, c) for c in preset.channels}
+    """``(s1, cid, s_*, score, rank)`` of a preset's channels.
+
+    Each channel is a table before they are united, so the disk never holds the shuffles of several channels together.
+    """
+    made = {c.slot: write_table(channel_pairs(rows, c), "channel") for c in preset.channels}
     if {"spaceless", "postal", "phonetic", "prefix"} & set(made):
         pairs = blocking.ordered_union(made, preset.cap)
     else:
@@ -71,6 +74,14 @@ def candidates(rows: DataFrame, preset: Preset) -> DataFrame:
     return pairs
 
 
+def candidate_table(rows: DataFrame, preset: Preset) -> DataFrame:
+    """candidates() as a table; those on its way are deleted."""
+    with scratch() as way:
+        made = write_table(candidates(rows, preset), "pairs")
+        way.remove(made)
+    return made
+
+
 def neighbours(rows: DataFrame, k: int) -> DataFrame:
     """The k nearest corpus records by vector, within a country, as (s1, cid, score, rank).
 
@@ -90,7 +101,7 @@ def feature_rows(pairs: DataFrame, rows: DataFrame, preset: Preset) -> DataFrame
         return features.rescore_35(features.rescore_pairs(pairs, rows))
     raw = preset.normal == "v1"
     read = preset.features, "name_raw" if raw else "name_norm", "addr_raw" if raw else "addr_norm"
-    return features.dense(features.dense_pairs(pairs, rows, *read), preset.features)
+    return features.dense(pairs, rows, *read)
 
 
 def scored(rows: DataFrame, preset: Preset, trained: PipelineModel | None = None) -> DataFrame:
@@ -114,7 +125,7 @@ POSITIVE_WEIGHT = 0.7
 def examples(records: DataFrame, truth: DataFrame, preset: Preset) -> tuple[DataFrame, DataFrame]:
     """Normal forms, and labelled features of the preset's own candidates, as tables."""
     rows = write_table(normal_records(records, preset), "normal")
-    pairs = write_table(candidates(rows, preset), "pairs")
+    pairs = candidate_table(rows, preset)
     return rows, write_table(feature_rows(model.label(pairs, truth), rows, preset), "train")
 
 

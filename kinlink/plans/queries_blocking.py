@@ -267,7 +267,7 @@ add(
 def _dense(preset):
     def run(s, d):
         own = write_table(pipeline.normal_records(records(s, d), preset), "normal")
-        pairs = write_table(pipeline.candidates(own, preset), "pairs")
+        pairs = pipeline.candidate_table(own, preset)
         made = pipeline.feature_rows(pairs, own, preset)
         return made.select("s1", "cid", *(F.round(n, 6).alias(n) for n in preset.features))
 

@@ -221,7 +221,7 @@ FEATURES = ("tfidf_word", "addr_jaccard", "name_word_jaccard", "name_containment
 
 def examples(s, d) -> DataFrame:
     own = write_table(pipeline.normal_records(records(s, d), config.THREE_CHANNEL), "normal")
-    pairs = model.label(write_table(pipeline.candidates(own, config.THREE_CHANNEL), "pairs"), truth(records(s, d)))
+    pairs = model.label(pipeline.candidate_table(own, config.THREE_CHANNEL), truth(records(s, d)))
     return model.class_weight(write_table(pipeline.feature_rows(pairs, own, config.THREE_CHANNEL), "examples"))
 
 
