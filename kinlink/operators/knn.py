@@ -14,10 +14,13 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sparse import _first_k, _spread
+
 #: Rows of a block, queries of a product that are scored at a time, and sampled rows that centroids are made from.
 BLOCK, SLICE, SAMPLE = 16_384, 512, 20_000
 
@@ -43,18 +46,20 @@ def _dealt(rows: DataFrame, own: str, mine: str, other: str, sizes: DataFrame) -
     block = F.pmod(F.xxhash64(F.lit(5), own), F.ceil(F.col(f"n_{mine}") / BLOCK)).cast("int")
     met = F.sequence(F.lit(0), F.ceil(F.col(f"n_{other}") / BLOCK).cast("int") - 1)
     # names of their own, as both sides may come from one table
-    return rows.join(sizes, "key").select(F.col("key").alias("key"), block.alias(mine), F.explode(met).alias(other), F.col(own).alias(own), F.col("v").alias("v"))
+    more = [F.col("docs").alias("docs")] if "docs" in rows.columns else []
+    return rows.join(sizes, "key").select(F.col("key").alias("key"), block.alias(mine), F.explode(met).alias(other), F.col(own).alias(own), F.col("v").alias("v"), *more)
 
 
 def products(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """``(s1, cid, score)``: for each two blocks of a key, each query's k best of the block's corpus rows.
 
     Queries are (key, s1, v), corpus rows (key, cid, v); null keys meet nothing. A task holds two
-    blocks and a slice of their product, however many rows a key has.
+    blocks and a slice of their product, however many rows a key has. A corpus row may stand for several:
+    ``docs`` are then their ids, at least the k least of them, and cid the least.
     """
     kinds = _kind(queries, "s1"), _kind(corpus, "cid")
     q = queries.where("key IS NOT NULL").select("key", F.col("s1").cast(kinds[0]).alias("s1"), "v")
-    c = corpus.where("key IS NOT NULL").select("key", F.col("cid").cast(kinds[1]).alias("cid"), "v")
+    c = corpus.where("key IS NOT NULL").select("key", F.col("cid").cast(kinds[1]).alias("cid"), "v", *(["docs"] if "docs" in corpus.columns else []))
     count = F.count(F.lit(1))
     sizes = q.groupBy("key").agg(count.alias("n_qb")).join(c.groupBy("key").agg(count.alias("n_cb")), "key")
     schema = pa.schema([("s1", pa.string() if kinds[0] == "string" else pa.int64()), ("cid", pa.string() if kinds[1] == "string" else pa.int64()), ("score", pa.float64())])
@@ -64,6 +69,13 @@ def products(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         if not n or not left.num_rows:
             return schema.empty_table()
         right = right.sort_by("cid")  # ties go to the lesser id
+        several = "docs" in right.column_names
+        if several:
+            docs = right["docs"].combine_chunks()
+            held, ids = docs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), docs.flatten()
+            begins = np.cumsum(held) - held
+            place = np.empty(len(ids), np.int64)
+            place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
         x, y = _unit(left["v"].combine_chunks()), _unit(right["v"].combine_chunks()).T
         out = []
         for at in range(0, len(x), SLICE):
@@ -74,6 +86,12 @@ def products(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
             row, col = row[order], col[order]
             kept = np.arange(len(row)) - np.searchsorted(row, row) < n
             row, col = row[kept], col[kept]
+            if several:  # the k best rows stand for all of the k best ids
+                score, low, member = np.repeat(score[row, col], held[col]), np.repeat(low[row, col], held[col]), _spread(begins[col], held[col])
+                row = np.repeat(row, held[col])
+                best_ = _first_k(row, low, place[member], k)
+                out.append(pa.Table.from_arrays([left["s1"].take(pa.array(at + row[best_])), ids.take(pa.array(member[best_])), pa.array(score[best_])], schema=schema))
+                continue
             out.append(pa.Table.from_arrays([left["s1"].take(pa.array(at + row)), right["cid"].take(pa.array(col)), pa.array(score[row, col])], schema=schema))
         return pa.concat_tables(out)
 
@@ -85,10 +103,19 @@ def products(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 def exact(queries: DataFrame, corpus: DataFrame, k: int, within: str | None = None) -> DataFrame:
     """``(s1, cid, score, rank)``: the k nearest of ``corpus`` (cid, v) to each of ``queries`` (s1, v).
 
-    Queries are a stated set; with ``within``, only rows that are equal in this column meet.
+    Queries are a stated set; with ``within``, only rows that are equal in this column meet. Rows of one key
+    and vector are one class and meet as one; of a corpus class only the k least ids can be among the k nearest.
     """
     key = F.lit(0) if within is None else F.col(within)
-    return _best(products(queries.withColumn("key", key), corpus.withColumn("key", key), k), k)
+    cls = F.md5(F.to_json(F.struct("key", "v")))
+    q, c = (rows.withColumn("key", key).where("key IS NOT NULL").select("key", own, "v", cls.alias("cls")) for rows, own in ((queries, "s1"), (corpus, "cid")))
+    first = [F.first(n).alias(n) for n in ("key", "v")]
+    least = c.select("cls", F.col("cid").cast(_kind(corpus, "cid")).alias("cid")).withColumn("_k", F.row_number().over(Window.partitionBy("cls").orderBy("cid"))).where(F.col("_k") <= k)
+    right = c.groupBy("cls").agg(*first).join(least.groupBy("cls").agg(F.min("cid").alias("cid"), F.collect_list("cid").alias("docs")), "cls")
+    found = products(q.groupBy("cls").agg(*first).withColumnRenamed("cls", "s1"), right, k)
+    members = q.select("cls", F.col("s1").cast(_kind(queries, "s1")).alias("s1"))
+    near = _best(found, k).select(F.col("s1").alias("cls"), "cid", "score")
+    return _best(near.join(members, "cls").select("s1", "cid", "score"), k)
 
 
 def centroids(corpus: DataFrame, lists: int, rounds: int = 8) -> np.ndarray:
