@@ -139,3 +139,21 @@ def test_sizes_follow_the_texts():
         assert shards * windows.SHARD_BYTES >= total - windows.SHARD_BYTES and packs * (33 << 20) >= total and buckets >= 400
     # a row of anchors of a pack for a bucket stays worth sending
     assert (32 << 20) // windows.sizes_for(10**14, 200)[1] >= 256
+
+
+def test_rows_between_packs_and_shards_follow_the_texts():
+    """Packs send a row for each bucket and each tray: a hundred times the texts may not be 10,000 times the rows."""
+    for partitions, total in ((85, 10**9), (600, 10**10), (3000, 5 * 10**10)):
+        packs, buckets, shards = windows.sizes_for(total, partitions)
+        trays = windows.trays_for(total, partitions)
+        assert packs * (buckets + 2 * trays) < total / 900  # at 10**10 without trays and with a bucket for each MB: total / 220
+        assert shards * windows.SHARD_BYTES >= total - windows.SHARD_BYTES and trays * windows.TRAY_BYTES > total - windows.TRAY_BYTES
+
+
+def test_trays_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(windows, "trays_for", lambda total, partitions: 2)
+    for hot in (0, 256):
+        rows = documents(7 + hot)
+        own = table(spark, rows)
+        assert found(windows.remove_repeats(own, windows.ByteTokens, 50, 20, suffixarray.repeated_spans, hot_packs=hot)) == by_bytes(rows)
+        assert found(windows.remove_repeats(own, windows.WordTokens, 50, 8, automaton.repeated_spans, hot_packs=hot)) == by_words(rows)
